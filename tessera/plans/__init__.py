@@ -1 +1,6 @@
 """Named queries over the warehouse tables, each with its SQL twin where one exists."""
+
+from . import interval_queries, metric_queries, sequence_queries, summary_queries, verify_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
