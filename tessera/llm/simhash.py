@@ -23,19 +23,20 @@ from .common import Stored
 from .components import components
 
 SEED = 42
-#: Key groups up to this many rows are paired by a join; larger ones are compared in cells of two chunks.
-SMALL_GROUP, CHUNK = 24, 2048
+#: Key groups with up to this many pairs are paired by a join; larger ones are compared in cells of two chunks.
+SMALL_GROUP, CHUNK = 4096, 2048
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """Bits set in over half the XXH64 of all word shingles, repeats included; zero without words."""
+def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
+    """Bits set in over half the XXH64 of all word shingles; zero without words. ``distinct``: each shingle counts once."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
         return 0
-    n = max(1, len(w) - shingle + 1)
     grams = map(b" ".join, zip(*[w[i:] for i in range(shingle)], strict=False)) if len(w) >= shingle else [b" ".join(w)]
-    digest, ones, left = xxhash.xxh64_intdigest, np.zeros(64, np.int64), n
-    it = iter(grams)
+    if distinct:
+        grams = set(grams)
+    n = left = len(grams) if distinct else max(1, len(w) - shingle + 1)
+    digest, ones, it = xxhash.xxh64_intdigest, np.zeros(64, np.int64), iter(grams)
     while left:  # so a text of any length takes bounded memory
         take = min(left, 1 << 15)
         h = np.fromiter((digest(g, SEED) for g in _take(it, take)), np.uint64, take)
@@ -49,12 +50,12 @@ def _take(it: Iterator[bytes], n: int) -> Iterator[bytes]:
         yield next(it)
 
 
-def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
+def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """``_doc``, ``_fp`` (the fingerprint as a signed long)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            fp = np.array([fingerprint(t, shingle) for t in b["_text"]], np.uint64).view(np.int64)
+            fp = np.array([fingerprint(t, shingle, distinct) for t in b["_text"]], np.uint64).view(np.int64)
             yield pd.DataFrame({"_doc": b["_doc"], "_fp": fp})
 
     kind = dict(df.dtypes)[id_col]
@@ -194,7 +195,8 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
         rows = rows.unionByName(p)
     sizes = rows.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_m")).where("_n > 1 AND _m > 0")
     grouped = Stored(rows.join(sizes, ["_part", "_key"]))
-    small, large = grouped.df.where(F.col("_n") <= small_group), grouped.df.where(F.col("_n") > small_group)
+    few = F.col("_n") * F.col("_m") <= small_group
+    small, large = grouped.df.where(few), grouped.df.where(~few)
     a, b = small.where("_own").alias("a"), small.alias("b")
     same = (F.col("a._part") == F.col("b._part")) & (F.col("a._key") == F.col("b._key"))
     near = F.bit_count(F.col("a._fp").bitwiseXOR(F.col("b._fp"))) <= distance
@@ -216,7 +218,7 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     return pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3, distinct: bool = False) -> DataFrame:
     """One row for each document: ``id_col``, ``fingerprint`` (16 hex digits), ``component_id`` (smallest id reachable by links).
 
     Fingerprints link at ``distance`` or fewer differing bits. Null and empty texts have fingerprint zero and
@@ -224,17 +226,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null ids are never a component's id unless it has no other, and an empty table gives no row. Other columns
     are not read.
     """
-    own = Stored(fingerprints(df, id_col, text_col, shingle))
-    distinct = Stored(own.df.groupBy("_fp").agg(F.min("_doc").alias("_least")))
-    roots = components(links(distinct.df, distance))
-    placed = distinct.df.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
+    own = Stored(fingerprints(df, id_col, text_col, shingle, distinct))
+    prints = Stored(own.df.groupBy("_fp").agg(F.min("_doc").alias("_least")))
+    roots = components(links(prints.df, distance))
+    placed = prints.df.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     ids = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
     of = placed.join(ids, "_root").select("_fp", "component_id")
     out = own.df.join(of, "_fp")
     return out.select(F.col("_doc").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, distance: int = 3) -> DataFrame:
-    """The rows of ``df`` whose id is their component's; of rows that repeat such an id, all stay. All columns are kept."""
-    keep = near_duplicates(df, id_col, text_col, shingle, distance).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, distance: int = 7, distinct: bool = True) -> DataFrame:
+    """The rows of ``df`` whose id is their component's; of rows that repeat such an id, all stay. All columns are kept.
+
+    By default fingerprints are of distinct words: an edited word touches one of them instead of every shingle
+    over it, so copies that share four in five of their five-word shingles stay within ``distance``.
+    """
+    keep = near_duplicates(df, id_col, text_col, shingle, distance, distinct).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
     return df.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
