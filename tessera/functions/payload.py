@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ARGS = "struct<start_time:string,start_sec:string,end_time:string,end_sec:string,alert_type:string,decision:string,existence:string,category:string>"
-
 
 def inside(block: Column) -> Column:
     """The text between a block's tags."""
@@ -27,9 +25,10 @@ def tool_name(text: Column) -> Column:
 
 
 def arguments(text: Column) -> Column:
-    """The arguments as JSON text."""
+    """The arguments as JSON text: those of the named form, or the value of a map's only key."""
     t = repaired(text)
-    return F.coalesce(F.get_json_object(t, "$.arguments"), F.get_json_object(t, "$.*"))
+    only = F.call_function("get_json_object", t, F.concat(F.lit("$."), tool_name(text)))
+    return F.coalesce(F.get_json_object(t, "$.arguments"), only)
 
 
 def outer_object(text: Column) -> Column:
