@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stored
+
 LENGTHS = (1024, 2048, 4096, 8192)
 #: What a bin costs besides its length, in tokens: a sequence's fixed overhead.
 BIN_COST = 16
@@ -61,7 +63,7 @@ def best_fit(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens",
     longest = max(lengths)
     kind = dict(df.dtypes)[id_col]
     size = F.greatest(F.coalesce(F.col(size_col).cast("long"), F.lit(0)), F.lit(0))
-    rows = df.select(F.col(id_col).cast("string").alias("_id"), size.alias("_size"))
+    rows = Stored(df.select(F.col(id_col).cast("string").alias("_id"), size.alias("_size"))).df  # sizes may be costly, and are read twice
     n = F.greatest(F.ceil(F.col("_size") / longest), F.lit(1))
     pieces = rows.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1)))
     pieces = pieces.select("_id", F.col("_piece"), F.least(F.lit(longest).cast("long"), F.col("_size") - F.col("_piece") * longest).alias("_size"))
