@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 
 class MalformedLine(ValueError):
@@ -18,15 +18,14 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType, s
 
     A malformed line is an error that names its place, or is left out with ``skip_invalid``.
     """
-    bad = "_malformed"
-    full = StructType([*schema.fields, StructField(bad, StringType())])
-    df = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).json(path)
+    lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
+    parsed = F.try_parse_json("value").isNotNull()
     if not skip_invalid:
         first = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0).where(F.try_parse_json("line").isNull()).orderBy("file", "line_number").limit(1).collect()
         if first:
             r = first[0]
             raise MalformedLine(f"{r.file}:{r.line_number}: {r.line[:240]}")
-    good = df.where(F.col(bad).isNull()).drop(bad)
+    good = lines.where(parsed).select(F.from_json("value", schema).alias("r")).select("r.*")
     if splits is not None:
         good = good.where(F.trim(F.coalesce(F.col("split"), F.lit(""))).isin(list(splits)))
     return good
