@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 class Params:
     """``share``: part of a block (and ``least`` rows) that is verified before widening ends; ``need``: part of the projections that must collide."""
 
-    projections: int = 80
+    projections: int = 72
     need: float = 0.7
     share: float = 0.2
     least: int = 600
-    step: float = 1.05
-    levels: int = 64
+    step: float = 1.04
+    levels: int = 40
     block: int = 16_384
     queries: int = 2048
     seed: int = 7
@@ -40,7 +40,7 @@ class Block:
         self.a = np.random.default_rng(p.seed).standard_normal((d + 1, p.projections))
         at = np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]) @ self.a
         order = np.argsort(at, axis=0, kind="stable")
-        self.order, self.sorted = order.T.astype(np.int32).copy(), np.take_along_axis(at, order, 0).T.copy()
+        self.order, self.sorted = order.T.astype(np.int64).copy(), np.take_along_axis(at, order, 0).T.copy()
         self.norm = np.sqrt(top) or 1.0
 
     def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
@@ -54,17 +54,39 @@ class Block:
         lo = np.stack([np.searchsorted(s, v[:, None] - w) for s, v in zip(self.sorted, h.T, strict=True)], 1)
         hi = np.stack([np.searchsorted(s, v[:, None] + w, "right") for s, v in zip(self.sorted, h.T, strict=True)], 1)
         lo[:, :, -1], hi[:, :, -1] = 0, n
-        held = (hi - lo).sum(1)
+        held, guess = (hi - lo).sum(1), 0
         for q in range(len(queries)):
             # Fewer collisions than this can't lift enough rows over the threshold, so those levels need no count.
-            level = int(np.argmax(held[q] >= need * enough))
-            counts = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo[q, :, level], hi[q, :, level], strict=True)]), minlength=n)
+            first = int(np.argmax(held[q] >= need * enough))
+            level = max(first, guess)
+            counts = self._count(lo[q, :, level], hi[q, :, level])
+            if level > first and (counts >= need).sum() >= enough:  # the guess may be too wide
+                level, counts = first, self._count(lo[q, :, first], hi[q, :, first])
             while (counts >= need).sum() < enough:
                 a, b, level = lo[q, :, level], hi[q, :, level], level + 1
                 rings = [o[x:y] for o, u, v, a0, b0 in zip(self.order, lo[q, :, level], hi[q, :, level], a, b, strict=True) for x, y in ((u, a0), (b0, v))]
                 counts += np.bincount(np.concatenate(rings), minlength=n)
+            guess = level - 1  # queries need much the same window
             yield np.flatnonzero(counts >= need)
 
+    def _count(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]), minlength=self.n)
+
+
+def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, got: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores of the ``k`` best verified rows, ties to smaller ids.
+
+    Scores are summed row by row, so equal vectors get equal scores; a matrix product, whose last bits may
+    differ, only leaves out rows that are clearly worse.
+    """
+    rough = x[got] @ q
+    if len(got) > k:
+        bar = np.partition(rough, len(got) - k)[len(got) - k]
+        got = got[rough >= bar - 1e-9 * (1 + abs(bar))]
+    s = (x[got] * q).sum(1)
+    first = np.lexsort((ids[got], -s))[:k]
+    return ids[got][first], s[first]
+
 
 def _usable(v: Column) -> Column:
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -99,12 +121,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
             index = Block(x, float(cell["top"].iloc[0]), params)
             asked_v = np.stack(q["v"].to_list()).astype(float)
             for qid, v, got in zip(q["id"], asked_v, index.candidates(asked_v, k), strict=True):
-                got = got[ids[got] != qid]
-                s = (x[got] * v).sum(1)  # row by row, so equal vectors get equal scores
-                first = np.lexsort((ids[got], -s))[:k]
-                out["query_id"].append(np.full(len(first), qid))
-                out["vec_id"].append(ids[got][first])
-                out["score"].append(s[first])
+                found, scores = best_of(x, ids, v, got[ids[got] != qid], k)
+                out["query_id"].append(np.full(len(found), qid))
+                out["vec_id"].append(found)
+                out["score"].append(scores)
         none = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
         return pd.DataFrame({c: np.concatenate(v) if v else none[c] for c, v in out.items()})
 
