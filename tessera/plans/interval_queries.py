@@ -19,7 +19,7 @@ i AS (SELECT *, sum(CASE WHEN start_sec <= before THEN 0 ELSE 1 END) OVER (PARTI
 u AS (SELECT episode_id, island, min(start_sec) AS s, max(end_sec) AS e FROM i GROUP BY ALL),
 t AS (SELECT episode_id, sum(e - s) AS union_sec, min(s) AS hull_start, max(e) AS hull_end, count(*) AS islands FROM u GROUP BY episode_id),
 d AS (SELECT episode_id, count(*) AS n, max(start_sec) AS duration FROM ep GROUP BY episode_id)
-SELECT t.episode_id, CAST(n AS BIGINT) AS n_windows, CAST(islands AS BIGINT) AS n_islands, round(union_sec, 4) AS union_sec, round(hull_start, 4) AS hull_start, round(hull_end, 4) AS hull_end,
+SELECT t.episode_id, CAST(n AS BIGINT) AS n_windows, CAST(islands AS BIGINT) AS n_islands, round(union_sec, 6) AS union_sec, round(hull_start, 6) AS hull_start, round(hull_end, 6) AS hull_end,
        round(CASE WHEN duration > 0 THEN union_sec / duration ELSE 0 END, 6) AS clip_ratio,
        round(greatest(0, least(1, CASE WHEN duration > 0 THEN union_sec / duration ELSE 0 END)), 6) AS clip_ratio_clamped
 FROM t JOIN d ON t.episode_id = d.episode_id""")
@@ -30,7 +30,7 @@ def interval_union_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = ep.groupBy("episode_id").agg(F.count(F.lit(1)).alias("n"), F.max("start_sec").alias("d"))
     r = ratio(F.col("u"), F.col("d"))
     return union.join(size, "episode_id").select(
-        "episode_id", F.col("n").alias("n_windows"), F.col("i").alias("n_islands"), F.round("u", 4).alias("union_sec"), F.round("s", 4).alias("hull_start"), F.round("e", 4).alias("hull_end"),
+        "episode_id", F.col("n").alias("n_windows"), F.col("i").alias("n_islands"), F.round("u", 6).alias("union_sec"), F.round("s", 6).alias("hull_start"), F.round("e", 6).alias("hull_end"),
         F.round(r, 6).alias("clip_ratio"), F.round(clamp(r, 0.0, 1.0), 6).alias("clip_ratio_clamped"),
     )
 
@@ -67,7 +67,7 @@ def interval_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {LINES},
-c AS (SELECT l_orderkey, greatest(s, CAST(0 AS DOUBLE)) AS s, least(e, CAST(30 AS DOUBLE)) AS e FROM l WHERE least(e, CAST(30 AS DOUBLE)) > greatest(s, CAST(0 AS DOUBLE))),
+c AS (SELECT DISTINCT l_orderkey, greatest(s, CAST(0 AS DOUBLE)) AS s, least(e, CAST(30 AS DOUBLE)) AS e FROM l WHERE least(e, CAST(30 AS DOUBLE)) > greatest(s, CAST(0 AS DOUBLE))),
 m AS (SELECT *, max(e) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM c),
 g AS (SELECT *, sum(CASE WHEN s <= before THEN 0 ELSE 1 END) OVER (PARTITION BY l_orderkey ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM m),
 u AS (SELECT l_orderkey, island, max(e) - min(s) AS len FROM g GROUP BY ALL),

@@ -235,7 +235,7 @@ def offline_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {EP},
 b AS (SELECT episode_id, max(end_sec) AS d, min(CASE WHEN tool_name = 'finalize_case' THEN start_sec END) AS s, min(CASE WHEN tool_name = 'finalize_case' THEN end_sec END) AS e, count(*) AS n FROM ep GROUP BY episode_id)
-SELECT b.episode_id, round(d, 4) AS duration_sec, round(s, 4) AS anomaly_start, round(e, 4) AS anomaly_end, CASE WHEN s IS NULL THEN 'normal' ELSE 'anomaly' END AS existence, round(greatest(round(d / 8, 6), 0.5), 6) AS scan_stride, c_mktsegment AS scene,
+SELECT b.episode_id, round(d, 6) AS duration_sec, round(s, 6) AS anomaly_start, round(e, 6) AS anomaly_end, CASE WHEN s IS NULL THEN 'normal' ELSE 'anomaly' END AS existence, round(greatest(round(d / 8 + 1e-9, 6), 0.5), 6) AS scan_stride, c_mktsegment AS scene,
        'case_' || substr(sha1(c_name), 1, 10) AS case_id
 FROM b JOIN customer ON b.episode_id = c_custkey""")
 def base_and_train_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +244,8 @@ def base_and_train_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = episodes(spark, sf_dir).groupBy(E).agg(F.max("end_sec").alias("d"), F.min(F.when(t, F.col("start_sec"))).alias("s"), F.min(F.when(t, F.col("end_sec"))).alias("e"))
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias(E), "c_name", "c_mktsegment")
     return b.join(c, E).select(
-        E, F.round("d", 4).alias("duration_sec"), F.round("s", 4).alias("anomaly_start"), F.round("e", 4).alias("anomaly_end"), F.when(F.col("s").isNull(), "normal").otherwise("anomaly").alias("existence"),
-        F.round(F.greatest(F.round(F.col("d") / 8, 6), F.lit(0.5)), 6).alias("scan_stride"), F.col("c_mktsegment").alias("scene"), case_id(F.col("c_name")).alias("case_id"),
+        E, F.round("d", 6).alias("duration_sec"), F.round("s", 6).alias("anomaly_start"), F.round("e", 6).alias("anomaly_end"), F.when(F.col("s").isNull(), "normal").otherwise("anomaly").alias("existence"),
+        F.round(F.greatest(F.round(F.col("d") / 8 + 1e-9, 6), F.lit(0.5)), 6).alias("scan_stride"), F.col("c_mktsegment").alias("scene"), case_id(F.col("c_name")).alias("case_id"),
     )
 
 
@@ -255,7 +255,7 @@ b AS (SELECT episode_id, min(start_sec) AS s, min(end_sec) AS e FROM ep WHERE to
 x AS (SELECT episode_id, s, e, greatest(0.15 * (e - s), 0.5) AS pad, greatest(0.35 * (e - s), 0.5) AS tail FROM b),
 w AS (SELECT episode_id, 1 AS i, s - pad AS a, s AS b FROM x UNION ALL SELECT episode_id, 2, s + 0.15 * (e - s), s + 0.55 * (e - s) FROM x UNION ALL SELECT episode_id, 3, e - tail, e FROM x UNION ALL SELECT episode_id, 4, s - pad, e + pad FROM x UNION ALL SELECT episode_id, 5, s, e FROM x),
 k AS (SELECT * FROM w WHERE b > a AND NOT (episode_id % 2 = 0 AND i = 1))
-SELECT episode_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY i) AS INTEGER) AS position, round(a, 4) AS start_sec, round(b, 4) AS end_sec FROM k QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY i) <= 3""")
+SELECT episode_id, CAST(row_number() OVER (PARTITION BY episode_id ORDER BY i) AS INTEGER) AS position, round(a + 1e-9, 6) AS start_sec, round(b + 1e-9, 6) AS end_sec FROM k QUALIFY row_number() OVER (PARTITION BY episode_id ORDER BY i) <= 3""")
 def supplemental_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to three more windows of an anomaly, from five in order, without those in use."""
     t = F.col("tool_name") == "finalize_case"
@@ -265,7 +265,7 @@ def supplemental_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pad, tail = F.greatest(0.15 * n, F.lit(0.5)), F.greatest(0.35 * n, F.lit(0.5))
     specs = F.array(*[F.struct(F.lit(i).alias("i"), a.alias("a"), z.alias("b")) for i, (a, z) in enumerate(((s - pad, s), (s + 0.15 * n, s + 0.55 * n), (e - tail, e), (s - pad, e + pad), (s, e)), 1)])
     free = F.slice(F.filter(specs, lambda w: (w["b"] > w["a"]) & ~((F.col(E) % 2 == 0) & (w["i"] == 1))), 1, 3)
-    return b.select(E, F.posexplode(free).alias("p", "w")).select(E, (F.col("p") + 1).alias("position"), F.round("w.a", 4).alias("start_sec"), F.round("w.b", 4).alias("end_sec"))
+    return b.select(E, F.posexplode(free).alias("p", "w")).select(E, (F.col("p") + 1).alias("position"), F.round(F.col("w.a") + 1e-9, 6).alias("start_sec"), F.round(F.col("w.b") + 1e-9, 6).alias("end_sec"))
 
 
 # How much each kind of advantage counts for a turn, by tool.

@@ -55,7 +55,7 @@ def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALERT_CTES = """alert0 AS (SELECT episode_id, min(CASE WHEN tool_name = 'finalize_case' THEN start_sec END) AS onset, max(CASE WHEN tool_name = 'finalize_case' THEN end_sec END) AS offset_sec, max(end_sec) AS duration,
              coalesce(min(CASE WHEN tool_name = 'emit_alert' AND k % 2 = 0 THEN start_sec END), min(CASE WHEN tool_name = 'emit_alert' THEN start_sec END)) AS alert, min(CASE WHEN k % 6 = 0 THEN start_sec END) AS precursor, episode_id % 3 <> 0 AS anomaly FROM ep GROUP BY episode_id),
 alert1 AS (SELECT *, coalesce(onset, 0) AS t0, greatest(0.5, 0.02 * duration) AS tol, greatest(coalesce(offset_sec - onset, 0), 1) AS len, greatest(coalesce(onset - precursor, 0), 1) AS pre FROM alert0),
-alerts AS (SELECT episode_id, anomaly, round(alert, 4) AS alert_sec, round(CASE WHEN NOT anomaly THEN CASE WHEN alert IS NULL THEN 1 ELSE -1 END WHEN alert IS NULL THEN 0 WHEN alert < t0 - tol THEN -least(1, (t0 - alert) / pre) ELSE 1 - least(1, greatest(0, alert - t0) / len) END, 6) AS utility,
+alerts AS (SELECT episode_id, anomaly, round(alert, 6) AS alert_sec, round(CASE WHEN NOT anomaly THEN CASE WHEN alert IS NULL THEN 1 ELSE -1 END WHEN alert IS NULL THEN 0 WHEN alert < t0 - tol THEN -least(1, (t0 - alert) / pre) ELSE 1 - least(1, greatest(0, alert - t0) / len) END, 6) AS utility,
        (anomaly AND alert IS NOT NULL AND alert < t0 - tol) AS premature, (anomaly AND alert IS NOT NULL AND alert > t0 + tol) AS late, (NOT anomaly AND alert IS NOT NULL) AS false_alert
 FROM alert1)"""
 ALERT = f"WITH {EP},\n{ALERT_CTES}\nSELECT * FROM alerts"
@@ -75,7 +75,7 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce(first((t == "emit_alert") & (F.col("k") % 2 == 0)), first(t == "emit_alert")).alias("alert"), first(F.col("k") % 6 == 0).alias("pre"),
     )
     a = a.withColumn("anomaly", F.col(E) % 3 != 0)
-    return mt.alert_utility(a, "onset", "off", "pre", "duration", "alert", "anomaly").select(E, "anomaly", F.round("alert", 4).alias("alert_sec"), "utility", "premature", "late", "false_alert")
+    return mt.alert_utility(a, "onset", "off", "pre", "duration", "alert", "anomaly").select(E, "anomaly", F.round("alert", 6).alias("alert_sec"), "utility", "premature", "late", "false_alert")
 
 
 @query(f"""

@@ -53,13 +53,13 @@ def state_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {EP}
 SELECT episode_id, step_index, round(last_value(CASE WHEN tool_name IN ('emit_alert', 'verify_hypothesis') THEN value END IGNORE NULLS) {SO_FAR}, 4) AS latest_claim,
-       CAST(count(CASE WHEN tool_name IN ('emit_alert', 'verify_hypothesis') THEN 1 END) {SO_FAR} AS BIGINT) AS n_claims, round(max(CASE WHEN tool_name IN ('seek_evidence', 'scan_timeline') THEN end_sec END) {SO_FAR}, 4) AS horizon
+       CAST(count(CASE WHEN tool_name IN ('emit_alert', 'verify_hypothesis') THEN 1 END) {SO_FAR} AS BIGINT) AS n_claims, round(max(CASE WHEN tool_name IN ('seek_evidence', 'scan_timeline') THEN end_sec END) {SO_FAR}, 6) AS horizon
 FROM ep""")
 def latest_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("tool_name")
     claim = t.isin("emit_alert", "verify_hypothesis")
     w = sq.so_far(E, S)
-    return episodes(spark, sf_dir).select(E, S, F.round(sq.last_where(claim, F.col("value"), E, S), 4).alias("latest_claim"), F.count(F.when(claim, 1)).over(w).alias("n_claims"), F.round(F.max(F.when(t.isin("seek_evidence", "scan_timeline"), F.col("end_sec"))).over(w), 4).alias("horizon"))
+    return episodes(spark, sf_dir).select(E, S, F.round(sq.last_where(claim, F.col("value"), E, S), 4).alias("latest_claim"), F.count(F.when(claim, 1)).over(w).alias("n_claims"), F.round(F.max(F.when(t.isin("seek_evidence", "scan_timeline"), F.col("end_sec"))).over(w), 6).alias("horizon"))
 
 
 @query(f"""
@@ -127,8 +127,8 @@ c AS (SELECT episode_id, step_index, CAST(-0.75 * attempts - CASE WHEN valid THE
 m AS (SELECT *, avg(credit) OVER (PARTITION BY episode_id) AS mu FROM c),
 d AS (SELECT *, avg(abs(credit - mu)) OVER (PARTITION BY episode_id) AS mad FROM m),
 g AS (SELECT x.episode_id, x.step_index, sum(y.credit * pow(0.9, y.step_index - x.step_index)) AS suffix FROM c x JOIN c y ON x.episode_id = y.episode_id AND y.step_index >= x.step_index GROUP BY ALL)
-SELECT d.episode_id, d.step_index, round(credit, 6) AS credit, round(suffix, 6) AS discounted,
-       round(CASE WHEN abs(r) < 1e-8 THEN 0 WHEN mad <= 1e-8 THEN r ELSE r + 0.5 * greatest(abs(r), 0.25) * (credit - mu) / mad END, 6) AS advantage
+SELECT d.episode_id, d.step_index, round(credit + 1e-9, 6) AS credit, round(suffix + 1e-9, 6) AS discounted,
+       round(CASE WHEN abs(r) < 1e-8 THEN 0 WHEN mad <= 1e-8 THEN r ELSE r + 0.5 * greatest(abs(r), 0.25) * (credit - mu) / mad END + 1e-9, 6) AS advantage
 FROM d JOIN g ON d.episode_id = g.episode_id AND d.step_index = g.step_index""")
 def turn_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Credit of each turn, its discounted suffix return, and the episode's reward spread by centred credit."""
@@ -145,7 +145,7 @@ def turn_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = per.select(E, "r", "mu", "mad", F.explode(F.arrays_zip("t", "g")).alias("z")).select(E, "r", "mu", "mad", "z.t.step_index", "z.t.credit", "z.g")
     norm = (F.col("credit") - F.col("mu")) / F.when(F.col("mad") > 1e-8, F.col("mad"))
     adv = F.when(F.abs("r") < 1e-8, F.lit(0.0)).when(F.col("mad") <= 1e-8, F.col("r")).otherwise(F.col("r") + ALPHA * F.greatest(F.abs("r"), F.lit(0.25)) * norm)
-    return each.select(E, S, F.round("credit", 6).alias("credit"), F.round("g", 6).alias("discounted"), F.round(adv, 6).alias("advantage"))
+    return each.select(E, S, F.round(F.col("credit") + 1e-9, 6).alias("credit"), F.round(F.col("g") + 1e-9, 6).alias("discounted"), F.round(adv + 1e-9, 6).alias("advantage"))
 
 
 @query(f"""
@@ -167,12 +167,12 @@ def episode_protocol_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
 WITH {EP},
 f AS (SELECT episode_id, value, CAST(step_index AS DOUBLE) AS t FROM ep)
-SELECT episode_id, CAST(clips AS INTEGER) AS segment, round(w * clips, 4) AS start_sec, round(w * (clips + 1), 4) AS end_sec
+SELECT episode_id, CAST(clips AS INTEGER) AS segment, round(w * clips + 1e-9, 6) AS start_sec, round(w * (clips + 1) + 1e-9, 6) AS end_sec
 FROM (SELECT episode_id, max(start_sec) / 3 AS w FROM ep GROUP BY episode_id), range(0, 3) r(clips)""")
 def clip_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three equal windows of each clip."""
     d = episodes(spark, sf_dir).groupBy(E).agg((F.max("start_sec") / 3).alias("w")).select(E, "w", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("segment"))
-    return d.select(E, "segment", F.round(F.col("w") * F.col("segment"), 4).alias("start_sec"), F.round(F.col("w") * (F.col("segment") + 1), 4).alias("end_sec"))
+    return d.select(E, "segment", F.round(F.col("w") * F.col("segment") + 1e-9, 6).alias("start_sec"), F.round(F.col("w") * (F.col("segment") + 1) + 1e-9, 6).alias("end_sec"))
 
 
 @query(f"""

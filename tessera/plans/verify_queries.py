@@ -26,7 +26,7 @@ led AS (SELECT ep.episode_id, start_sec AS s, start_sec + value * 600 AS e, k %
 vw AS (SELECT episode_id, 'full' AS view, s, e FROM led UNION ALL SELECT episode_id, 'keep', s, e FROM led WHERE sel UNION ALL SELECT episode_id, 'drop', s, e FROM led WHERE NOT sel UNION ALL SELECT episode_id, 'prefix', s, e FROM led WHERE alert IS NULL OR s <= alert),
 ro AS (SELECT v.episode_id, v.view, r.role, max(greatest(least(v.e, r.e) - greatest(v.s, r.s), 0) / 86400) AS o FROM vw v JOIN roles r ON v.episode_id = r.episode_id GROUP BY ALL),
 pv AS (SELECT episode_id, view, coalesce(max(o) FILTER (WHERE role = 'trigger'), 0) AS trigger, coalesce(max(o) FILTER (WHERE role = 'peak'), 0) AS peak, coalesce(max(o) FILTER (WHERE role = 'confirm'), 0) AS confirm, coalesce(max(o) FILTER (WHERE role = 'precursor'), 0) AS precursor FROM ro GROUP BY ALL),
-ct AS (SELECT v.episode_id, v.view, greatest(v.s, p.s) AS s, least(v.e, p.e) AS e, p.e - p.s AS len FROM vw v JOIN span p ON v.episode_id = p.episode_id WHERE least(v.e, p.e) > greatest(v.s, p.s)),
+ct AS (SELECT DISTINCT v.episode_id, v.view, greatest(v.s, p.s) AS s, least(v.e, p.e) AS e, p.e - p.s AS len FROM vw v JOIN span p ON v.episode_id = p.episode_id WHERE least(v.e, p.e) > greatest(v.s, p.s)),
 cm AS (SELECT *, max(e) OVER (PARTITION BY episode_id, view ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM ct),
 cg AS (SELECT *, sum(CASE WHEN s <= b THEN 0 ELSE 1 END) OVER (PARTITION BY episode_id, view ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM cm),
 cu AS (SELECT episode_id, view, g, max(e) - min(s) AS u, max(len) AS len FROM cg GROUP BY ALL),
@@ -114,25 +114,25 @@ def counterfactual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {EP},
 n AS (SELECT episode_id, count(*) FILTER (WHERE tool_name = 'seek_evidence') % 6 AS n, least(1, sum(value) / 20000) AS v FROM ep GROUP BY episode_id),
 c AS (SELECT *, least(1, 0.25 + 0.15 * n) AS c FROM n)
-SELECT episode_id, CAST(n AS BIGINT) AS n, round(CAST(0.2 * c + 0.2 * 0.9 * c + 0.2 * 0.85 * c + 0.1 * 0.4 * c + 0.2 * 0.75 * c + 0.1 * 0.8 * c AS DOUBLE), 6) AS counted,
+SELECT episode_id, CAST(n AS BIGINT) AS n, round(CAST(0.2 * c + 0.2 * 0.9 * c + 0.2 * 0.85 * c + 0.1 * 0.4 * c + 0.2 * 0.75 * c + 0.1 * 0.8 * c AS DOUBLE) + 1e-9, 6) AS counted,
        round((0.2 * greatest(0, least(1, 0.25 + 0.6 * v + 0.05 * n)) + 0.2 * greatest(0, least(1, 0.2 + 0.55 * v + 0.05 * n)) + 0.2 * greatest(0, least(1, 0.15 + 0.6 * v + 0.05 * greatest(n - 1, 0)))
-              + 0.2 * greatest(0, least(1, 0.15 + 0.5 * v + 0.05 * n)) + 0.1 * greatest(0, least(1, 0.1 + 0.5 * v + 0.05 * n))) / 0.9, 6) AS normal
+              + 0.2 * greatest(0, least(1, 0.15 + 0.5 * v + 0.05 * n)) + 0.1 * greatest(0, least(1, 0.1 + 0.5 * v + 0.05 * n))) / 0.9 + 1e-9, 6) AS normal
 FROM c""")
 def reference_free_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = episodes(spark, sf_dir).groupBy(E).agg((F.count_if(F.col("tool_name") == "seek_evidence") % 6).alias("n"), F.least(F.lit(1.0), F.sum("value") / 20000).alias("v"))
     a = vf.overall(vf.count_fallback(F.col("n")), F.lit(True))
     b = vf.overall(vf.normal_fallback(F.col("v"), F.col("n")), F.lit(False))
-    return n.select(E, "n", F.round(a, 6).alias("counted"), F.round(b, 6).alias("normal"))
+    return n.select(E, "n", F.round(a + 1e-9, 6).alias("counted"), F.round(b + 1e-9, 6).alias("normal"))
 
 
 @query("""
-SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, round(avg(0.35 * l_discount + 0.65 * l_tax), 6) AS both, round(avg(l_discount), 6) AS only_first, round(avg(l_tax * 2), 6) AS only_second FROM lineitem GROUP BY l_orderkey""")
+SELECT l_orderkey, CAST(count(*) AS BIGINT) AS n, round(avg(0.35 * l_discount + 0.65 * l_tax) + 1e-9, 6) AS both, round(avg(l_discount) + 1e-9, 6) AS only_first, round(avg(l_tax * 2) + 1e-9, 6) AS only_second FROM lineitem GROUP BY l_orderkey""")
 def blend_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two score maps mixed; keys of one map only keep their score."""
     a = F.create_map(F.lit("both"), "l_discount", F.lit("only_first"), "l_discount")
     b = F.create_map(F.lit("both"), F.col("l_tax"), F.lit("only_second"), F.col("l_tax") * 2)
     m = table(spark, sf_dir, "lineitem").select("l_orderkey", vf.blend(a, b, 0.35).alias("m"))
-    return m.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("m")[k]), 6).alias(k) for k in ("both", "only_first", "only_second")])
+    return m.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.avg(F.col("m")[k]) + 1e-9, 6).alias(k) for k in ("both", "only_first", "only_second")])
 
 
 PACKAGE = [(7, 0.40), (21, 0.20), (35, 0.25), (49, -0.15)]
