@@ -76,10 +76,10 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {EP},
-q AS (SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE 'q' || CAST(k % 4 AS VARCHAR) END AS query, CASE WHEN k % 3 = 0 THEN 'uniform' ELSE 'siglip_dpp' END AS backend FROM ep WHERE tool_name = 'seek_evidence'),
+q AS (SELECT *, CASE WHEN k % 5 = 0 THEN '' ELSE 'q' || CAST(k % 4 AS VARCHAR) END AS query, CASE WHEN k % 3 = 0 THEN 'uniform' ELSE 'guided' END AS backend FROM ep WHERE tool_name = 'seek_evidence'),
 n AS (SELECT *, lag(query) OVER (PARTITION BY episode_id ORDER BY step_index) AS before FROM q WHERE query <> '')
 SELECT a.episode_id, CAST(a.n AS BIGINT) AS n_seek, CAST(guided AS BIGINT) AS n_guided, CAST(a.n - guided AS BIGINT) AS n_uniform, CAST(coalesce(changes, 0) AS BIGINT) AS query_changes
-FROM (SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE backend = 'siglip_dpp') AS guided FROM q GROUP BY episode_id) a
+FROM (SELECT episode_id, count(*) AS n, count(*) FILTER (WHERE backend = 'guided') AS guided FROM q GROUP BY episode_id) a
 LEFT JOIN (SELECT episode_id, count(*) FILTER (WHERE before IS NOT NULL AND before <> query) AS changes FROM n GROUP BY episode_id) b ON a.episode_id = b.episode_id""")
 def search_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seek turns by backend, and how often consecutive non-blank queries differ: a window over non-blank rows, no self-join."""
