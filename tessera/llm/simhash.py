@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
+from itertools import chain, combinations
 from math import comb
 
 import numpy as np
@@ -23,8 +23,8 @@ from .common import Stored
 from .components import components
 
 SEED = 42
-#: Key groups with up to this many pairs are paired by a join; larger ones are compared in cells of two chunks.
-SMALL_GROUP, CHUNK = 4096, 2048
+#: Key groups with up to this many pairs are paired by a join. Larger ones are compared whole, and from ``CHUNK`` rows in cells of two chunks.
+SMALL_GROUP, CHUNK = 16, 8192
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -83,9 +83,10 @@ def plan(n: int, ones: np.ndarray, together: np.ndarray, distance: int, parts: t
 
     ``ones``: how many of ``n`` fingerprints set each bit; ``together``: how many set both bits of a pair.
     """
-    p = ones / max(n, 1)
+    n = max(n, 1)  # else every plan of an empty table would cost nothing
+    p = ones / n
     var = np.sqrt(np.maximum(p * (1 - p), 1e-12))
-    corr = np.abs(together / max(n, 1) - np.outer(p, p)) / np.outer(var, var)
+    corr = np.abs(together / n - np.outer(p, p)) / np.outer(var, var)
     np.fill_diagonal(corr, 0)
     best: tuple[float, list[Part]] | None = None
     for m in parts:
@@ -202,19 +203,30 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     near = F.bit_count(F.col("a._fp").bitwiseXOR(F.col("b._fp"))) <= distance
     pairs = a.join(b, same & (F.col("a._fp") != F.col("b._fp")) & near).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
 
-    def compare(key: tuple, cell: pd.DataFrame) -> pd.DataFrame:
-        fp = cell["_fp"].to_numpy(np.int64).view(np.uint64)
-        ends = _forest(fp, cell["_own"].to_numpy(bool), distance)
-        e = np.array(ends, np.int64).reshape(-1, 2)
-        s = fp.view(np.int64)
-        return pd.DataFrame({"a": s[e[:, 0]], "b": s[e[:, 1]]})
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by cell; the last cell of a batch waits for the next batch."""
+        held: pd.DataFrame | None = None
+        for b in chain(batches, [None]):
+            rows = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            cell = rows[["_part", "_key", "_lo", "_hi"]].to_numpy(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1, [len(rows)]])
+            fp, own, out = rows["_fp"].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool), []
+            for s, e in zip(cuts[:-1], cuts[1:] if b is None else cuts[1:-1], strict=b is None):
+                out += [(s + u, s + v) for u, v in _forest(fp[s:e], own[s:e], distance)]
+            held = None if b is None else rows.iloc[cuts[-2] :]
+            ends = np.array(out, np.int64).reshape(-1, 2)
+            yield pd.DataFrame({"a": fp[ends[:, 0]].view(np.int64), "b": fp[ends[:, 1]].view(np.int64)})
 
     # A group of k chunks is compared in k (k + 1) / 2 cells, each of two chunks at most.
     k = F.ceil(F.col("_n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64("_fp"), k).cast("int")
-    cells = large.withColumn("_k", k).withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    cells = cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_fp", "_own")
-    far = cells.groupBy("_part", "_key", "_lo", "_hi").applyInPandas(compare, "a long, b long")
+    one = large.where(k == 1).select("_part", "_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), "_fp", "_own")
+    cells = large.where(k > 1).withColumn("_k", k).withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    cells = one.unionByName(cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_fp", "_own"))
+    at = ["_part", "_key", "_lo", "_hi"]
+    far = cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a long, b long")
     return pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
