@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower
+from .common import SPACE, ascii_lower, stored
 
 
 def _lines(text: Column) -> Column:
@@ -41,8 +41,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         .where(F.col("_n") >= min_docs)
         .select("_h1", "_h2", "_keep")
     )
-    # A plain equi-join, so that a key with many lines is split by adaptive execution.
-    lost = keys.join(common, ["_h1", "_h2"]).where(F.col("_doc") != F.col("_keep")).select("_doc", "_pos")
+    # Written first, so that both sides of the join are plain exchanges and adaptive execution splits a key with many lines.
+    lost = keys.join(stored(common), ["_h1", "_h2"]).where(F.col("_doc") != F.col("_keep")).select("_doc", "_pos")
     by_doc = lost.groupBy("_doc").agg(F.collect_set("_pos").alias("_lost"))
     joined = df.join(by_doc, F.col(id_col) == F.col("_doc"), "left")
     lines = _lines(F.col(text_col))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored
+from .common import Stored, stored
 from .components import components
 
 SEED = 42
@@ -195,7 +195,8 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     for p in probes[1:]:
         rows = rows.unionByName(p)
     sizes = rows.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_m")).where("_n > 1 AND _m > 0")
-    grouped = Stored(rows.join(sizes, ["_part", "_key"]))
+    # Aggregates are written before they are joined: then both sides are plain exchanges, which adaptive execution splits.
+    grouped = Stored(rows.join(stored(sizes), ["_part", "_key"]))
     few = F.col("_n") * F.col("_m") <= small_group
     small, large = grouped.df.where(few), grouped.df.where(~few)
     a, b = small.where("_own").alias("a"), small.alias("b")
@@ -243,7 +244,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     roots = components(links(prints.df, distance))
     placed = prints.df.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     ids = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
-    of = placed.join(ids, "_root").select("_fp", "component_id")
+    of = placed.join(stored(ids), "_root").select("_fp", "component_id")
     out = own.df.join(of, "_fp")
     return out.select(F.col("_doc").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
