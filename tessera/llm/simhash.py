@@ -4,11 +4,14 @@ Distinct fingerprints are indexed by parts of their bits. Correlated bits share
 own threshold: thresholds sum to ``distance - parts + 1``, so two fingerprints within ``distance`` agree within
 the threshold of one part at least. Dynamic programming picks thresholds (and the number of parts) from
 estimated candidate counts over all fingerprints.
+
+Groups of near copies are verified: candidates also agree in a 128-bit sketch of their five-word shingles, and
+texts that candidates connect are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain, combinations
 from math import comb
@@ -25,6 +28,14 @@ from .components import components
 SEED = 42
 #: Key groups with up to this many pairs are paired by a join. Larger ones are compared whole, and from ``CHUNK`` rows in cells of two chunks.
 SMALL_GROUP, CHUNK = 16, 8192
+#: Words of a verified shingle, and the least share of shingles (Jaccard) that near copies have in common.
+VERIFIED_SHINGLE, SIMILARITY = 5, 0.8
+#: Sketch bits that candidates may differ in. Sets of similarity 0.8 differ in 12.8 of 128 on average (deviation 3.4), unrelated ones in 64 (5.7).
+SKETCH_DISTANCE = 28
+#: Shingles in a chunk of texts that are compared whole; a task holds two chunks.
+CHUNK_SHINGLES = 2_000_000
+
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 128, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -50,6 +61,59 @@ def _take(it: Iterator[bytes], n: int) -> Iterator[bytes]:
         yield next(it)
 
 
+def _word_hashes(w: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, SEED) for x in w), np.uint64, len(w))
+
+
+def shingle_set(h: np.ndarray, shingle: int = VERIFIED_SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the shingles over word hashes ``h``; fewer words are one shingle, none are no shingle."""
+    if not len(h):
+        return h
+    n = max(1, len(h) - shingle + 1)
+    mixed = np.zeros(n, np.uint64)
+    for j in range(min(shingle, len(h))):
+        mixed = (mixed ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return np.unique(mixed)
+
+
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """Two words of 64 bits: a bit of the least of the shingles under each of 128 multiplications."""
+    least = np.full(128, np.iinfo(np.uint64).max, np.uint64)
+    for i in range(0, len(shingles), 2048):  # so a text of any length takes bounded memory
+        np.minimum(least, (shingles[i : i + 2048, None] * _ODD).min(0), out=least)
+    return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view(np.uint64)
+
+
+def _split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_fp`` (of distinct words), ``_s1``, ``_s2``, ``_size`` (shingles)."""
+
+    def one(text: str | None) -> tuple[str, np.ndarray, int]:
+        w = _split(text)
+        h = _word_hashes(w)
+        shingles, distinct = shingle_set(h), np.unique(h)
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(distinct), 1 << 15):
+            ones += np.unpackbits(distinct[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fp = np.packbits(2 * ones > len(distinct), bitorder="little").view(np.uint64)
+        whole = b" ".join(w)
+        return xxhash.xxh3_128_hexdigest(whole), np.concatenate([np.array([xxhash.xxh64_intdigest(whole)], np.uint64), fp, sketch(shingles)]).view(np.int64), len(shingles)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [one(t) for t in b["_text"]]
+            numbers = np.array([r[1] for r in rows], np.int64).reshape(-1, 4)
+            yield pd.DataFrame({"_doc": b["_doc"], "_node": [r[0] for r in rows], "_id": numbers[:, 0], "_fp": numbers[:, 1], "_s1": numbers[:, 2], "_s2": numbers[:, 3], "_size": [r[2] for r in rows]})
+
+    kind = dict(df.dtypes)[id_col]
+    out = df.select(F.col(id_col).cast("string").alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(run, "_doc string, _node string, _id long, _fp long, _s1 long, _s2 long, _size long")
+    return out.withColumn("_doc", F.col("_doc").cast(kind))
+
+
 def fingerprints(df: DataFrame, id_col: str, text_col: str, shingle: int = 3, distinct: bool = False) -> DataFrame:
     """``_doc``, ``_fp`` (the fingerprint as a signed long)."""
 
@@ -151,8 +215,11 @@ def _stats(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, np.diag(both).copy(), both
 
 
-def _forest(fp: np.ndarray, index: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links that have an indexed end: breadth first, so no list of pairs is ever held."""
+def _forest(fp: np.ndarray, index: np.ndarray, distance: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links that have an indexed end: breadth first, so no list of pairs is ever held.
+
+    ``agree(u, near)`` says which of ``near`` link to ``u`` where the fingerprint alone doesn't.
+    """
     left = np.ones(len(fp), bool)
     out: list[tuple[int, int]] = []
     for s in range(len(fp)):
@@ -166,17 +233,41 @@ def _forest(fp: np.ndarray, index: np.ndarray, distance: int) -> list[tuple[int,
             if not len(rest):
                 continue
             near = rest[np.bitwise_count(fp[rest] ^ fp[u]) <= distance]
+            if agree:
+                near = near[agree(u, near)]
             left[near] = False
             out.extend((int(u), int(v)) for v in near)
             queue.extend(near.tolist())
     return out
 
 
+def _cells(batches: Iterator[pd.DataFrame], at: list[str], forest: Callable[[pd.DataFrame], Callable[[int, int], list[tuple[int, int]]]], name: str, kind: type) -> Iterator[pd.DataFrame]:
+    """Links of each cell. Rows come sorted by cell (``at``); the last cell of a batch waits for the next batch."""
+    held: pd.DataFrame | None = None
+    for b in chain(batches, [None]):
+        rows = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
+        if rows is None or not len(rows):
+            continue
+        cell = rows[at].to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1, [len(rows)]])
+        of, out = forest(rows), []
+        for s, e in zip(cuts[:-1], cuts[1:] if b is None else cuts[1:-1], strict=b is None):
+            out += [(s + u, s + v) for u, v in of(s, e)]
+        held = None if b is None else rows.iloc[cuts[-2] :]
+        both = np.array(out, np.int64).reshape(-1, 2)
+        ids = rows[name].to_numpy(kind)
+        yield pd.DataFrame({"a": ids[both[:, 0]], "b": ids[both[:, 1]]})
+
+
 def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP, chunk: int = CHUNK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (``_fp``) that join the same components as all links within ``distance``.
 
+    With columns ``_id``, ``_s1``, ``_s2`` the links are between ids and need sketches within ``SKETCH_DISTANCE`` too.
+
     Small key groups give every link; in larger ones the links of a cell are thinned to a spanning forest.
     """
+    more = [c for c in ("_id", "_s1", "_s2") if c in prints.columns]
+    name = "_id" if more else "_fp"
     n, ones, both = _stats(prints)
     probes = []
     for k, part in enumerate(plan(n, ones, both, distance)):
@@ -187,10 +278,10 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
         flips = [sum(1 << b for b in c) for t in range(1, part.threshold + 1) for c in combinations(part.bits, t)]
         flips = [f - (1 << 64) if f >> 63 else f for f in flips]
         key = F.col("_fp").bitwiseAND(F.lit(signed))
-        probes.append(prints.select(F.lit(k).alias("_part"), key.alias("_key"), "_fp", F.lit(True).alias("_own")))
+        probes.append(prints.select(F.lit(k).alias("_part"), key.alias("_key"), "_fp", *more, F.lit(True).alias("_own")))
         if flips:
-            some = prints.select("_fp", key.alias("_exact"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("_flip"))
-            probes.append(some.select(F.lit(k).alias("_part"), F.col("_exact").bitwiseXOR(F.col("_flip")).alias("_key"), "_fp", F.lit(False).alias("_own")))
+            some = prints.select("_fp", *more, key.alias("_exact"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("_flip"))
+            probes.append(some.select(F.lit(k).alias("_part"), F.col("_exact").bitwiseXOR(F.col("_flip")).alias("_key"), "_fp", *more, F.lit(False).alias("_own")))
     rows = probes[0]
     for p in probes[1:]:
         rows = rows.unionByName(p)
@@ -201,32 +292,35 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     small, large = grouped.df.where(few), grouped.df.where(~few)
     a, b = small.where("_own").alias("a"), small.alias("b")
     same = (F.col("a._part") == F.col("b._part")) & (F.col("a._key") == F.col("b._key"))
-    near = F.bit_count(F.col("a._fp").bitwiseXOR(F.col("b._fp"))) <= distance
-    pairs = a.join(b, same & (F.col("a._fp") != F.col("b._fp")) & near).select(F.col("a._fp").alias("a"), F.col("b._fp").alias("b"))
+    far_bits = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
+    near = far_bits("_fp") <= distance
+    if more:
+        near = near & (far_bits("_s1") + far_bits("_s2") <= SKETCH_DISTANCE)
+    pairs = a.join(b, same & (F.col(f"a.{name}") != F.col(f"b.{name}")) & near).select(F.col(f"a.{name}").alias("a"), F.col(f"b.{name}").alias("b"))
+
+    def forest(rows: pd.DataFrame) -> Callable[[int, int], list[tuple[int, int]]]:
+        fp, own = rows["_fp"].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool)
+        sk = rows[["_s1", "_s2"]].to_numpy(np.int64).view(np.uint64) if more else None
+
+        def of(s: int, e: int) -> list[tuple[int, int]]:
+            if sk is None:
+                return _forest(fp[s:e], own[s:e], distance)
+            cell = sk[s:e]
+            return _forest(fp[s:e], own[s:e], distance, lambda u, near: np.bitwise_count(cell[near] ^ cell[u]).sum(1, dtype=np.int64) <= SKETCH_DISTANCE)
+
+        return of
+
+    at = ["_part", "_key", "_lo", "_hi"]
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by cell; the last cell of a batch waits for the next batch."""
-        held: pd.DataFrame | None = None
-        for b in chain(batches, [None]):
-            rows = held if b is None else b if held is None else pd.concat([held, b], ignore_index=True)
-            if rows is None or not len(rows):
-                continue
-            cell = rows[["_part", "_key", "_lo", "_hi"]].to_numpy(np.int64)
-            cuts = np.concatenate([[0], np.flatnonzero((cell[1:] != cell[:-1]).any(1)) + 1, [len(rows)]])
-            fp, own, out = rows["_fp"].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool), []
-            for s, e in zip(cuts[:-1], cuts[1:] if b is None else cuts[1:-1], strict=b is None):
-                out += [(s + u, s + v) for u, v in _forest(fp[s:e], own[s:e], distance)]
-            held = None if b is None else rows.iloc[cuts[-2] :]
-            ends = np.array(out, np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"a": fp[ends[:, 0]].view(np.int64), "b": fp[ends[:, 1]].view(np.int64)})
+        yield from _cells(batches, at, forest, name, np.int64)
 
     # A group of k chunks is compared in k (k + 1) / 2 cells, each of two chunks at most.
     k = F.ceil(F.col("_n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("_fp"), k).cast("int")
-    one = large.where(k == 1).select("_part", "_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), "_fp", "_own")
+    mine = F.pmod(F.xxhash64(name), k).cast("int")
+    one = large.where(k == 1).select("_part", "_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), "_fp", *more, "_own")
     cells = large.where(k > 1).withColumn("_k", k).withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    cells = one.unionByName(cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_fp", "_own"))
-    at = ["_part", "_key", "_lo", "_hi"]
+    cells = one.unionByName(cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_fp", *more, "_own"))
     far = cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a long, b long")
     return pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -249,11 +343,75 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_doc").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, distance: int = 7, distinct: bool = True) -> DataFrame:
-    """The rows of ``df`` whose id is their component's; of rows that repeat such an id, all stay. All columns are kept.
+def verified_links(texts: DataFrame, roots: DataFrame, df: DataFrame, id_col: str, text_col: str, distance: int, similarity: float, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+    """Links ``a, b`` between ``_node`` s that candidates connect, which join the same components as all links of ``similarity``.
+
+    Texts are compared by whole shingle sets, in cells of two chunks of a bounded number of shingles.
+    """
+    group = texts.where(F.col("_least").isNotNull()).join(roots, F.col("_id") == F.col("node")).select("root", "_node", "_least", "_size")
+    group = Stored(group)
+    sums = group.df.groupBy("root").agg(F.sum("_size").alias("_sum"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    k = F.ceil(F.col("_sum") / chunk).cast("int")
+    asked = stored(group.df.join(stored(sums), "root").select("root", F.col("_node").alias("_want"), "_least", F.greatest(k, F.lit(1)).alias("_k")))
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            words = [_split(t) for t in b["_text"]]
+            right = [xxhash.xxh3_128_hexdigest(b" ".join(w)) == n for w, n in zip(words, b["_want"], strict=True)]
+            sets = [shingle_set(_word_hashes(w)).view(np.int64) if r else None for w, r in zip(words, right, strict=True)]
+            # The fingerprint isn't kept from before: of distinct words it is cheap.
+            prints = [fingerprint(t, 1, True) if r else 0 for t, r in zip(b["_text"], right, strict=True)]
+            out = pd.DataFrame({"root": b["root"], "_k": b["_k"], "_node": b["_want"], "_fp": np.array(prints, np.uint64).view(np.int64), "_set": sets})
+            yield out[np.array(right, bool)]
+
+    found = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(asked, F.col("_doc") == F.col("_least"))
+    sets = found.select("root", "_k", "_want", "_text").mapInPandas(cut, "root long, _k int, _node string, _fp long, _set array<long>")
+    mine = F.pmod(F.xxhash64("_node"), F.col("_k")).cast("int")
+    cells = sets.withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
+    at = ["root", "_lo", "_hi"]
+    cells = cells.select("root", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_node", "_fp", "_set")
+
+    def forest(rows: pd.DataFrame) -> Callable[[int, int], list[tuple[int, int]]]:
+        fp, sets = rows["_fp"].to_numpy(np.int64).view(np.uint64), [np.asarray(x, np.int64).view(np.uint64) for x in rows["_set"]]
+
+        def of(s: int, e: int) -> list[tuple[int, int]]:
+            agree = lambda u, near: np.array([similar(sets[s + u], sets[s + v], similarity) for v in near], bool)
+            return _forest(fp[s:e], np.ones(e - s, bool), distance, agree)
+
+        return of
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _cells(batches, at, forest, "_node", object)
+
+    return cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a string, b string")
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
+    """Whether two sorted sets share ``similarity`` of their union."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1) if len(b) else np.zeros(0, int)
+    both = int((b[at] == a).sum()) if len(b) else 0
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 7, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``df`` whose id is the smallest of their group; of rows that repeat such an id, all stay. All columns are kept.
 
-    By default fingerprints are of distinct words: an edited word touches one of them instead of every shingle
-    over it, so copies that share four in five of their five-word shingles stay within ``distance``.
+    Texts with the same words (A-Z lower-cased) are one group. Others link if their fingerprints of distinct
+    words differ in ``distance`` bits at most and they share ``similarity`` of their five-word shingles. A group
+    is what links reach. Distinct words are taken since an edited word touches one of them instead of every
+    shingle over it. Null and empty texts are one group; a text of fewer words is one shingle. A null id never
+    stands for a group that has another, and texts that only null ids hold link to no other text.
     """
-    keep = near_duplicates(df, id_col, text_col, shingle, distance, distinct).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_keep")).distinct()
-    return df.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    own = Stored(sketches(df, id_col, text_col))
+    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_s1", "_s2", "_size")])
+    texts = Stored(once)
+    rough = Stored(components(links(texts.df.select("_id", "_fp", "_s1", "_s2"), distance)))
+    roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, distance, similarity))
+    placed = Stored(texts.df.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")))
+    # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.
+    lost = placed.df.where("_root <> _node").select("_root").distinct()
+    ids = placed.df.join(stored(lost), "_root", "left_semi").groupBy("_root").agg(F.min("_least").alias("_min"))
+    of = placed.df.join(stored(ids), "_root", "left").select(F.coalesce("_min", "_least").alias("_keep")).distinct()
+    return df.join(of, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")

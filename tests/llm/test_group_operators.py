@@ -40,6 +40,20 @@ def plain_components(fps, distance=3):
     return {f: find(f) for f in fps}
 
 
+def plain_near_copies(rows, distance=7, similarity=0.8):
+    """The least id of each row's group: all pairs compared by fingerprint and whole shingle sets."""
+    rows = sorted((i, (t or "").encode().lower().split()) for i, t in rows)
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for _, w in rows]
+    fps = [simhash.fingerprint(b" ".join(w).decode(), 1, True) for _, w in rows]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if rows[a][1] == rows[b][1] or ((fps[a] ^ fps[b]).bit_count() <= distance and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])):
+                x, y = root[a], root[b]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return {i: rows[r][0] for (i, _), r in zip(rows, root, strict=True)}
+
+
 def near_rows(n=120, seed=2):
     rng = random.Random(seed)
     rows = []
@@ -82,6 +96,35 @@ def test_one_row_of_each_component_stays(spark):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cell,chunk", [(8192, 2_000_000), (8, 600)])
+def test_near_copies_are_verified(spark, monkeypatch, cell, chunk):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(900 - i, w) for i, w in enumerate([base, base[::-1], base[60:] + base[:60], [*base[:119], "Ünd"]])]
+    for i in range(60):  # from copies with one edit to texts of the same words in other orders
+        w = list(rng.choice(rows)[1])
+        for _ in range(rng.choice([0, 1, 1, 3, 8])):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        rows.append((i, w))
+    rows = [(i, rng.choice([" ", "\n"]).join(w)) for i, w in rows] + [(1000, None), (1001, ""), (1002, "a"), (1003, "A"), (1004, "a b"), (1005, "word " * 50_000)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, _x int")
+    monkeypatch.setattr(simhash.links, "__defaults__", (3, 1, cell))
+    monkeypatch.setattr(simhash.verified_links, "__defaults__", (chunk,))
+    want = {i for i, least in plain_near_copies(rows).items() if i == least}
+    assert 10 < len(want) < 60 and {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
+
+
+def test_sketches_follow_similarity():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 1 << 63, 3000, np.uint64)
+    bits = lambda a, b: int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum())
+    near = [bits(x[i : i + 900], x[i + 100 : i + 1000]) for i in range(0, 1000, 50)]
+    assert max(near) <= simhash.SKETCH_DISTANCE and abs(np.mean(near) - 12.8) < 4
+    assert bits(x[:900], x[1000:1900]) > simhash.SKETCH_DISTANCE and len(simhash.sketch(x[:0])) == 2
+    assert simhash.similar(np.arange(10), np.arange(2, 10)) and not simhash.similar(np.arange(10), np.arange(3, 10))
+    assert simhash.similar(np.arange(0), np.arange(0))
+
+
 def test_plan_thresholds_cover_the_distance():
     rng = np.random.default_rng(0)
     bits = (rng.random((500, 64)) < rng.random(64)).astype(float)

@@ -3,11 +3,11 @@
 import random
 
 import numpy as np
-from test_group_operators import plain_components
+from test_group_operators import plain_near_copies
 from test_text_operators import VOCABULARY, plain_contaminated, plain_line_dedup
 
 import corpus_pipeline
-from tessera.llm import packing, quality, simhash, token_counts
+from tessera.llm import packing, quality, token_counts
 
 
 def fixture():
@@ -43,12 +43,8 @@ def test_stages_match_plain_versions(spark, tmp_path):
     kept = [r for r, g in zip(rows, good, strict=True) if g]
     assert not any((t or "").isupper() for _, t in kept) and len(kept) > 100
     kept = [(i, t) for i, _, _, t in plain_line_dedup(kept)]
-    fps = {i: simhash.fingerprint(t, 1, True) for i, t in kept}
-    roots = plain_components(set(fps.values()), 7)
-    least = {}
-    for i, f in fps.items():
-        least[roots[f]] = min(i, least.get(roots[f], i))
-    kept = [(i, t) for i, t in kept if least[roots[fps[i]]] == i]
+    least = plain_near_copies(kept)
+    kept = [(i, t) for i, t in kept if least[i] == i]
     bad = plain_contaminated(kept, items)
     kept = [(i, t) for i, t in kept if i not in bad]
     assert bad
