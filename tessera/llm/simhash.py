@@ -5,7 +5,7 @@ own threshold: thresholds sum to ``distance - parts + 1``, so two fingerprints w
 the threshold of one part at least. Dynamic programming picks thresholds (and the number of parts) from
 estimated candidate counts over all fingerprints.
 
-Groups of near copies are verified: candidates also agree in a 128-bit sketch of their five-word shingles, and
+Groups of near copies are verified: candidates also agree in a 64-bit sketch of their five-word shingles, and
 texts that candidates connect are compared by their whole shingle sets.
 """
 
@@ -30,12 +30,12 @@ SEED = 42
 SMALL_GROUP, CHUNK = 16, 8192
 #: Words of a verified shingle, and the least share of shingles (Jaccard) that near copies have in common.
 VERIFIED_SHINGLE, SIMILARITY = 5, 0.8
-#: Sketch bits that candidates may differ in. Sets of similarity 0.8 differ in 12.8 of 128 on average (deviation 3.4), unrelated ones in 64 (5.7).
-SKETCH_DISTANCE = 28
+#: Sketch bits that candidates may differ in. Sets of similarity 0.8 differ in 6.4 of 64 on average (deviation 2.4; in over 18 once in 100,000), unrelated ones in 32 (4).
+SKETCH_DISTANCE = 18
 #: Shingles in a chunk of texts that are compared whole; a task holds two chunks.
 CHUNK_SHINGLES = 2_000_000
 
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 128, np.uint64) * np.uint64(2) + np.uint64(1)
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, shingle: int = 3, distinct: bool = False) -> int:
@@ -78,8 +78,8 @@ def shingle_set(h: np.ndarray, shingle: int = VERIFIED_SHINGLE) -> np.ndarray:
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    """Two words of 64 bits: a bit of the least of the shingles under each of 128 multiplications."""
-    least = np.full(128, np.iinfo(np.uint64).max, np.uint64)
+    """64 bits: one of the least of the shingles under each of 64 multiplications."""
+    least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):  # so a text of any length takes bounded memory
         np.minimum(least, (shingles[i : i + 2048, None] * _ODD).min(0), out=least)
     return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view(np.uint64)
@@ -90,7 +90,7 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_fp`` (of distinct words), ``_s1``, ``_s2``, ``_size`` (shingles)."""
+    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_fp`` (of distinct words), ``_sketch``, ``_size`` (shingles)."""
 
     def one(text: str | None) -> tuple[str, np.ndarray, int]:
         w = _split(text)
@@ -106,11 +106,11 @@ def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [one(t) for t in b["_text"]]
-            numbers = np.array([r[1] for r in rows], np.int64).reshape(-1, 4)
-            yield pd.DataFrame({"_doc": b["_doc"], "_node": [r[0] for r in rows], "_id": numbers[:, 0], "_fp": numbers[:, 1], "_s1": numbers[:, 2], "_s2": numbers[:, 3], "_size": [r[2] for r in rows]})
+            numbers = np.array([r[1] for r in rows], np.int64).reshape(-1, 3)
+            yield pd.DataFrame({"_doc": b["_doc"], "_node": [r[0] for r in rows], "_id": numbers[:, 0], "_fp": numbers[:, 1], "_sketch": numbers[:, 2], "_size": [r[2] for r in rows]})
 
     kind = dict(df.dtypes)[id_col]
-    out = df.select(F.col(id_col).cast("string").alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(run, "_doc string, _node string, _id long, _fp long, _s1 long, _s2 long, _size long")
+    out = df.select(F.col(id_col).cast("string").alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(run, "_doc string, _node string, _id long, _fp long, _sketch long, _size long")
     return out.withColumn("_doc", F.col("_doc").cast(kind))
 
 
@@ -262,11 +262,11 @@ def _cells(batches: Iterator[pd.DataFrame], at: list[str], forest: Callable[[pd.
 def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP, chunk: int = CHUNK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints (``_fp``) that join the same components as all links within ``distance``.
 
-    With columns ``_id``, ``_s1``, ``_s2`` the links are between ids and need sketches within ``SKETCH_DISTANCE`` too.
+    With columns ``_id`` and ``_sketch`` the links are between ids and need sketches within ``SKETCH_DISTANCE`` too.
 
     Small key groups give every link; in larger ones the links of a cell are thinned to a spanning forest.
     """
-    more = [c for c in ("_id", "_s1", "_s2") if c in prints.columns]
+    more = [c for c in ("_id", "_sketch") if c in prints.columns]
     name = "_id" if more else "_fp"
     n, ones, both = _stats(prints)
     probes = []
@@ -295,18 +295,18 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     far_bits = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
     near = far_bits("_fp") <= distance
     if more:
-        near = near & (far_bits("_s1") + far_bits("_s2") <= SKETCH_DISTANCE)
+        near = near & (far_bits("_sketch") <= SKETCH_DISTANCE)
     pairs = a.join(b, same & (F.col(f"a.{name}") != F.col(f"b.{name}")) & near).select(F.col(f"a.{name}").alias("a"), F.col(f"b.{name}").alias("b"))
 
     def forest(rows: pd.DataFrame) -> Callable[[int, int], list[tuple[int, int]]]:
         fp, own = rows["_fp"].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool)
-        sk = rows[["_s1", "_s2"]].to_numpy(np.int64).view(np.uint64) if more else None
+        sk = rows["_sketch"].to_numpy(np.int64).view(np.uint64) if more else None
 
         def of(s: int, e: int) -> list[tuple[int, int]]:
             if sk is None:
                 return _forest(fp[s:e], own[s:e], distance)
             cell = sk[s:e]
-            return _forest(fp[s:e], own[s:e], distance, lambda u, near: np.bitwise_count(cell[near] ^ cell[u]).sum(1, dtype=np.int64) <= SKETCH_DISTANCE)
+            return _forest(fp[s:e], own[s:e], distance, lambda u, near: np.bitwise_count(cell[near] ^ cell[u]) <= SKETCH_DISTANCE)
 
         return of
 
@@ -405,9 +405,9 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     stands for a group that has another, and texts that only null ids hold link to no other text.
     """
     own = Stored(sketches(df, id_col, text_col))
-    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_s1", "_s2", "_size")])
+    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_sketch", "_size")])
     texts = Stored(once)
-    rough = Stored(components(links(texts.df.select("_id", "_fp", "_s1", "_s2"), distance)))
+    rough = Stored(components(links(texts.df.select("_id", "_fp", "_sketch"), distance)))
     roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, distance, similarity))
     placed = Stored(texts.df.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")))
     # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.

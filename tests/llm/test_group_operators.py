@@ -119,8 +119,8 @@ def test_sketches_follow_similarity():
     x = rng.integers(0, 1 << 63, 3000, np.uint64)
     bits = lambda a, b: int(np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b)).sum())
     near = [bits(x[i : i + 900], x[i + 100 : i + 1000]) for i in range(0, 1000, 50)]
-    assert max(near) <= simhash.SKETCH_DISTANCE and abs(np.mean(near) - 12.8) < 4
-    assert bits(x[:900], x[1000:1900]) > simhash.SKETCH_DISTANCE and len(simhash.sketch(x[:0])) == 2
+    assert max(near) <= simhash.SKETCH_DISTANCE and abs(np.mean(near) - 6.4) < 3
+    assert bits(x[:900], x[1000:1900]) > simhash.SKETCH_DISTANCE and len(simhash.sketch(x[:0])) == 1
     assert simhash.similar(np.arange(10), np.arange(2, 10)) and not simhash.similar(np.arange(10), np.arange(3, 10))
     assert simhash.similar(np.arange(0), np.arange(0))
 
