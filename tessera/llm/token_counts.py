@@ -7,6 +7,7 @@ count can be remembered.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -107,7 +108,15 @@ class PieceCounter:
         return sum([get(w) or slow(w) for w in parts])
 
 
-_counters: dict[int, PieceCounter] = {}
+#: The worker's counter, by a digest of its vocabulary. Workers outlive queries, so only the last one is held.
+_counter: dict[str, PieceCounter] = {}
+
+
+def _counter_of(digest: str, v: Vocabulary) -> PieceCounter:
+    if digest not in _counter:
+        _counter.clear()
+        _counter[digest] = PieceCounter(v)
+    return _counter[digest]
 
 
 def count_tokens(df: DataFrame, text_col: str = "text", path: str = PIECES, out_col: str = "n_tokens") -> DataFrame:
@@ -115,12 +124,13 @@ def count_tokens(df: DataFrame, text_col: str = "text", path: str = PIECES, out_
 
     Null, empty and white-space texts count zero; repeated rows count alike; an empty table stays empty.
     """
-    vocabulary = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    read = read_vocabulary(path)
+    digest = hashlib.sha256(repr(read).encode("utf-8", "surrogatepass")).hexdigest()
+    vocabulary = df.sparkSession.sparkContext.broadcast(read)
 
     @F.pandas_udf("long")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        key = id(vocabulary.value)
-        counter = _counters.get(key) or _counters.setdefault(key, PieceCounter(vocabulary.value))
+        counter = _counter_of(digest, vocabulary.value)
         for texts in batches:
             yield pd.Series([counter.text(t) for t in texts], dtype="int64")
 

@@ -76,6 +76,13 @@ def test_token_count_ties_take_the_earliest_start():
     assert [c.text(x) for x in texts] == [len(e.ids) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_a_worker_holds_one_counter():
+    a, b = token_counts.Vocabulary([("▁", -1.0), ("a", -1.0)], 0, False), token_counts.Vocabulary([("▁a", -1.0)], 0, False)
+    first = token_counts._counter_of("a", a)
+    assert token_counts._counter_of("a", a) is first and first.text("a") == 2
+    assert token_counts._counter_of("b", b).text("a") == 1 and list(token_counts._counter) == ["b"]
+
+
 def test_token_counts_query_handles_nulls_and_clashes(spark):
     df = docs(spark, [(1, None), (2, ""), (3, "hello world"), (3, "hello world")]).withColumn("n_tokens", F.lit("old"))
     got = {(r.doc_id, r.n_tokens) for r in token_counts.count_tokens(df, path=VOCABULARY).collect()}
