@@ -343,10 +343,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("_doc").alias(id_col), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def verified_links(texts: DataFrame, roots: DataFrame, df: DataFrame, id_col: str, text_col: str, distance: int, similarity: float, chunk: int = CHUNK_SHINGLES) -> DataFrame:
+def verified_links(texts: DataFrame, roots: DataFrame, df: DataFrame, id_col: str, text_col: str, similarity: float, chunk: int = CHUNK_SHINGLES) -> DataFrame:
     """Links ``a, b`` between ``_node`` s that candidates connect, which join the same components as all links of ``similarity``.
 
-    Texts are compared by whole shingle sets, in cells of two chunks of a bounded number of shingles.
+    Texts are compared by whole shingle sets and nothing else, in cells of two chunks of a bounded number of shingles.
     """
     group = texts.where(F.col("_least").isNotNull()).join(roots, F.col("_id") == F.col("node")).select("root", "_node", "_least", "_size")
     group = Stored(group)
@@ -359,26 +359,19 @@ def verified_links(texts: DataFrame, roots: DataFrame, df: DataFrame, id_col: st
             words = [_split(t) for t in b["_text"]]
             right = [xxhash.xxh3_128_hexdigest(b" ".join(w)) == n for w, n in zip(words, b["_want"], strict=True)]
             sets = [shingle_set(_word_hashes(w)).view(np.int64) if r else None for w, r in zip(words, right, strict=True)]
-            # The fingerprint isn't kept from before: of distinct words it is cheap.
-            prints = [fingerprint(t, 1, True) if r else 0 for t, r in zip(b["_text"], right, strict=True)]
-            out = pd.DataFrame({"root": b["root"], "_k": b["_k"], "_node": b["_want"], "_fp": np.array(prints, np.uint64).view(np.int64), "_set": sets})
+            out = pd.DataFrame({"root": b["root"], "_k": b["_k"], "_node": b["_want"], "_set": sets})
             yield out[np.array(right, bool)]
 
     found = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text")).join(asked, F.col("_doc") == F.col("_least"))
-    sets = found.select("root", "_k", "_want", "_text").mapInPandas(cut, "root long, _k int, _node string, _fp long, _set array<long>")
+    sets = found.select("root", "_k", "_want", "_text").mapInPandas(cut, "root long, _k int, _node string, _set array<long>")
     mine = F.pmod(F.xxhash64("_node"), F.col("_k")).cast("int")
     cells = sets.withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
     at = ["root", "_lo", "_hi"]
-    cells = cells.select("root", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_node", "_fp", "_set")
+    cells = cells.select("root", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_node", "_set")
 
     def forest(rows: pd.DataFrame) -> Callable[[int, int], list[tuple[int, int]]]:
-        fp, sets = rows["_fp"].to_numpy(np.int64).view(np.uint64), [np.asarray(x, np.int64).view(np.uint64) for x in rows["_set"]]
-
-        def of(s: int, e: int) -> list[tuple[int, int]]:
-            agree = lambda u, near: np.array([similar(sets[s + u], sets[s + v], similarity) for v in near], bool)
-            return _forest(fp[s:e], np.ones(e - s, bool), distance, agree)
-
-        return of
+        sets = [np.asarray(x, np.int64).view(np.uint64) for x in rows["_set"]]
+        return lambda s, e: set_forest(sets[s:e], similarity)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _cells(batches, at, forest, "_node", object)
@@ -386,6 +379,51 @@ def verified_links(texts: DataFrame, roots: DataFrame, df: DataFrame, id_col: st
     return cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a string, b string")
 
 
+def _postings(sets: list[np.ndarray], similarity: float) -> Callable[[int], np.ndarray]:
+    """Which sets may be similar to a set: those that share one of its rarest shingles.
+
+    Sets of ``similarity`` lack less than ``1 - similarity`` of their own shingles, so whatever the order, the first
+    so many and one more of both share a shingle. Rarest first, few others do.
+    """
+    sizes = np.array([len(x) for x in sets])
+    values, place, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    ends = np.cumsum(sizes)
+    first = sizes - np.ceil(similarity * sizes - 1e-6).astype(int) + 1
+    rare = []
+    for e, n, k in zip(ends, sizes, first, strict=True):
+        at = place[e - n : e]
+        rare.append(at[np.lexsort((at, counts[at]))[:k]])
+    held = np.concatenate(rare)
+    owner = np.repeat(np.arange(len(sets)), [len(r) for r in rare])[np.argsort(held, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(held, minlength=len(values)))])
+    return lambda u: np.concatenate([owner[starts[t] : starts[t + 1]] for t in rare[u]] or [owner[:0]])
+
+
+def set_forest(sets: list[np.ndarray], similarity: float = SIMILARITY, few: int = 64) -> list[tuple[int, int]]:
+    """A spanning forest of the links of ``similarity`` between sets. Up to ``few`` sets are compared without an index."""
+    sizes, left = np.array([len(x) for x in sets]), np.ones(len(sets), bool)
+    may = _postings(sets, similarity) if len(sets) > few else None
+    out: list[tuple[int, int]] = []
+    for s in range(len(sets)):
+        if not left[s]:
+            continue
+        left[s] = False
+        queue = [s]
+        while queue:
+            u = queue.pop()
+            rest = np.flatnonzero(left)
+            if may and sizes[u] and len(rest) > few:
+                hit = np.zeros(len(sets), bool)
+                hit[may(u)] = True
+                rest = np.flatnonzero(left & hit)
+            rest = rest[np.minimum(sizes[rest], sizes[u]) >= similarity * np.maximum(sizes[rest], sizes[u])]
+            near = [int(v) for v in rest if similar(sets[u], sets[v], similarity)]
+            left[near] = False
+            out.extend((u, v) for v in near)
+            queue.extend(near)
+    return out
+
+
 def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     """Whether two sorted sets share ``similarity`` of their union."""
     if min(len(a), len(b)) < similarity * max(len(a), len(b)):
@@ -408,7 +446,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_sketch", "_size")])
     texts = Stored(once)
     rough = Stored(components(links(texts.df.select("_id", "_fp", "_sketch"), distance)))
-    roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, distance, similarity))
+    roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, similarity))
     placed = Stored(texts.df.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")))
     # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.
     lost = placed.df.where("_root <> _node").select("_root").distinct()

@@ -114,6 +114,47 @@ def test_near_copies_are_verified(spark, monkeypatch, cell, chunk):
     assert 10 < len(want) < 60 and {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_set_forest_is_decided_by_sets_alone(few):
+    rng = random.Random(4)
+    sets = [np.arange(0), np.arange(0)]
+    for i in range(150):
+        x = {*range(40), *rng.sample(range(40, 10**6), rng.choice([3, 60, 160]))} if i < 40 or rng.random() < 0.2 else set(rng.choice(sets[2:]).tolist())
+        for _ in range(rng.choice([0, 1, 4, 12])):
+            x.discard(rng.choice(sorted(x)))
+            x.add(rng.randrange(10**6))
+        sets.append(np.array(sorted(x)))
+    sets = [x.astype(np.uint64) for x in sets]
+    root = {i: i for i in range(len(sets))}
+    for a in range(len(sets)):
+        for b in range(a):
+            if simhash.similar(sets[a], sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {i: x if r == y else r for i, r in root.items()}
+    got = list(range(len(sets)))
+    pairs = simhash.set_forest(sets, few=few)
+    for a, b in pairs:
+        assert simhash.similar(sets[a], sets[b])
+        x, y = sorted((got[a], got[b]))
+        assert x != y
+        got = [x if r == y else r for r in got]
+    assert got == [root[i] for i in range(len(sets))] and 20 < len(set(got)) < 140
+
+
+def test_verified_links_ignore_fingerprints(spark):
+    base = [f"w{i}" for i in range(400)]
+    longer = (" ".join([*base, *[f"tail{k}_{i}" for i in range(90)]]) for k in range(1000))
+    far = lambda t: (simhash.fingerprint(t, 1, True) ^ simhash.fingerprint(" ".join(base), 1, True)).bit_count()
+    rows = [(1, " ".join(base)), (2, next(t for t in longer if far(t) > 7))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = simhash.sketches(df, "doc_id", "text")
+    texts = own.select("_node", F.col("_doc").alias("_least"), "_id", "_size")
+    least = min(r._id for r in own.collect())
+    roots = own.select(F.col("_id").alias("node"), F.lit(least).alias("root"))
+    got = simhash.verified_links(texts, roots, df, "doc_id", "text", similarity=0.8).collect()
+    assert len({frozenset((r.a, r.b)) for r in got}) == 1
+
+
 def test_sketches_follow_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, np.uint64)
