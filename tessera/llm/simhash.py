@@ -5,8 +5,8 @@ own threshold: thresholds sum to ``distance - parts + 1``, so two fingerprints w
 the threshold of one part at least. Dynamic programming picks thresholds (and the number of parts) from
 estimated candidate counts over all fingerprints.
 
-Groups of near copies are verified: candidates also agree in a 64-bit sketch of their five-word shingles, and
-texts that candidates connect are compared by their whole shingle sets.
+Groups of near copies by similarity take other candidates: texts that share a band of their five-word shingles'
+minima, and agree in a 64-bit sketch of them. Texts that candidates connect are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -32,9 +32,13 @@ SMALL_GROUP, CHUNK = 16, 8192
 VERIFIED_SHINGLE, SIMILARITY = 5, 0.8
 #: Sketch bits that candidates may differ in. Sets of similarity 0.8 differ in 6.4 of 64 on average (deviation 2.4; in over 18 once in 100,000), unrelated ones in 32 (4).
 SKETCH_DISTANCE = 18
+#: Minima of a band, of 64. Sets of similarity s share one of 16 bands of 4 with chance 1 - (1 - s^4)^16: all but one in 4,500 at 0.8, however their texts were edited.
+BAND = 4
 #: Shingles in a chunk of texts that are compared whole; a task holds two chunks.
 CHUNK_SHINGLES = 2_000_000
 
+BANDS = [f"_band{k}" for k in range(64 // BAND)]
+
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -77,11 +81,27 @@ def shingle_set(h: np.ndarray, shingle: int = VERIFIED_SHINGLE) -> np.ndarray:
     return np.unique(mixed)
 
 
-def sketch(shingles: np.ndarray) -> np.ndarray:
-    """64 bits: one of the least of the shingles under each of 64 multiplications."""
+def minima(shingles: np.ndarray) -> np.ndarray:
+    """The least of the shingles under each of 64 multiplications."""
     least = np.full(64, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(shingles), 2048):  # so a text of any length takes bounded memory
         np.minimum(least, (shingles[i : i + 2048, None] * _ODD).min(0), out=least)
+    return least
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A hash of each ``BAND`` minima."""
+    rows = least.reshape(-1, BAND)
+    mixed = np.zeros(len(rows), np.uint64)
+    for j in range(BAND):
+        mixed = (mixed ^ rows[:, j]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return mixed
+
+
+def sketch(shingles: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
+    """64 bits: one of each of the shingles' minima."""
+    least = minima(shingles) if least is None else least
     return np.packbits((least >> np.uint64(20) & np.uint64(1)).astype(bool), bitorder="little").view(np.uint64)
 
 
@@ -90,27 +110,25 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_fp`` (of distinct words), ``_sketch``, ``_size`` (shingles)."""
+    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_sketch``, ``_band0`` and on, ``_size`` (shingles)."""
+    columns = ["_id", "_sketch", *BANDS]
 
     def one(text: str | None) -> tuple[str, np.ndarray, int]:
         w = _split(text)
-        h = _word_hashes(w)
-        shingles, distinct = shingle_set(h), np.unique(h)
-        ones = np.zeros(64, np.int64)
-        for i in range(0, len(distinct), 1 << 15):
-            ones += np.unpackbits(distinct[i : i + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        fp = np.packbits(2 * ones > len(distinct), bitorder="little").view(np.uint64)
-        whole = b" ".join(w)
-        return xxhash.xxh3_128_hexdigest(whole), np.concatenate([np.array([xxhash.xxh64_intdigest(whole)], np.uint64), fp, sketch(shingles)]).view(np.int64), len(shingles)
+        shingles = shingle_set(_word_hashes(w))
+        least, whole = minima(shingles), b" ".join(w)
+        numbers = [np.array([xxhash.xxh64_intdigest(whole)], np.uint64), sketch(shingles, least), bands(least)]
+        return xxhash.xxh3_128_hexdigest(whole), np.concatenate(numbers).view(np.int64), len(shingles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [one(t) for t in b["_text"]]
-            numbers = np.array([r[1] for r in rows], np.int64).reshape(-1, 3)
-            yield pd.DataFrame({"_doc": b["_doc"], "_node": [r[0] for r in rows], "_id": numbers[:, 0], "_fp": numbers[:, 1], "_sketch": numbers[:, 2], "_size": [r[2] for r in rows]})
+            numbers = np.array([r[1] for r in rows], np.int64).reshape(-1, len(columns))
+            yield pd.DataFrame({"_doc": b["_doc"], "_node": [r[0] for r in rows], **{c: numbers[:, k] for k, c in enumerate(columns)}, "_size": [r[2] for r in rows]})
 
     kind = dict(df.dtypes)[id_col]
-    out = df.select(F.col(id_col).cast("string").alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(run, "_doc string, _node string, _id long, _fp long, _sketch long, _size long")
+    schema = ", ".join(["_doc string", "_node string", *[f"{c} long" for c in columns], "_size long"])
+    out = df.select(F.col(id_col).cast("string").alias("_doc"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
     return out.withColumn("_doc", F.col("_doc").cast(kind))
 
 
@@ -215,11 +233,8 @@ def _stats(prints: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
     return n, np.diag(both).copy(), both
 
 
-def _forest(fp: np.ndarray, index: np.ndarray, distance: int, agree: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links that have an indexed end: breadth first, so no list of pairs is ever held.
-
-    ``agree(u, near)`` says which of ``near`` link to ``u`` where the fingerprint alone doesn't.
-    """
+def _forest(fp: np.ndarray, index: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links that have an indexed end: breadth first, so no list of pairs is ever held."""
     left = np.ones(len(fp), bool)
     out: list[tuple[int, int]] = []
     for s in range(len(fp)):
@@ -233,8 +248,6 @@ def _forest(fp: np.ndarray, index: np.ndarray, distance: int, agree: Callable[[i
             if not len(rest):
                 continue
             near = rest[np.bitwise_count(fp[rest] ^ fp[u]) <= distance]
-            if agree:
-                near = near[agree(u, near)]
             left[near] = False
             out.extend((int(u), int(v)) for v in near)
             queue.extend(near.tolist())
@@ -260,14 +273,7 @@ def _cells(batches: Iterator[pd.DataFrame], at: list[str], forest: Callable[[pd.
 
 
 def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP, chunk: int = CHUNK) -> DataFrame:
-    """Links ``a, b`` between distinct fingerprints (``_fp``) that join the same components as all links within ``distance``.
-
-    With columns ``_id`` and ``_sketch`` the links are between ids and need sketches within ``SKETCH_DISTANCE`` too.
-
-    Small key groups give every link; in larger ones the links of a cell are thinned to a spanning forest.
-    """
-    more = [c for c in ("_id", "_sketch") if c in prints.columns]
-    name = "_id" if more else "_fp"
+    """Links ``a, b`` between distinct fingerprints (``_fp``) that join the same components as all links within ``distance``."""
     n, ones, both = _stats(prints)
     probes = []
     for k, part in enumerate(plan(n, ones, both, distance)):
@@ -278,13 +284,28 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
         flips = [sum(1 << b for b in c) for t in range(1, part.threshold + 1) for c in combinations(part.bits, t)]
         flips = [f - (1 << 64) if f >> 63 else f for f in flips]
         key = F.col("_fp").bitwiseAND(F.lit(signed))
-        probes.append(prints.select(F.lit(k).alias("_part"), key.alias("_key"), "_fp", *more, F.lit(True).alias("_own")))
+        probes.append(prints.select(F.lit(k).alias("_part"), key.alias("_key"), "_fp", F.lit(True).alias("_own")))
         if flips:
-            some = prints.select("_fp", *more, key.alias("_exact"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("_flip"))
-            probes.append(some.select(F.lit(k).alias("_part"), F.col("_exact").bitwiseXOR(F.col("_flip")).alias("_key"), "_fp", *more, F.lit(False).alias("_own")))
+            some = prints.select("_fp", key.alias("_exact"), F.explode(F.array(*[F.lit(f).cast("long") for f in flips])).alias("_flip"))
+            probes.append(some.select(F.lit(k).alias("_part"), F.col("_exact").bitwiseXOR(F.col("_flip")).alias("_key"), "_fp", F.lit(False).alias("_own")))
     rows = probes[0]
     for p in probes[1:]:
         rows = rows.unionByName(p)
+    return _key_links(rows, "_fp", "_fp", distance, small_group, chunk)
+
+
+def band_links(texts: DataFrame, small_group: int = SMALL_GROUP, chunk: int = CHUNK) -> DataFrame:
+    """Links ``a, b`` between ``_id`` s that join the same components as all that share a band and have sketches within ``SKETCH_DISTANCE``."""
+    rows = texts.select("_id", "_sketch", F.posexplode(F.array(*BANDS)).alias("_part", "_key")).withColumn("_own", F.lit(True))
+    return _key_links(rows, "_id", "_sketch", SKETCH_DISTANCE, small_group, chunk)
+
+
+def _key_links(rows: DataFrame, name: str, bits: str, distance: int, small_group: int, chunk: int) -> DataFrame:
+    """Links ``a, b`` between ``name`` s of rows with one ``_part, _key``, an end of them ``_own``, whose ``bits`` are within ``distance``.
+
+    Small key groups give every link; in larger ones the links of a cell are thinned to a spanning forest.
+    """
+    held = [name] if name == bits else [name, bits]
     sizes = rows.groupBy("_part", "_key").agg(F.count(F.lit(1)).alias("_n"), F.count_if("_own").alias("_m")).where("_n > 1 AND _m > 0")
     # Aggregates are written before they are joined: then both sides are plain exchanges, which adaptive execution splits.
     grouped = Stored(rows.join(stored(sizes), ["_part", "_key"]))
@@ -292,23 +313,12 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     small, large = grouped.df.where(few), grouped.df.where(~few)
     a, b = small.where("_own").alias("a"), small.alias("b")
     same = (F.col("a._part") == F.col("b._part")) & (F.col("a._key") == F.col("b._key"))
-    far_bits = lambda c: F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}")))
-    near = far_bits("_fp") <= distance
-    if more:
-        near = near & (far_bits("_sketch") <= SKETCH_DISTANCE)
+    near = F.bit_count(F.col(f"a.{bits}").bitwiseXOR(F.col(f"b.{bits}"))) <= distance
     pairs = a.join(b, same & (F.col(f"a.{name}") != F.col(f"b.{name}")) & near).select(F.col(f"a.{name}").alias("a"), F.col(f"b.{name}").alias("b"))
 
     def forest(rows: pd.DataFrame) -> Callable[[int, int], list[tuple[int, int]]]:
-        fp, own = rows["_fp"].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool)
-        sk = rows["_sketch"].to_numpy(np.int64).view(np.uint64) if more else None
-
-        def of(s: int, e: int) -> list[tuple[int, int]]:
-            if sk is None:
-                return _forest(fp[s:e], own[s:e], distance)
-            cell = sk[s:e]
-            return _forest(fp[s:e], own[s:e], distance, lambda u, near: np.bitwise_count(cell[near] ^ cell[u]) <= SKETCH_DISTANCE)
-
-        return of
+        fp, own = rows[bits].to_numpy(np.int64).view(np.uint64), rows["_own"].to_numpy(bool)
+        return lambda s, e: _forest(fp[s:e], own[s:e], distance)
 
     at = ["_part", "_key", "_lo", "_hi"]
 
@@ -318,9 +328,9 @@ def links(prints: DataFrame, distance: int = 3, small_group: int = SMALL_GROUP,
     # A group of k chunks is compared in k (k + 1) / 2 cells, each of two chunks at most.
     k = F.ceil(F.col("_n") / chunk).cast("int")
     mine = F.pmod(F.xxhash64(name), k).cast("int")
-    one = large.where(k == 1).select("_part", "_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), "_fp", *more, "_own")
+    one = large.where(k == 1).select("_part", "_key", F.lit(0).alias("_lo"), F.lit(0).alias("_hi"), *held, "_own")
     cells = large.where(k > 1).withColumn("_k", k).withColumn("_c", mine).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    cells = one.unionByName(cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), "_fp", *more, "_own"))
+    cells = one.unionByName(cells.select("_part", "_key", F.least("_c", "_o").alias("_lo"), F.greatest("_c", "_o").alias("_hi"), *held, "_own"))
     far = cells.repartition(*at).sortWithinPartitions(*at).mapInPandas(compare, "a long, b long")
     return pairs.unionByName(far).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
@@ -433,19 +443,18 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> boo
     return both >= similarity * (len(a) + len(b) - both)
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 7, similarity: float = SIMILARITY) -> DataFrame:
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of ``df`` whose id is the smallest of their group; of rows that repeat such an id, all stay. All columns are kept.
 
-    Texts with the same words (A-Z lower-cased) are one group. Others link if their fingerprints of distinct
-    words differ in ``distance`` bits at most and they share ``similarity`` of their five-word shingles. A group
-    is what links reach. Distinct words are taken since an edited word touches one of them instead of every
-    shingle over it. Null and empty texts are one group; a text of fewer words is one shingle. A null id never
+    Texts with the same words (A-Z lower-cased) are one group. Others link if they share ``similarity`` of their
+    five-word shingles, whatever the edit; ``BAND`` tells how many such links candidates miss at 0.8. A group is what
+    links reach. Null and empty texts are one group; a text of fewer words is one shingle. A null id never
     stands for a group that has another, and texts that only null ids hold link to no other text.
     """
     own = Stored(sketches(df, id_col, text_col))
-    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_sketch", "_size")])
+    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_sketch", *BANDS, "_size")])
     texts = Stored(once)
-    rough = Stored(components(links(texts.df.select("_id", "_fp", "_sketch"), distance)))
+    rough = Stored(components(band_links(texts.df)))
     roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, similarity))
     placed = Stored(texts.df.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")))
     # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.

@@ -155,6 +155,61 @@ def test_verified_links_ignore_fingerprints(spark):
     assert len({frozenset((r.a, r.b)) for r in got}) == 1
 
 
+def edited(rng, words, kind, share):
+    """``words`` with a share of them replaced in passages, cut from the end, or another text's words appended; or single words replaced."""
+    n = int(len(words) * share)
+    other = [f"o{rng.randrange(10**9)}" for _ in range(n)]
+    if kind == "cut":
+        return words[: len(words) - n]
+    if kind == "append":
+        return words + other
+    if kind == "passage":
+        at = rng.randrange(len(words) - n)
+        return words[:at] + other + words[at + n :]
+    out = list(words)
+    for i in rng.sample(range(len(words)), max(1, n // 5)):
+        out[i] = f"o{rng.randrange(10**9)}"
+    return out
+
+
+@pytest.mark.parametrize("kind", ["cut", "append", "passage", "scattered"])
+def test_candidates_hold_near_copies_of_any_edit(kind):
+    rng = random.Random(6)
+    far = lost = near = 0
+    for _ in range(300):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(rng.randint(100, 600))]
+        copy = edited(rng, words, kind, rng.choice([0.04, 0.08, 0.1]) if kind in ("passage", "scattered") else rng.uniform(0.1, 0.19))
+        a, b = (simhash.shingle_set(simhash._word_hashes([x.encode() for x in w])) for w in (words, copy))
+        if simhash.similar(a, b):
+            near += 1
+            far += (simhash.fingerprint(" ".join(words), 1, True) ^ simhash.fingerprint(" ".join(copy), 1, True)).bit_count() > 7
+            x, y = simhash.minima(a), simhash.minima(b)
+            lost += not (simhash.bands(x) == simhash.bands(y)).any() or np.bitwise_count(simhash.sketch(a) ^ simhash.sketch(b))[0] > simhash.SKETCH_DISTANCE
+    assert near > 200 and lost <= 1 and (far > near / 10 or kind in ("passage", "scattered"))
+
+
+@pytest.mark.parametrize("small,cell,chunk", [(16, 8192, 2_000_000), (1, 8, 2000)])
+def test_near_copies_match_brute_force_on_similarity(spark, monkeypatch, small, cell, chunk):
+    rng = random.Random(8)
+    rows = []
+    for i in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(rng.randint(100, 300))]
+        rows += [(i, words), *[(100 + 4 * i + k, edited(rng, words, kind, rng.uniform(0.02, 0.25))) for k, kind in enumerate(["cut", "append", "passage", "scattered"])]]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in rows}
+    least = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and least[a] != least[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((least[a], least[b]))
+                least = {i: x if r == y else r for i, r in least.items()}
+    monkeypatch.setattr(simhash.band_links, "__defaults__", (small, cell))
+    monkeypatch.setattr(simhash.verified_links, "__defaults__", (chunk,))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    want = {i for i, r in least.items() if i == r}
+    assert 40 < len(want) < 150 and {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
+
+
 def test_sketches_follow_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, np.uint64)
