@@ -6,12 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no meaning in a query.
-STOPWORDS = ["a", "an", "and", "are", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "with", "that", "this", "was"]
+STOPWORDS = ["a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "by", "for", "with", "before", "after", "near", "another", "other", "potential", "look"]
 
-# Category labels, their other names, and substrings in order of precedence.
+# Category labels and their other names.
 CATEGORIES = ["assault", "explosion", "fighting", "fire", "object_falling", "people_falling", "robbery", "shooting", "traffic_accident", "vandalism", "water_incident"]
-ALIASES = {"none": "normal", "no_anomaly": "normal", "traffic": "traffic_accident", "car_accident": "traffic_accident", "fight": "fighting", "falling_object": "object_falling", "fall": "people_falling", "flood": "water_incident"}
-SUBSTRINGS = [("traffic", "traffic_accident"), ("rob", "robbery"), ("shoot", "shooting"), ("vandal", "vandalism"), ("object", "object_falling"), ("fall", "people_falling"), ("fight", "fighting"), ("assault", "assault"), ("water", "water_incident"), ("explo", "explosion"), ("fire", "fire")]
+ALIASES = {
+    "vehicle_collision": "traffic_accident", "vehicle_crash": "traffic_accident", "vehicle_accident": "traffic_accident", "collision": "traffic_accident", "car_crash": "traffic_accident", "traffic_collision": "traffic_accident",
+    "physical_altercation": "fighting", "violent_confrontation": "fighting", "brawl": "fighting",
+    "fall": "people_falling", "falling": "people_falling", "falling_or_tripping": "people_falling", "slip_and_fall": "people_falling",
+    "person_with_weapon": "shooting", "gun_violence": "shooting", "armed_shooting": "shooting",
+    "theft": "robbery", "bag_snatch": "robbery", "bag_theft": "robbery", "stealing": "robbery",
+}
+# Fixed values in order of precedence: a label holds if one of the parts is in the text; objects fall only if the text also says so.
+SUBSTRINGS = [
+    (("traffic", "collision", "crash", "vehicle_accident"), "traffic_accident"),
+    (("rob", "snatch", "steal", "theft"), "robbery"),
+    (("shoot", "gun", "weapon", "firearm"), "shooting"),
+    (("vandal", "graffiti", "property_damage"), "vandalism"),
+    (("fall", "drop"), "object_falling"),
+    (("trip", "slip"), "people_falling"),
+    (("fall",), "people_falling"),
+    (("fight", "altercation", "brawl", "confrontation"), "fighting"),
+    (("assault", "attack", "attacked", "punch", "kick", "beating"), "assault"),
+    (("water", "drown", "drowning"), "water_incident"),
+    (("explosion", "blast", "explode"), "explosion"),
+    (("fire", "flame", "smoke"), "fire"),
+]
 COMBINED = "fire_or_explosion"
 
 
@@ -22,9 +42,9 @@ def normal_query(c: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def tokens(normal: Column) -> Column:
+def tokens(normal: Column, stopwords: list[str] = STOPWORDS) -> Column:
     """Distinct words of a normal query, in order, without stopwords."""
-    return F.array_distinct(F.filter(F.split(normal, " "), lambda w: (w != "") & ~w.isin(STOPWORDS)))
+    return F.array_distinct(F.filter(F.split(normal, " "), lambda w: (w != "") & ~w.isin(stopwords)))
 
 
 def clean_category(c: Column) -> Column:
@@ -32,14 +52,18 @@ def clean_category(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "_+", "_"), "^_+|_+$", "")
 
 
-def category(c: Column) -> Column:
-    """Normal, then exact names, aliases, and the substrings in order; else the cleaned text."""
+def category(c: Column, more: dict[str, str] | None = None) -> Column:
+    """Normal, then exact names, aliases (and ``more`` of them), and the substrings in order; else the cleaned text."""
     t = clean_category(c)
     out = F.when(t == "normal", F.lit("normal")).when(t.isin(CATEGORIES), t)
-    for name, label in ALIASES.items():
+    for name, label in {**ALIASES, **(more or {})}.items():
         out = out.when(t == name, F.lit(label))
-    for part, label in SUBSTRINGS:
-        hit = t.contains(part)
+    for parts, label in SUBSTRINGS:
+        hit = t.rlike("|".join(parts))
+        if label == "object_falling":
+            hit = hit & t.contains("object")
+        elif parts == ("fall",):
+            hit = hit & ~t.contains("object")
         out = out.when(hit & (t != COMBINED) if label in ("explosion", "fire") else hit, F.lit(label))
     return out.otherwise(t)
 

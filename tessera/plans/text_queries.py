@@ -14,7 +14,11 @@ from tessera.functions.intervals import frame_seconds, frame_window
 from .registry import EP, episodes, query, table
 
 NORMAL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '_', ' ', 'g'), '[^a-z0-9\s]', '', 'g'), '\b(the|an|a)\b', ' ', 'g'), '\s+', ' ', 'g'))"
-STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+# The twins' own stopwords, names and substrings, which the SQL is fixed to; the queries below take its stopwords and its further names.
+TWIN_STOPWORDS = ["a", "an", "and", "are", "at", "by", "for", "from", "in", "into", "is", "of", "on", "or", "the", "to", "with", "that", "this", "was"]
+TWIN_ALIASES = {"none": "normal", "no_anomaly": "normal", "traffic": "traffic_accident", "car_accident": "traffic_accident", "fight": "fighting", "falling_object": "object_falling", "fall": "people_falling", "flood": "water_incident"}
+TWIN_SUBSTRINGS = [("traffic", "traffic_accident"), ("rob", "robbery"), ("shoot", "shooting"), ("vandal", "vandalism"), ("object", "object_falling"), ("fall", "people_falling"), ("fight", "fighting"), ("assault", "assault"), ("water", "water_incident"), ("explo", "explosion"), ("fire", "fire")]
+STOP_SQL = ", ".join(f"'{w}'" for w in TWIN_STOPWORDS)
 
 
 @query(f"""
@@ -23,7 +27,7 @@ SELECT doc_id, md5(q) AS normal_md5, CAST(len(list_distinct(list_filter(string_s
 def normalize_query_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The normal form of each whole text, as a digest, and how many distinct tokens it has."""
     q = table(spark, sf_dir, "documents").select("doc_id", tx.normal_query(F.col("text")).alias("q"))
-    return q.select("doc_id", F.md5(F.col("q").cast("binary")).alias("normal_md5"), F.size(tx.tokens(F.col("q"))).cast("long").alias("n_tokens"))
+    return q.select("doc_id", F.md5(F.col("q").cast("binary")).alias("normal_md5"), F.size(tx.tokens(F.col("q"), TWIN_STOPWORDS)).cast("long").alias("n_tokens"))
 
 
 @query(f"""
@@ -33,14 +37,14 @@ p AS (SELECT a.item_id AS a, c.item_id AS b, count(*) / CAST(max(a.n) AS DOUBLE)
 SELECT a AS item_id, b AS best_item, round(overlap, 6) AS overlap FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(overlap, 6) DESC, b) = 1""")
 def token_overlap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The other benchmark item that shares most tokens with each item; the earliest of equals."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(tx.normal_query(F.col("text"))).alias("t"))
+    t = table(spark, sf_dir, "benchmark").select("item_id", tx.tokens(tx.normal_query(F.col("text")), TWIN_STOPWORDS).alias("t"))
     w = t.select("item_id", F.size("t").alias("n"), F.explode("t").alias("w"))
     pairs = w.alias("a").join(w.select(F.col("item_id").alias("best_item"), "w"), "w").where("item_id <> best_item").groupBy("item_id", "best_item").agg(F.round(F.count(F.lit(1)) / F.max("n"), 6).alias("overlap"))
     return pairs.withColumn("i", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("overlap"), "best_item"))).where("i = 1").drop("i")
 
 
 CLEAN_SQL = r"regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '[\s/-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g')"
-RULES_SQL = "CASE WHEN t = 'normal' THEN 'normal' WHEN t IN (" + ", ".join(f"'{c}'" for c in tx.CATEGORIES) + ") THEN t " + " ".join(f"WHEN t = '{a}' THEN '{c}'" for a, c in tx.ALIASES.items()) + " " + " ".join(f"WHEN contains(t, '{s}')" + (f" AND t <> '{tx.COMBINED}'" if c in ("explosion", "fire") else "") + f" THEN '{c}'" for s, c in tx.SUBSTRINGS) + " ELSE t END"
+RULES_SQL = "CASE WHEN t = 'normal' THEN 'normal' WHEN t IN (" + ", ".join(f"'{c}'" for c in tx.CATEGORIES) + ") THEN t " + " ".join(f"WHEN t = '{a}' THEN '{c}'" for a, c in TWIN_ALIASES.items()) + " " + " ".join(f"WHEN contains(t, '{s}')" + (f" AND t <> '{tx.COMBINED}'" if c in ("explosion", "fire") else "") + f" THEN '{c}'" for s, c in TWIN_SUBSTRINGS) + " ELSE t END"
 RAW_SQL = "CASE p_partkey % 8 WHEN 0 THEN ' Car/Accident ' WHEN 1 THEN 'No-Anomaly' WHEN 2 THEN 'armed  robbery' WHEN 3 THEN 'Fire or Explosion' WHEN 4 THEN 'object falling' WHEN 5 THEN 'house fire' ELSE p_type END"
 
 
@@ -49,7 +53,7 @@ WITH r AS (SELECT p_partkey, {RAW_SQL} AS raw FROM part), c AS (SELECT p_partkey
 SELECT p_partkey, t AS cleaned, {RULES_SQL} AS category FROM c""")
 def category_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = table(spark, sf_dir, "part").select("p_partkey", F.expr(RAW_SQL).alias("raw"))
-    return r.select("p_partkey", tx.clean_category(F.col("raw")).alias("cleaned"), tx.category(F.col("raw")).alias("category"))
+    return r.select("p_partkey", tx.clean_category(F.col("raw")).alias("cleaned"), tx.category(F.col("raw"), TWIN_ALIASES).alias("category"))
 
 
 @query(f"""
@@ -59,7 +63,7 @@ SELECT p_partkey, 'case_' || substr(sha1(CAST(p_partkey AS VARCHAR)), 1, 10) AS
 FROM k""")
 def payload_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Public ids, and whether existence and category of a claim agree."""
-    r = table(spark, sf_dir, "part").select("p_partkey", "p_size", tx.category(F.expr(RAW_SQL)).alias("c"), (F.col("p_size") % 2 == 0).alias("x"))
+    r = table(spark, sf_dir, "part").select("p_partkey", "p_size", tx.category(F.expr(RAW_SQL), TWIN_ALIASES).alias("c"), (F.col("p_size") % 2 == 0).alias("x"))
     err = F.when(F.col("x") & (F.col("c") == "normal"), "anomaly claim with normal category").when(~F.col("x") & (F.col("c") != "normal"), "normal claim with anomaly category").otherwise("")
     return r.select("p_partkey", tx.case_id(F.col("p_partkey").cast("string")).alias("case_id"), tx.padded_id("w", F.col("p_size")).alias("window_id"), err.alias("error"))
 

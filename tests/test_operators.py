@@ -265,3 +265,26 @@ def test_incremental_build(spark):
     with pytest.raises(manifest.ConfigMismatch, match="fps"):
         manifest.require_config({"fps": 2}, {"fps": 4})
     manifest.require_config({"fps": 2}, {"fps": 2})
+
+
+# The reference's rules by value (categories.py:21-100, proposal.py:15-36).
+CATEGORY_OF = {
+    "traffic_accident": "vehicle_collision vehicle_crash vehicle_accident collision car_crash traffic_collision heavy_traffic train_collision crashing a_vehicle_accident",
+    "fighting": "physical_altercation violent_confrontation brawl street_fight verbal_altercation a_brawl confrontation",
+    "people_falling": "fall falling falling_or_tripping slip_and_fall tripping slipped people_fall",
+    "shooting": "person_with_weapon gun_violence armed_shooting shooter gunman weapons firearm",
+    "robbery": "theft bag_snatch bag_theft stealing robbed snatching steals thefts",
+    "vandalism": "vandals graffiti property_damage", "object_falling": "object_fell_falling dropped_object falling_objects", "assault": "attacked attack punch kicked beating assaulting",
+    "water_incident": "underwater drown drowning", "explosion": "explosions blast explode", "fire": "house_fire flames smoke", "normal": "normal",
+    "": "", "object": "object", "fire_or_explosion": "fire_or_explosion", "car_accident": "car_accident", "no_anomaly": "no_anomaly",
+}
+
+
+def test_categories_and_stopwords_are_the_references(spark):
+    pairs = [(raw, want) for want, raws in CATEGORY_OF.items() for raw in (raws.split() or [""])]
+    pairs += [("Bag/Snatch", "robbery"), ("  Car - Crash ", "traffic_accident"), (None, "")]
+    df = spark.createDataFrame(pairs, "raw string, want string").select("raw", "want", tx.category(F.col("raw")).alias("got"))
+    assert [r for r in df.collect() if r.got != r.want] == []
+    said = "a an the and or of to in on at by for with before after near another other potential look is was this person"
+    got = spark.createDataFrame([(said,)], "q string").select(tx.tokens(F.col("q")).alias("t")).first().t
+    assert got == ["is", "was", "this", "person"]
