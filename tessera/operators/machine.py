@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 # Tools, turns of an episode, and attempts for each turn.
 TOOLS = ("scan_timeline", "seek_evidence", "emit_alert", "verify_hypothesis", "finalize_case")
@@ -134,7 +135,8 @@ def replay(turns: DataFrame) -> DataFrame:
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         return play(State(), key[0], rows)[1]
 
-    return turns.where(turns["step_index"] <= most).select("episode_id", "step_index", "tool_name", "start_sec", "end_sec", "valid").groupBy("episode_id").applyInPandas(run, OUT)
+    place = F.row_number().over(Window.partitionBy("episode_id").orderBy("step_index"))
+    return turns.withColumn("_place", place).where(F.col("_place") <= most).select("episode_id", "step_index", "tool_name", "start_sec", "end_sec", "valid").groupBy("episode_id").applyInPandas(run, OUT)
 
 
 def resume(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:  # noqa: ANN001

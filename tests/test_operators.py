@@ -288,3 +288,11 @@ def test_categories_and_stopwords_are_the_references(spark):
     said = "a an the and or of to in on at by for with before after near another other potential look is was this person"
     got = spark.createDataFrame([(said,)], "q string").select(tx.tokens(F.col("q")).alias("t")).first().t
     assert got == ["is", "was", "this", "person"]
+
+
+def test_replay_counts_actions_not_step_numbers(spark):
+    rows = [(1, 1000 * (i + 1), "seek_evidence", 0.0, 1.0, i % 2 == 0) for i in range(100)]
+    turns = spark.createDataFrame(rows, "episode_id long, step_index long, tool_name string, start_sec double, end_sec double, valid boolean")
+    want = machine.play(machine.State(), 1, turns.toPandas())[1]
+    got = machine.replay(turns).orderBy("step_index").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want.itertuples(index=False)] and len(got) == 27
