@@ -1,8 +1,11 @@
 """Approximate nearest neighbours by collision counting with query-aware single projections.
 
-Each block of vectors keeps one sorted array for each random projection. A query opens a window around its own
-projection in every array and widens it step by step (virtual rehashing). A vector that falls in enough windows
-is verified with the exact inner product, and widening ends when the verified set is large enough.
+Each block of vectors keeps one sorted array for each projection, and each vector's place in it. A query opens a
+window around its own projection in every array and widens it step by step (virtual rehashing). A vector that falls
+into enough windows is verified with the exact inner product, and widening ends when enough vectors are.
+
+Projections are orthogonal, so misses of a vector add up to its distance without the noise that independent ones
+have. What is verified grows with the square root of a block's size at every size: there is no switch to brute force.
 """
 
 from __future__ import annotations
@@ -18,59 +21,86 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Params:
-    """``share``: part of a block (and ``least`` rows) that is verified before widening ends; ``need``: part of the projections that must collide."""
-
-    projections: int = 72
-    need: float = 0.7
-    share: float = 0.2
-    least: int = 600
-    step: float = 1.04
-    levels: int = 40
+    """``misses``: windows that a vector may miss (at ``projections`` in all); ``breadth``: vectors verified, in square roots of ``k`` times a block's size."""
+
+    projections: int = 64
+    misses: int = 6
+    breadth: float = 1.25
+    step: float = 1.03
     block: int = 16_384
-    queries: int = 2048
+    queries: int = 16_384
+    batch: int = 64
     seed: int = 7
 
 
+def directions(d: int, p: Params) -> np.ndarray:
+    """``projections`` columns in sets of up to ``d`` orthogonal ones, of squared length ``d``."""
+    rng = np.random.default_rng(p.seed)
+    sets = [np.linalg.qr(rng.standard_normal((d, d)))[0] for _ in range(-(-p.projections // d))]
+    return np.column_stack(sets)[:, : p.projections] * np.sqrt(d)
+
+
 class Block:
-    """The index of one block: a sorted array for each projection."""
+    """The index of one block: for each projection a sorted array, and each row's place in it."""
 
     def __init__(self, x: np.ndarray, top: float, p: Params) -> None:
-        self.p, self.n, d = p, len(x), x.shape[1]
+        self.p, self.n = p, len(x)
+        self.norm = np.sqrt(top) or 1.0
         # One more component makes all norms equal, so the largest inner product is the least distance.
-        self.a = np.random.default_rng(p.seed).standard_normal((d + 1, p.projections))
+        self.a = directions(x.shape[1] + 1, p)
         at = np.column_stack([x, np.sqrt(np.maximum(top - (x * x).sum(1), 0))]) @ self.a
-        order = np.argsort(at, axis=0, kind="stable")
-        self.order, self.sorted = order.T.astype(np.int64).copy(), np.take_along_axis(at, order, 0).T.copy()
-        self.norm = np.sqrt(top) or 1.0
+        order = np.argsort(at, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(at.T, order, 1)
+        self.kind = np.uint16 if self.n < 1 << 16 else np.uint32
+        self.place = np.empty(order.shape, self.kind)
+        np.put_along_axis(self.place, order, np.arange(self.n, dtype=self.kind)[None], 1)
+        self.away, self.out = np.empty_like(self.place), np.empty(self.place.shape, bool)
+
+    def windows(self, h: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First place and length of each query's window (row) in each array (column)."""
+        lo = np.stack([s.searchsorted(v - w) for s, v in zip(self.sorted, h.T, strict=True)], 1)
+        hi = np.stack([s.searchsorted(v + w, "right") for s, v in zip(self.sorted, h.T, strict=True)], 1)
+        return lo, hi - lo
+
+    def missed(self, lo: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How many windows of one query each row misses."""
+        # A place before the window wraps around to a large number.
+        np.subtract(self.place, lo.astype(self.kind)[:, None], out=self.away)
+        np.greater_equal(self.away, length.astype(self.kind)[:, None], out=self.out)
+        return np.add.reduce(self.out.view(np.uint8), axis=0, dtype=np.uint16)
 
     def candidates(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each query the rows whose collisions reach the threshold, after as many widenings as it takes to verify enough of them."""
+        """For each query the rows that collide often enough, with windows as wide as it takes to have enough of them.
+
+        Windows start from what the queries before needed, and shrink first where that is far too wide.
+        """
         p, n = self.p, self.n
-        need, enough = int(np.ceil(p.need * p.projections)), min(n, max(int(p.share * n) + p.least, k + 1))
+        enough = min(n, int(np.ceil(p.breadth * np.sqrt(k * n))))
         unit = queries / np.linalg.norm(queries, axis=1, keepdims=True) * self.norm
         h = np.column_stack([unit, np.zeros(len(unit))]) @ self.a
-        w = 2.5 * self.norm * p.step ** np.arange(-p.levels + 1.0, 1.0)
-        # The window of each projection, query and level; the last level takes in everything.
-        lo = np.stack([np.searchsorted(s, v[:, None] - w) for s, v in zip(self.sorted, h.T, strict=True)], 1)
-        hi = np.stack([np.searchsorted(s, v[:, None] + w, "right") for s, v in zip(self.sorted, h.T, strict=True)], 1)
-        lo[:, :, -1], hi[:, :, -1] = 0, n
-        held, guess = (hi - lo).sum(1), 0
-        for q in range(len(queries)):
-            # Fewer collisions than this can't lift enough rows over the threshold, so those levels need no count.
-            first = int(np.argmax(held[q] >= need * enough))
-            level = max(first, guess)
-            counts = self._count(lo[q, :, level], hi[q, :, level])
-            if level > first and (counts >= need).sum() >= enough:  # the guess may be too wide
-                level, counts = first, self._count(lo[q, :, first], hi[q, :, first])
-            while (counts >= need).sum() < enough:
-                a, b, level = lo[q, :, level], hi[q, :, level], level + 1
-                rings = [o[x:y] for o, u, v, a0, b0 in zip(self.order, lo[q, :, level], hi[q, :, level], a, b, strict=True) for x, y in ((u, a0), (b0, v))]
-                counts += np.bincount(np.concatenate(rings), minlength=n)
-            guess = level - 1  # queries need much the same window
-            yield np.flatnonzero(counts >= need)
-
-    def _count(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        return np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, lo, hi, strict=True)]), minlength=self.n)
+        usual, widest = 2.0 * self.norm, 8.0 * self.norm * np.sqrt(len(self.a))
+        for start in range(0, len(h), p.batch):
+            own = h[start : start + p.batch]
+            w = np.full(len(own), usual)
+            lo, length = self.windows(own, w)
+            for i in range(len(own)):
+                got, far = np.flatnonzero(self.missed(lo[i], length[i]) <= p.misses), p.step**8
+                while len(got) > 2 * enough and far > 1 + 1e-3:  # too wide: narrow by ever smaller steps
+                    at = self.windows(own[i : i + 1], w[i : i + 1] / far)
+                    fewer = np.flatnonzero(self.missed(at[0][0], at[1][0]) <= p.misses)
+                    if enough <= len(fewer) < len(got):
+                        got, w[i] = fewer, w[i] / far
+                    else:
+                        far = np.sqrt(far)
+                while len(got) < enough:
+                    w[i] *= p.step if 2 * len(got) > enough else p.step**4
+                    if not w[i] < widest:  # squares beyond the range of doubles
+                        got = np.arange(n)
+                        break
+                    at = self.windows(own[i : i + 1], w[i : i + 1])
+                    got = np.flatnonzero(self.missed(at[0][0], at[1][0]) <= p.misses)
+                yield got
+            usual = float(np.median(w))
 
 
 def best_of(x: np.ndarray, ids: np.ndarray, q: np.ndarray, got: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +132,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     smallest vector is the query. Queries with no candidate give
     no row. Other columns are not read.
     """
-    clean = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), is_query.alias("q")).where(_usable(F.col("v")) & F.col("id").isNotNull())
+    kind = "array<float>" if dict(df.dtypes)[vec_col] == "array<float>" else "array<double>"  # floats cross shuffles as floats
+    clean = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast(kind).alias("v"), is_query.alias("q")).where(_usable(F.col("v")) & F.col("id").isNotNull())
     clean = clean.withColumn("d", F.size("v"))
-    spread = clean.groupBy("d").agg(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)).alias("top"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq"))
+    spread = clean.groupBy("d").agg(F.max(F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))).alias("top"), F.count(F.lit(1)).alias("n"), F.count_if("q").alias("nq"))
     sized = clean.join(F.broadcast(spread), "d")  # a row for each dimension
     blocks, chunks = F.ceil(F.col("n") / params.block).cast("int"), F.greatest(F.ceil(F.col("nq") / params.queries), F.lit(1)).cast("int")
     h = F.xxhash64("id")
@@ -114,7 +145,7 @@ def nearest(df: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id"
     asked = one.select("id", "v", F.lit(True).alias("q"), "d", "top", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("b"), F.pmod(h, chunks).cast("int").alias("c"))
 
     def search(cell: pd.DataFrame) -> pd.DataFrame:
-        mine, q = cell[~cell["q"]].sort_values("id"), cell[cell["q"]]
+        mine, q = cell[~cell["q"]].sort_values("id"), cell[cell["q"]].sort_values("id")
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(mine) and len(q):
             x, ids = np.stack(mine["v"].to_list()).astype(float), mine["id"].to_numpy()
