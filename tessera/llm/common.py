@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def col(name: str) -> Column:
+    """A column by its exact name, which may hold dots."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def nested(df: DataFrame, without: tuple[str, ...] = (), **own: Column) -> DataFrame:
+    """All columns of ``df`` but some as one struct ``row``, beside ``own`` ones, whose names then can't clash."""
+    held = [col(c) for c in df.columns if c not in without]
+    return df.select(F.struct(*held).alias("row"), *[c.alias(k) for k, c in own.items()])
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII takes the built-in's byte path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

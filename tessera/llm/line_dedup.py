@@ -7,48 +7,45 @@ crosses once, to meet the list of positions it loses.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, stored
+from .common import SPACE, ascii_lower, col, nested, stored
 
 
-def _lines(text: Column) -> Column:
-    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-
-def _keys(df: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
-    """doc, pos, h1, h2 of each line whose key is long enough."""
-    lowered = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
-    lines = df.select(F.col(id_col).alias("_doc"), F.posexplode(F.split(lowered, "\n", -1)).alias("_pos", "_line"))
-    keyed = lines.select("_doc", "_pos", F.btrim(F.col("_line"), F.lit(SPACE)).alias("_key")).where(F.length("_key") >= min_chars)
-    return keyed.select("_doc", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(7), F.col("_key")).alias("_h2"))
+def _keys(rows: DataFrame, min_chars: int) -> DataFrame:
+    """doc, text hash, pos, h1, h2 of each line whose key is long enough."""
+    lines = rows.select("doc", "hash", F.posexplode(F.split(ascii_lower(F.col("text")), "\n", -1)).alias("pos", "line"))
+    keyed = lines.select("doc", "hash", "pos", F.btrim(F.col("line"), F.lit(SPACE)).alias("key")).where(F.length("key") >= min_chars)
+    return keyed.select("doc", "hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), F.col("key")).alias("h2"))
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """Drop the lines that ``min_docs`` or more documents share, but for those of the largest id holding them.
 
-    Returns all columns of ``df`` with ``text_col`` rewritten, plus ``n_lines`` (before), ``n_dropped``.
-    A null or empty text is one empty line. Empty and short keys are never dropped, nor are lines of an
-    empty table. Rows that repeat an id count as one document and are cut alike; a null id never counts
-    as the largest, and lines of null ids are kept. Names starting with an underscore are reserved.
+    Returns all columns of ``df`` with ``text_col`` rewritten, plus ``n_lines`` (before), ``n_dropped``, which
+    replace columns of those names. A null or empty text is one empty line. Empty and short keys are never
+    dropped, nor are lines of an empty table. Rows that repeat an id count as one document, and each loses its
+    own shared lines only; a null id never counts as the largest, and lines of null ids are kept. Columns may
+    have any name.
     """
-    keys = _keys(df.where(F.col(id_col).isNotNull()), id_col, text_col, min_chars)
+    body = F.coalesce(col(text_col), F.lit(""))
+    rows = nested(df, without=(text_col,), doc=col(id_col), text=body, hash=F.xxhash64(body))
+    keys = _keys(rows.where(F.col("doc").isNotNull()), min_chars)
     # One row for each key and document, then one for each key: both combine before their shuffle.
     common = (
-        keys.groupBy("_h1", "_h2", "_doc").agg(F.lit(1).alias("_one"))
-        .groupBy("_h1", "_h2").agg(F.count("_one").alias("_n"), F.max("_doc").alias("_keep"))
-        .where(F.col("_n") >= min_docs)
-        .select("_h1", "_h2", "_keep")
+        keys.groupBy("h1", "h2", "doc").agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2").agg(F.count("one").alias("n"), F.max("doc").alias("keep"))
+        .where(F.col("n") >= min_docs)
+        .select("h1", "h2", "keep")
     )
     # Written first, so that both sides of the join are plain exchanges and adaptive execution splits a key with many lines.
-    lost = keys.join(stored(common), ["_h1", "_h2"]).where(F.col("_doc") != F.col("_keep")).select("_doc", "_pos")
-    by_doc = lost.groupBy("_doc").agg(F.collect_set("_pos").alias("_lost"))
-    joined = df.join(by_doc, F.col(id_col) == F.col("_doc"), "left")
-    lines = _lines(F.col(text_col))
-    cut = joined.withColumn("_all", lines).withColumn("_n", F.size("_all"))
-    kept = F.array_except(F.sequence(F.lit(0), F.col("_n") - 1), F.col("_lost"))
-    text = F.when(F.col("_lost").isNull(), F.coalesce(F.col(text_col), F.lit(""))).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
-    cut = cut.withColumn("_text", text).withColumn("_gone", F.coalesce(F.size("_lost"), F.lit(0)))
-    rest = [F.col("_text").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
-    return cut.select(*rest, F.col("_n").cast("long").alias("n_lines"), F.when(F.col("_lost").isNull(), 0).otherwise(F.col("_gone")).cast("long").alias("n_dropped"))
+    lost = keys.join(stored(common), ["h1", "h2"]).where(F.col("doc") != F.col("keep")).select("doc", "hash", "pos")
+    # Rows of one id and one text are alike in all that counts here, and rows of one id and other texts are told apart.
+    by_doc = lost.groupBy("doc", "hash").agg(F.collect_set("pos").alias("lost"))
+    cut = rows.join(by_doc, ["doc", "hash"], "left").withColumn("all", F.split("text", "\n", -1)).withColumn("n", F.size("all"))
+    kept = F.array_except(F.sequence(F.lit(0), F.col("n") - 1), F.col("lost"))
+    text = F.when(F.col("lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    rest = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns if c not in ("n_lines", "n_dropped")]
+    gone = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))
+    return cut.select(*rest, F.col("n").cast("long").alias("n_lines"), gone.cast("long").alias("n_dropped"))
