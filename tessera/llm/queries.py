@@ -123,18 +123,22 @@ best AS (
   SELECT doc_id, item_id, list_max(list_transform(range(1, n - 11), lambda s: list_sum(m[s : s + 12]))) / CAST(13 AS DOUBLE) AS share FROM same)
 SELECT doc_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS item_ids, CAST(count(*) AS BIGINT) AS n_items, round(max(share), 6) AS best_match
 FROM (SELECT doc_id, item_id, max(share) AS share FROM best WHERE share >= 11 / CAST(13 AS DOUBLE) - 1e-9 GROUP BY doc_id, item_id) GROUP BY doc_id""",
-    "op8_url_filter": f"""
+    "op8_url_filter": rf"""
 WITH u AS (
   SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (
-  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*', 0), {UPPER_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+  SELECT page_id, lower(rest) AS whole, translate(regexp_extract(rest, '^[^/?#]*', 0), {UPPER_LOWER}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r(h, s, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 m AS (
   SELECT page_id, arg_max(h || s, length(h || s)) AS rule, arg_max(v, length(h || s)) AS v
-  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id)
-SELECT p.page_id, host, path, m.rule,
-       coalesce(m.v, CASE WHEN regexp_matches(lower(host || path), '(^|[^a-z0-9])({'|'.join(w for w in url_filter.BLOCKED_WORDS)})([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
-FROM p LEFT JOIN m ON p.page_id = m.page_id""",
+  FROM p JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, s) GROUP BY page_id),
+f AS (
+  SELECT page_id, regexp_matches(whole, '/library/') OR regexp_matches(whole, '^([^/?#]*\.)?museum([^a-z0-9_.%-]|$)') AS fine,
+         regexp_matches(whole, '[?&]ref=') OR regexp_matches(whole, '^([^/?#]*\.)?(WORDS)\.') OR regexp_matches(whole, '-(WORDS)\.') OR regexp_matches(whole, '/(WORDS)([^a-z0-9_.%-]|$)')
+         OR regexp_matches(whole, '-(WORDS)-') OR regexp_matches(whole, '/(WORDS)-(.|\n)*\.html$') OR regexp_matches(whole, '[^a-z0-9_.%-](WORDS)=') OR regexp_matches(whole, '_(WORDS)_') AS bad
+  FROM p)
+SELECT p.page_id, host, path, m.rule, coalesce(m.v, CASE WHEN bad AND NOT fine THEN 'block' ELSE 'allow' END) AS verdict
+FROM p JOIN f ON p.page_id = f.page_id LEFT JOIN m ON p.page_id = m.page_id""".replace("WORDS", "|".join(url_filter.FILTER_WORDS)),
     "op10_chat_format": r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER
+from .common import LOWER, UPPER, col, nested
 
 #: Rule sets up to this many index rows are broadcast; larger ones are joined by shuffle.
 BROADCAST_RULES = 200_000
@@ -17,7 +17,7 @@ BROADCAST_RULES = 200_000
 
 @dataclass(frozen=True)
 class UrlRule:
-    """``regex`` runs on host + path. ``tokens``: whole alphanumeric tokens that each match holds, lower case.
+    """``regex`` runs on all that follows ``://``, its host lower-cased. ``tokens``: whole alphanumeric tokens that each match holds, lower case.
 
     Among matches the highest ``rank`` wins, then the first name. ``named``: the result shows its name.
     """
@@ -37,26 +37,49 @@ def host_rule(host: str, path: str, verdict: str) -> UrlRule:
     return UrlRule(whole, r"^(?:[^/]*\.)?" + re.sub(r"([^\w/-])", r"\\\1", whole), tuple(m[0] for m in found), verdict, 1000 + len(whole))
 
 
-def pattern_rule(literal: str, verdict: str = "block") -> UrlRule:
-    """Blocks urls that hold ``literal`` between non-alphanumeric characters."""
-    return UrlRule(literal, r"(?i)(?:^|[^a-z0-9])" + re.escape(literal) + r"(?:[^a-z0-9]|$)", tuple(re.findall(r"[a-z0-9]+", literal.lower())), verdict, 0, False)
+def filter_rule(line: str, rank: int = 0) -> UrlRule:
+    """A rule from one line of a filter list.
 
-
-# The rules that every judgement starts from, and the words that block other urls.
+    ``||`` starts at a label of the host, ``|`` at an end of the url, ``*`` is any text, ``^`` a separator (neither
+    letter, digit nor ``_.%-``) or the end, and ``@@`` in front allows what other lines block. Case doesn't count.
+    """
+    allow = line.startswith("@@")
+    body = line[2:] if allow else line
+    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|") and len(body.strip("|")) > 0
+    body = body.strip("|").lower()
+    separator = r"(?:[^A-Za-z0-9_.%-]|\z)"
+    regex = "".join(".*" if c == "*" else separator if c == "^" else c if re.match(r"\w", c) else "\\" + c for c in body)
+    regex = "(?is)" + (r"^(?:[^/?#]*\.)?" if host else "^" if start else "") + regex + (r"\z" if end else "")
+    # A run of letters and digits is a whole token of each match if nothing can lengthen it.
+    held = ("^" if start else "*") + body + ("^" if end else "*")
+    tokens = [m[0] for m in re.finditer(r"[a-z0-9]+", held) if held[m.start() - 1] != "*" and held[m.end()] != "*" and m[0].isascii()]
+    return UrlRule(line, regex, tuple(tokens), "allow" if allow else "block", rank + allow, False)
+
+
+# The rules that every judgement starts from.
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-BLOCKED_WORDS = ["spam-farm", "cheap-pills", "casino", "free-money", "xxx", "porn", "warez", "malware"]
+#: Words that mark sites and sections of no use as training text, and the places in a url where each counts.
+FILTER_WORDS = [
+    "casino", "poker", "betting", "jackpot", "slots", "lottery", "porn", "xxx", "hentai", "escort", "camgirls", "nude", "viagra", "cialis", "cheap-pills", "weight-loss",
+    "payday-loan", "free-money", "get-rich", "crypto-airdrop", "warez", "keygen", "nulled", "torrent", "cracked", "malware", "phishing", "ransomware", "spam-farm", "link-farm",
+    "clickbait", "adserver", "doubleclick", "popunder", "tracker",
+]
+FILTER_SHAPES = ["||{}.", "-{}.", "/{}/", "/{}^", "-{}-", "/{}-*.html|", "^{}=", "_{}_"]
+#: Links that pay whoever set them, and the sections that are kept whatever words they hold.
+FILTER_LINES = ["?ref=", "&ref=", "@@/library/", "@@||museum^"]
 
 
 def default_rules() -> list[UrlRule]:
-    return [host_rule(*r) for r in HOST_RULES] + [pattern_rule(w) for w in BLOCKED_WORDS]
+    lines = [shape.format(w) for w in FILTER_WORDS for shape in FILTER_SHAPES] + FILTER_LINES
+    return [host_rule(*r) for r in HOST_RULES] + [filter_rule(x) for x in lines]
 
 
-def url_parts(url: Column) -> tuple[Column, Column]:
-    """Host (lower-cased) and path; both empty for a null or a url without ``://``."""
+def url_parts(url: Column) -> tuple[Column, Column, Column]:
+    """Host (lower-cased), path, and all that follows ``://`` with that host; empty for a null or a url without ``://``."""
     at = F.instr(url, "://")
-    rest = F.when(at > 0, F.substring(url, at + 3, F.length(url))).otherwise(F.lit(""))
-    rest = F.coalesce(rest, F.lit(""))
-    return F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
+    rest = F.coalesce(F.when(at > 0, F.substring(url, at + 3, F.length(url))), F.lit(""))
+    host = F.translate(F.regexp_extract(rest, r"^[^/?#]*", 0), UPPER, LOWER)
+    return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1), F.concat(host, F.substring(rest, F.length(host) + 1, F.length(rest)))
 
 
 def _tokens(subject: Column) -> Column:
@@ -65,7 +88,7 @@ def _tokens(subject: Column) -> Column:
 
 def _rules(spark: SparkSession, rules: Sequence[UrlRule]) -> DataFrame:
     rows = [(i, r.name, r.regex, list(dict.fromkeys(r.tokens)), r.verdict, r.rank, r.named) for i, r in enumerate(rules)]
-    return spark.createDataFrame(rows, "_rule int, _name string, _regex string, _words array<string>, _verdict string, _rank int, _named boolean")
+    return spark.createDataFrame(rows, "rule int, name string, regex string, words array<string>, verdict string, rank int, named boolean")
 
 
 def judge_urls(df: DataFrame, rules: Sequence[UrlRule] | None = None, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
@@ -73,39 +96,36 @@ def judge_urls(df: DataFrame, rules: Sequence[UrlRule] | None = None, id_col: st
 
     Null, empty and schemeless urls have empty parts and the default verdict. Repeated rows are judged alike,
     null ids are rows like others, and an empty table or rule list gives the default. Rules without a
-    literal token run on every url. Existing columns of the four names are replaced; names starting with
-    an underscore are reserved.
+    literal token run on every url. Existing columns of the four names are replaced; others may have any name.
     """
     rules = default_rules() if rules is None else list(rules)
     spark = df.sparkSession
-    host, path = url_parts(F.col(url_col))
+    host, path, whole = url_parts(col(url_col))
     kept = [c for c in df.columns if c not in ("host", "path", "rule", "verdict")]
-    parts = df.withColumn("_host", host).withColumn("_path", path)
+    rows = nested(df, id=col(id_col), host=host, path=path, subject=whole)
     indexed, loose = [r for r in rules if r.tokens], [r for r in rules if not r.tokens]
     small = sum(len(r.tokens) for r in indexed) <= BROADCAST_RULES
     fit = (lambda x: F.broadcast(x)) if small else (lambda x: x)
-    urls = parts.select(F.col(id_col).alias("_id"), F.concat("_host", "_path").alias("_subject"))
-    words = urls.select("_id", "_subject", F.explode(_tokens(F.col("_subject"))).alias("_word"))
+    words = rows.select("id", "subject", F.explode(_tokens(F.col("subject"))).alias("word"))
     table = _rules(spark, indexed)
     # How often each token of a rule occurs in all urls decides which one indexes the rule.
-    wanted = table.select(F.explode("_words").alias("_word")).distinct()
-    seen = words.join(fit(wanted), "_word").groupBy("_word").agg(F.count(F.lit(1)).alias("_seen"))
+    wanted = table.select(F.explode("words").alias("word")).distinct()
+    seen = words.join(fit(wanted), "word").groupBy("word").agg(F.count(F.lit(1)).alias("seen"))
     rarest = (
-        table.select("_rule", F.explode("_words").alias("_word")).join(seen, "_word", "left")
-        .groupBy("_rule").agg(F.min(F.struct(F.coalesce("_seen", F.lit(0)).alias("n"), F.col("_word").alias("w"))).alias("_r"))
+        table.select("rule", F.explode("words").alias("word")).join(seen, "word", "left")
+        .groupBy("rule").agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("n"), F.col("word").alias("w"))).alias("r"))
     )
-    index = rarest.join(table, "_rule").select(F.col("_r.w").alias("_word"), "_regex", "_name", "_verdict", "_rank", "_named")
-    hits = words.join(fit(index), "_word").where(F.expr("_subject RLIKE _regex"))
-    best = F.max(F.struct("_rank", "_name", "_named", "_verdict")).alias("_best")
-    found = hits.groupBy("_id", "_subject").agg(best)
-    named = F.struct(*[F.lit(None).cast(t).alias(n) for n, t in (("_rank", "int"), ("_name", "string"), ("_named", "boolean"), ("_verdict", "string"))])
-    subject = F.concat("_host", "_path")
+    index = rarest.join(table, "rule").select(F.col("r.w").alias("word"), "regex", "name", "verdict", "rank", "named")
+    hits = words.join(fit(index), "word").where(F.expr("subject RLIKE regex"))
+    found = hits.groupBy("id", "subject").agg(F.max(F.struct("rank", "name", "named", "verdict")).alias("best"))
+    found = found.select(F.col("id").alias("_id"), F.col("subject").alias("_subject"), "best")
+    out = rows.join(found, F.col("id").eqNullSafe(F.col("_id")) & (F.col("subject") == F.col("_subject")), "left")
+    chosen = F.col("best")
     for r in loose:
-        named = F.greatest(named, F.when(subject.rlike(r.regex), F.struct(F.lit(r.rank).alias("_rank"), F.lit(r.name).alias("_name"), F.lit(r.named).alias("_named"), F.lit(r.verdict).alias("_verdict"))))
-    out = parts.join(found, parts[id_col].eqNullSafe(found["_id"]) & (subject == found["_subject"]), "left")
-    chosen = F.greatest(F.col("_best"), named) if loose else F.col("_best")
-    out = out.withColumn("_chosen", chosen)
+        own = F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.named).alias("named"), F.lit(r.verdict).alias("verdict"))
+        chosen = F.greatest(chosen, F.when(F.col("subject").rlike(r.regex), own))
+    out = out.withColumn("chosen", chosen)
     return out.select(
-        *kept, F.col("_host").alias("host"), F.col("_path").alias("path"),
-        F.when(F.col("_chosen._named"), F.col("_chosen._name")).alias("rule"), F.coalesce("_chosen._verdict", F.lit(default)).alias("verdict"),
+        *[F.col("row")[c].alias(c) for c in kept], "host", "path",
+        F.when(F.col("chosen.named"), F.col("chosen.name")).alias("rule"), F.coalesce("chosen.verdict", F.lit(default)).alias("verdict"),
     )
