@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -25,10 +26,14 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _CANDIDATE = re.compile(r"[^\s\"'<>,;|]+")
 _DIGIT = re.compile(r"[0-9]")
+_HINT = re.compile(r"[0-9@_]")
+_JOINED = re.compile(r"[^\W0-9_][@_][^\W0-9_]")
 _WORD = re.compile(r"\S+")
 
-#: Rounds of scoring, distinct seeds a pattern needs, and the share of its slot that its kind must hold.
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 5, 0.8
+#: Rounds at most, distinct instances of a kind (seeds or discovered ones) that a pattern needs, and the share of its slot that its kind must hold.
+ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 4, 5, 0.8
+#: Characters that tell the part of a word which adjoins a slot.
+ADJOINING = 40
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 FOUND = "array<struct<kind:string,start:int,end:int,value:string,patterns:array<string>>>"
 
@@ -81,43 +86,68 @@ def _word(w: str) -> str:
     return w if len(w) <= 40 else hashlib.md5(w.encode("utf-8", "surrogatepass")).hexdigest()
 
 
-def _patterns(t: str, s: int, e: int) -> list[str]:
-    """Two words before the slot, and one on either side; a text's end counts as a word."""
-    left = _WORD.findall(t, max(0, s - 120), s)[-2:]
-    right = _WORD.search(t, e, e + 120)
-    before = ["^"] * (2 - len(left)) + [_word(w) for w in left]
-    after = _word(right[0]) if right else "$"
-    return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after}"]
+class _Context:
+    """The words of a text, to read patterns around any place of it in time that doesn't grow with their length."""
+
+    def __init__(self, t: str) -> None:
+        self.t = t
+        self.spans = [m.span() for m in _WORD.finditer(t)]
+        self.ends = [e for _, e in self.spans]
+        self.forms: dict[int, str] = {}
+
+    def form(self, i: int) -> str:
+        if i not in self.forms:
+            self.forms[i] = _word(self.t[slice(*self.spans[i])])
+        return self.forms[i]
+
+    def patterns(self, s: int, e: int) -> list[str]:
+        """Two words before the slot, and one on either side.
+
+        A part of a word that adjoins the slot is a word, told by its nearest ``ADJOINING`` characters; and so is a text's end.
+        """
+        i = bisect_right(self.ends, s)
+        inside = i < len(self.spans) and self.spans[i][0] < s
+        left = [self.form(k) for k in range(max(0, i - 2 + inside), i)]
+        if inside:
+            left.append(_word(self.t[max(self.spans[i][0], s - ADJOINING) : s]))
+        before = ["^"] * (2 - len(left)) + left
+        j = bisect_right(self.ends, e)
+        after = "$" if j == len(self.spans) else self.form(j) if self.spans[j][0] >= e else _word(self.t[e : min(self.spans[j][1], e + ADJOINING)])
+        return [f"{before[0]} {before[1]} _", f"{before[1]} _ {after}"]
+
+
+def _like_an_identifier(value: str) -> bool:
+    digits = len(_DIGIT.findall(value))
+    if not digits:
+        return _JOINED.search(value) is not None
+    return digits >= 5 or (value.strip("0123456789") != "" and any(c in value for c in "@-._"))
 
 
 def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple]]:
     """Base spans, and for them and each other identifier-like token: kind (empty if unknown), place, value, patterns.
 
-    Identifier-like: at least five digits, or a digit and one of ``@`` ``-`` ``.`` inside; marks at the ends don't count.
+    Identifier-like: at least five digits, or a digit and one of ``@`` ``-`` ``.`` ``_``, or ``@`` or ``_`` between
+    letters; marks at the ends don't count. Words end at any white space of Unicode.
     """
     t = text or ""
     base = base_spans(t)
-    found = [(k, s, e, t[s:e], _patterns(t, s, e)) for k, s, e in base]
+    hint = _HINT.search(t)
+    if not hint:
+        return base, []
+    words = _Context(t)
+    found = [(k, s, e, t[s:e], words.patterns(s, e)) for k, s, e in base]
     taken = sorted((s, e) for _, s, e in base)
-    i, after = 0, 0
-    digit = _DIGIT.search(t)
-    while digit:
-        at = digit.start()
-        s = max(t.rfind(c, after, at) for c in " \n\t\r\"'<>,;|") + 1 or after
-        m = _CANDIDATE.match(t, s)
-        if not m or m.end() <= at:
-            after = at + 1
-        else:
-            after = m.end()
+    i = 0
+    while hint:
+        s, e = words.spans[bisect_right(words.ends, hint.start())]
+        for m in _CANDIDATE.finditer(t, s, e):
             value = m[0].strip(".:!?*#$%&()[]{}=")
-            s = m.start() + m[0].find(value) if value else m.start()
-            e = s + len(value)
-            while i < len(taken) and taken[i][1] <= s:
+            start = m.start() + m[0].find(value) if value else m.start()
+            while i < len(taken) and taken[i][1] <= start:
                 i += 1
-            digits = len(_DIGIT.findall(value))
-            if (digits >= 5 or digits and value.strip("0123456789") and any(c in value for c in "@-.")) and not (i < len(taken) and taken[i][0] < e):
-                found.append(("", s, e, value, _patterns(t, s, e)))
-        digit = _DIGIT.search(t, after)
+            if _HINT.search(value) and _like_an_identifier(value) and not (i < len(taken) and taken[i][0] < start + len(value)):
+                found.append(("", start, start + len(value), value, words.patterns(start, start + len(value))))
+        hint = _HINT.search(t, e)
     return base, found
 
 
@@ -140,27 +170,37 @@ def _scan_all(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def learn_patterns(found: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """``pattern, kind, confidence`` from all occurrences (columns ``kind``, ``value``, ``pattern``).
 
-    A pattern's confidence in a kind is the mean belief that the distinct instances in its slot are of it; an
-    instance's belief is 1 for a seed, else a noisy-or over the confidences of its patterns. Each round hands
-    beliefs from seeds one step on. A pattern counts once ``min_seeds`` distinct seeds of the kind support it.
+    An instance's belief in a kind is 1 for a seed of it, else a noisy-or over its confident patterns. A pattern's
+    confidence in a kind is the mean belief over the distinct instances in its slot; it is confident if at least
+    ``min_seeds`` of them are believed and the mean is at least ``min_confidence``. Every round recomputes both from
+    all occurrences, so what one round discovers induces patterns in the next. Rounds end early when they change nothing.
     """
     edges = Stored(found.groupBy("pattern", F.xxhash64("value").alias("instance")).agg(F.max("kind").alias("kind")))
-    seeds = edges.df.where("kind <> ''").select("instance", "kind", F.lit(1.0).alias("belief")).distinct()
-    fill = edges.df.groupBy("pattern").agg(F.count(F.lit(1)).alias("size"))
-    support = edges.df.where("kind <> ''").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= min_seeds)
-    able = Stored(support.join(fill, "pattern"))
-    links = edges.df.where("kind = ''").select("pattern", "instance").join(able.df, "pattern")
-    patterns = able.df.select("pattern", "kind", (F.col("seeds") / F.col("size")).alias("confidence"))
-    for _ in range(rounds - 1):
-        strong = patterns.where(F.col("confidence") >= min_confidence)
+    seeds = Stored(edges.df.where("kind <> ''").groupBy("instance").agg(F.min("kind").alias("kind"), F.lit(1.0).alias("belief")))
+    sizes = Stored(edges.df.groupBy("pattern").agg(F.count(F.lit(1)).alias("size")))
+    open_edges = edges.df.where("kind = ''").join(seeds.df, "instance", "left_anti").select("pattern", "instance")
+    believed, done, patterns = seeds, None, None
+    for r in range(rounds):
+        held = edges.df.select("pattern", "instance").join(believed.df, "instance")
+        support = held.groupBy("pattern", "kind").agg(F.sum("belief").alias("total"), F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_seeds)
+        scored = support.join(sizes.df, "pattern").select("pattern", "kind", (F.col("total") / F.col("size")).alias("confidence"))
+        if patterns is not None:
+            patterns.drop()
+        patterns = Stored(scored.where(F.col("confidence") >= min_confidence))
+        state = patterns.df.agg(F.count(F.lit(1)), F.round(F.sum("confidence"), 9)).first()
+        if state == done or r == rounds - 1:
+            break
+        done = state
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))
-        beliefs = links.select("pattern", "instance", "kind").join(strong, ["pattern", "kind"]).groupBy("instance", "kind").agg((1 - doubt).alias("belief"))
-        beliefs = beliefs.join(seeds.select("instance").distinct(), "instance", "left_anti")
-        gained = links.join(beliefs, ["instance", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("more"))
-        patterns = Stored(
-            able.df.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("size")).alias("confidence"))
-        ).df
-    return patterns.where(F.col("confidence") >= min_confidence)
+        beliefs = open_edges.join(patterns.df, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("b"))
+        # Of several kinds, the most believed one; then the first by name.
+        best = beliefs.groupBy("instance").agg(F.min(F.struct((-F.col("b")).alias("b"), "kind")).alias("k")).select("instance", "k.kind", (-F.col("k.b")).alias("belief"))
+        if believed is not seeds:
+            believed.drop()
+        believed = Stored(seeds.df.unionByName(best))
+    for table in {id(x): x for x in (edges, seeds, sizes, believed)}.values():
+        table.drop()
+    return patterns.df
 
 
 def find_personal_data(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
