@@ -51,12 +51,13 @@ def features(text: str | None) -> list[float]:
 
 @dataclass(frozen=True)
 class Model:
-    """Quantile-binned features with a weight for each bin; ``score`` is 0.5 at the threshold."""
+    """Quantile-binned features with a weight for each bin; ``score`` is 0.5 at the threshold, the ``level`` quantile of the training scores."""
 
     edges: list = field(default_factory=list)
     weights: list = field(default_factory=list)
     threshold: float = 0.0
     scale: float = 1.0
+    level: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
@@ -68,8 +69,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * (self.raw(x) - self.threshold), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, bins: int = 24) -> Model:
-    """Learn from rows of features and 0/1 labels. Labels of a single class, or none, give a constant 0.5."""
+def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, quantile: float | None = None) -> Model:
+    """Learn from rows of features and 0/1 labels. Labels of a single class, or none, give a constant 0.5.
+
+    ``quantile``: the share of training scores below the threshold; by default the one with the fewest wrong labels.
+    """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
         return Model([np.array([])] * FEATURES, [np.zeros(1)] * FEATURES)
@@ -93,7 +97,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24) -> Model:
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     raw = w[cells].sum(1)
-    # The quantile of all training scores that makes the fewest mistakes, with the widest gap around it.
+    # The level of the scores' quantile that makes the fewest mistakes, with the widest gap around it.
     order = np.sort(raw)
     cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
     wrong_good = np.searchsorted(np.sort(raw[good]), cuts)
@@ -101,8 +105,10 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24) -> Model:
     wrong = wrong_good + wrong_bad
     best = np.flatnonzero(wrong == wrong.min())
     gap = np.diff(np.concatenate([[order[0] - 2], order]))[best]
-    cut = float(cuts[best[np.argmax(gap)]])
-    return Model([e.tolist() for e in edges], [w[start[j] : start[j + 1]].tolist() for j in range(len(sizes))], cut, float(4 / (np.std(raw) + 1e-9)))
+    at = best[np.argmax(gap)]
+    level = float(at / len(raw)) if quantile is None else quantile
+    cut = float(cuts[at]) if quantile is None else float(np.quantile(raw, level))
+    return Model([e.tolist() for e in edges], [w[start[j] : start[j + 1]].tolist() for j in range(len(sizes))], cut, float(4 / (np.std(raw) + 1e-9)), level)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,10 +116,11 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_FIT_ROWS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_FIT_ROWS, quantile: float | None = None) -> Model:
     """Fit on labelled documents that are not held out: at most ``max_rows`` of them, by hash of the id.
 
-    Labels other than 0 and 1 and null ids are left out. Of repeated ids the larger label holds.
+    Labels other than 0 and 1 and null ids are left out. Of repeated ids the larger label and the features that
+    sort first hold, so a repeated run gives the same model.
     """
     clean = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col)))
     known = clean.groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).cast("int").alias("_y"))
@@ -124,10 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame({"id": b["_id"].astype(str), "y": b["_y"], "x": [features(t) for t in b["_text"]]})
 
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(some), "_id")
-    rows = texts.mapInPandas(run, "id string, y int, x array<double>").toPandas()
-    rows = rows.drop_duplicates("id").sort_values("id")
+    # One row for each id reaches the driver, however often documents repeat it.
+    each = texts.mapInPandas(run, "id string, y int, x array<double>").groupBy("id").agg(F.min("y").alias("y"), F.min("x").alias("x"))
+    rows = each.toPandas().sort_values("id")
     x = np.array(rows["x"].tolist(), float).reshape(-1, FEATURES)
-    return fit(x, rows["y"].to_numpy(int))
+    return fit(x, rows["y"].to_numpy(int), quantile=quantile)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
