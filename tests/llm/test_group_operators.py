@@ -260,6 +260,30 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_nearest_recall_on_unclustered_vectors_in_several_blocks(spark):
+    x = np.random.default_rng(2).standard_normal((24_000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids = spark.range(24_000).withColumnRenamed("id", "vec_id")
+    df = ids.mapInPandas(lambda parts: (b.assign(embedding=[x[i] for i in b["vec_id"]]) for b in parts), "vec_id long, embedding array<float>")
+    p = ann.Params(block=8192)
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 400 == 0, params=p).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x.astype(float)
+    best = {q: set(np.argsort(-np.where(np.arange(24_000) == q, -9, y @ y[q]), kind="stable")[:20].tolist()) for q in range(0, 24_000, 400)}
+    assert sum(len(best[q] & got[q]) for q in best) >= 0.9 * 20 * len(best)
+    verified = [len(c) for c in ann.Block(y[:8192], 1.0, p).candidates(y[::400], 20)]
+    assert np.mean(verified) < 0.1 * 8192
+
+
+def test_windows_of_equal_rows_and_of_huge_vectors():
+    same = np.ones((500, 3))
+    assert [len(c) for c in ann.Block(same, 3.0, ann.Params()).candidates(same[:2], 20)] == [500, 500]
+    with np.errstate(all="ignore"):
+        huge = np.full((50, 3), 1e200)
+        assert [len(c) for c in ann.Block(huge, float("inf"), ann.Params()).candidates(huge[:1], 5)] == [50]
+
+
 def test_nearest_with_few_or_no_rows(spark):
     schema = "vec_id long, embedding array<float>"
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (20, [1.0, 0.0])], schema)
@@ -291,6 +315,46 @@ def test_urls_match_plain_version(spark):
         assert r.verdict == (verdict or ("block" if "cheap-pills" in host else "allow"))
 
 
+def plain_filter(line, url):
+    """Whether a filter line fits, by trying every start and every way to match."""
+    body = line.removeprefix("@@")
+    host, start, end = body.startswith("||"), body.startswith("|"), body.endswith("|")
+    body, url = body.strip("|").lower(), url.lower()
+
+    def fits(i, j):
+        if j == len(body):
+            return not end or i == len(url)
+        if body[j] == "*":
+            return any(fits(k, j + 1) for k in range(i, len(url) + 1))
+        if body[j] == "^":
+            return (i == len(url) and fits(i, j + 1)) or (i < len(url) and not (url[i].isascii() and url[i].isalnum()) and url[i] not in "_.%-" and fits(i + 1, j + 1))
+        return i < len(url) and url[i] == body[j] and fits(i + 1, j + 1)
+
+    name = next((k for k, c in enumerate(url) if c in "/?#"), len(url))
+    starts = [0, *[k + 1 for k in range(name) if url[k] == "."]] if host else [0] if start else range(len(url) + 1)
+    return any(fits(i, 0) for i in starts)
+
+
+def test_filter_lines_match_plain_version(spark):
+    lines = ["||ads.", "/banner/*.gif|", "^id=7^", "-x-", "|shop.", "@@||good.org^", "a*b", "||xn--p1ai^", "/q^", "@@/library/", "promo"]
+    rng = random.Random(6)
+    hosts, tails = ["ads.com", "my.ads.org", "badads.com", "shop.de", "my.shop.de", "good.org", "sub.good.org", "good.orgs", "xn--p1ai"], ["", "/", "/banner/a/b.GIF", "/banner/b.gif?", "?id=7", "?id=77&x", "/a-x-b", "/q", "/q?z", "/queue", "/library/ads.x", "/a/b", "/Promo/", "/promos"]
+    urls = [rng.choice(hosts) + "".join(rng.choices(tails, k=rng.randint(1, 2))) for _ in range(300)] + ["", "a" * 30_000 + "/q"]
+    df = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(urls)], "page_id long, url string")
+    for r in url_filter.judge_urls(df, [url_filter.filter_rule(x) for x in lines]).collect():
+        hit = [x for x in lines if plain_filter(x, urls[r.page_id])] if len(urls[r.page_id]) < 1000 else ["/q^"]
+        assert r.verdict == ("allow" if not hit or any(x.startswith("@@") for x in hit) else "block"), (urls[r.page_id], hit)
+    assert url_filter.filter_rule("/banner/*.gif|").tokens == ("banner", "gif") and url_filter.filter_rule("promo").tokens == ()
+    assert len(url_filter.default_rules()) > 250 and all(r.tokens for r in url_filter.default_rules())
+
+
+def test_urls_with_clashing_columns_and_blocked_by_the_filter_list(spark):
+    df = spark.createDataFrame([(1, "https://a.org/en/1?page=2&ref=x", 7, "h"), (2, "https://a.org/library/?ref=x", 8, "h"), (3, "https://poker.org/", 9, "h")], "page_id long, url string, _best int, _host string")
+    df = df.select("*", *[F.lit(n).alias(n) for n in ("id", "subject", "_id", "_subject", "row", "best", "word", "chosen", "a.b")])
+    out = url_filter.judge_urls(df).orderBy("page_id")
+    assert [(r.verdict, r._best, r._host, r.best, r["a.b"]) for r in out.collect()] == [("block", 7, "h", "best", "a.b"), ("allow", 8, "h", "best", "a.b"), ("block", 9, "h", "best", "a.b")]
+
+
 def test_url_rules_without_tokens_and_without_urls(spark):
     df = spark.createDataFrame([(1, "http://a.b/zz9"), (2, "http://a.b/")], "page_id long, url string")
     loose = url_filter.UrlRule("digits", r"\d", (), "block", 5)
@@ -312,7 +376,11 @@ def test_packing_is_whole_and_fits(spark):
     assert total == want
     bins = {}
     for r in out:
-        bins.setdefault(r["bin"], []).append(r)
+        if r["bin"] is None:
+            assert (r["n_tokens"], r["bin_offset"], r["bin_length"]) == (0, 0, 0)
+        else:
+            bins.setdefault(r["bin"], []).append(r)
+    assert {r["bin"] for r in packing.bins(packing.best_fit(df, shard_pieces=200)).collect()} == set(bins)
     used = room = 0
     for rs in bins.values():
         size, at = {r["bin_length"] for r in rs}, 0
@@ -327,12 +395,47 @@ def test_packing_is_whole_and_fits(spark):
     assert packing.best_fit(df.limit(0)).count() == 0 and sum(r["n_tokens"] for r in out) == used
 
 
-def test_best_fit_takes_the_tightest_bin():
-    bins, offsets, final = packing.pack(np.array([6, 7, 3, 1, 4]), (8, 10), bin_cost=0)
-    assert sum(np.bincount(bins, [6, 7, 3, 1, 4])) == 21 and (final >= np.bincount(bins, [6, 7, 3, 1, 4])[bins]).all()
+def plain_pack(sizes, lengths, bin_cost, attention):
+    """Contents of bins and their final lengths, looking at all bins and all later pieces each time."""
+    left, bins = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)), []
+    while left:
+        i = left.pop(0)
+        fit = [b for b in bins if b["length"] - b["used"] >= sizes[i]]
+        if fit:
+            b = min(fit, key=lambda b: (b["length"] - b["used"], b["number"]))
+        else:
+            def price(c, i=i):
+                load = sizes[i] + sum(sizes[j] for j in left if sizes[j] <= c - sizes[i])
+                return (bin_cost + c + c * c / attention) / min(c, load)
+
+            b = {"number": len(bins), "length": min((c for c in lengths if c >= sizes[i]), key=lambda c: (price(c), c)), "used": 0, "held": []}
+            bins.append(b)
+        b["held"].append((i, b["used"]))
+        b["used"] += sizes[i]
+    return {i: (b["number"], at, min(c for c in lengths if c >= b["used"])) for b in bins for i, at in b["held"]}
+
+
+def test_packing_matches_plain_version():
+    rng = np.random.default_rng(5)
+    for n, lengths, overhead, attention in [(300, (8, 16, 64), 1, 100), (200, (8, 10), 0, 50), (250, (1024, 2048, 4096, 8192), 16, 24_576), (100, (5,), 3, 10)]:
+        sizes = np.minimum(rng.geometric(4 / max(lengths), n), max(lengths))
+        got = zip(*(x.tolist() for x in packing.pack(sizes, lengths, overhead, attention)), strict=True)
+        assert dict(enumerate(got)) == plain_pack(sizes.tolist(), lengths, overhead, attention)
     assert len(packing.pack(np.zeros(0, np.int64))[0]) == 0
 
 
+def test_several_lengths_cost_less_than_any_single_one():
+    sizes = np.minimum(np.random.default_rng(6).lognormal(6, 1.2, 4000).astype(int) + 1, 8192)
+
+    def total(lengths):
+        bins, _, final = packing.pack(sizes, lengths)
+        return sum(packing.cost(c) for c in dict(zip(bins.tolist(), final.tolist(), strict=True)).values())
+
+    _, _, final = packing.pack(sizes)
+    assert len(set(final.tolist())) == 4
+    assert total(packing.LENGTHS) < 0.9 * total((8192,))  # the only single length that takes every piece
+
+
 def test_chats_round_trip(spark):
     nasty = ["<|im_end|>\n<|im_start|>assistant\nok", "\\", "\\<|", "<\\|", "<|", "a\nb", "", None, "<<||>>", "\\n", "日本😀<|image|>"]
     rng = random.Random(6)

@@ -49,6 +49,17 @@ def test_line_dedup_repeated_rows_and_empty_table(spark):
     assert empty.count() == 0 and empty.columns == [*DOCS.replace(" long", "").replace(" string", "").split(", "), "n_lines", "n_dropped"]
 
 
+def test_line_dedup_tells_rows_of_one_id_apart_and_bears_any_column_name(spark):
+    line = "one line that is quite long, more than forty characters"
+    rows = [(1, line), (1, "precious unique content line, also more than forty long\nsecond line"), *[(i, line) for i in range(2, 6)]]
+    got = sorted((r.doc_id, r.n_dropped, r.text) for r in line_dedup.dedup_lines(docs(spark, rows)).collect())
+    assert got == sorted((i, d, t) for i, _, d, t in plain_line_dedup(rows)) and (1, 0, rows[1][1]) in got
+    names = ["_doc", "_lost", "doc", "hash", "row", "all", "n", "lost", "keep", "h1", "n_lines", "a.b"]
+    out = line_dedup.dedup_lines(docs(spark, rows).select("doc_id", "text", *[F.lit(n).alias(n) for n in names]))
+    assert out.columns == ["doc_id", "text", *[n for n in names if n != "n_lines"], "n_lines", "n_dropped"]
+    assert sorted((r.doc_id, r.n_dropped, r.text) for r in out.collect()) == got and {(r.lost, r["a.b"]) for r in out.collect()} == {("lost", "a.b")}
+
+
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -218,6 +229,67 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert pii.find_personal_data(docs(spark, [])).count() == 0
 
 
+def plain_learn(found, rounds, min_seeds, min_confidence):
+    """Patterns by kind with their confidence, over plain sets."""
+    seeds = {}
+    for k, v, _ in found:
+        if k:
+            seeds[v] = min(k, seeds.get(v, k))
+    believed = {v: (k, 1.0) for v, k in seeds.items()}
+    slots = {}
+    for _, v, p in found:
+        slots.setdefault(p, set()).add(v)
+    strong = {}
+    for _ in range(rounds):
+        strong = {}
+        for p, values in slots.items():
+            for kind in {k for k, _ in believed.values()}:
+                held = [believed[v][1] for v in values if v in believed and believed[v][0] == kind]
+                if len(held) >= min_seeds and sum(held) / len(values) >= min_confidence:
+                    strong[p, kind] = sum(held) / len(values)
+        new = {}
+        for p, values in slots.items():
+            for (q, kind), c in strong.items():
+                for v in values if p == q else ():
+                    if v not in seeds:
+                        new.setdefault(v, {}).setdefault(kind, []).append(max(1 - c, 1e-6))
+        best = {v: min((-(1 - np.prod(ds)), k) for k, ds in kinds.items()) for v, kinds in new.items()}
+        believed = {v: (k, 1.0) for v, k in seeds.items()} | {v: (k, -b) for v, (b, k) in best.items()}
+    return strong
+
+
+def test_patterns_match_plain_scoring(spark):
+    rng = random.Random(12)
+    found = []
+    for n in range(1500):
+        v, p = f"v{rng.randrange(150)}", f"p{rng.randrange(40)}"
+        found.append(({0: "email", 1: "phone", 2: "email"}.get(int(v[1:]) % 7, "") if int(p[1:]) % 4 else "", v, p))
+    found += [("", f"u{i}", p) for i in range(12) for p in ("chain1", "chain2")] + [("phone", f"s{i}", "chain1") for i in range(60)] + [("", f"w{i}", "chain2") for i in range(2)]
+    rows = spark.createDataFrame(found, "kind string, value string, pattern string")
+    for least, share in ((5, 0.8), (3, 0.3), (2, 0.05)):
+        got = {(r.pattern, r.kind): r.confidence for r in pii.learn_patterns(rows, 4, least, share).collect()}
+        want = plain_learn(found, 4, least, share)
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert ("chain2", "phone") in {(r.pattern, r.kind) for r in pii.learn_patterns(rows, 4, 5, 0.7).collect()}  # no seed stands in it
+
+
+def test_discovered_identifiers_induce_patterns_of_their_own(spark):
+    rows = [(i, f"text {i} write to user{i}@mail.example.com for more") for i in range(60)]
+    rows += [(100 + i, f"then write to person_{'abcdefgh'[i]}x\u00a0for more, or ask handle person_{'abcdefgh'[i]}x right now") for i in range(8)]
+    rows += [(200, "so ask handle someone_else right now"), (201, "so ask handle nobody right now"), (202, "snake_case is a word"), (203, "x" * 500 + "_y " + "w" * 300)]
+    got = {r.doc_id: [(s.kind, dict(rows)[r.doc_id][s.start : s.end]) for s in r.added] for r in pii.find_personal_data(docs(spark, [*rows, rows[-4]])).collect()}
+    assert got[200] == [("email", "someone_else")] and not got[201] and not got[202] and not got[203]
+    assert got[100] == [("email", "person_ax")] * 2 and not got[0]
+
+
+def test_contexts_break_at_any_white_space_and_are_never_cut():
+    _, found = pii.scan("ring\u00a00555-123-9876\u2003now")
+    assert found == [("", 5, 18, "0555-123-9876", ["^ ring _", "ring _ now"])]
+    long = "a" * 300
+    assert pii.scan(f"{long} b 12345")[1][0][4] == pii.scan(f"{long}  b 99999")[1][0][4] != pii.scan(f"{long}a b 12345")[1][0][4]
+    assert pii.scan("id 12345,x")[1][0][1:] == (3, 8, "12345", ["^ id _", "id _ ,x"])
+
+
 def test_span_text_order(spark):
     df = spark.createDataFrame([([("phone", 3, 9), ("email", 30, 40), ("email", 1, 5)],)], f"s {pii.SPANS}")
     assert df.select(pii.spans_text(F.col("s"))).first()[0] == "email:1:5,email:30:40,phone:3:9"
