@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 STOPWORDS = ["a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "by", "for", "with", "before", "after", "near", "another", "other", "potential", "look"]
 
 # Category labels and their other names.
-CATEGORIES = ["assault", "explosion", "fighting", "fire", "object_falling", "people_falling", "robbery", "shooting", "traffic_accident", "vandalism", "water_incident"]
+CATEGORIES = ["assault", "robbery", "shooting", "fire", "explosion", "fighting", "people_falling", "traffic_accident", "object_falling", "vandalism", "water_incident"]
 ALIASES = {
     "vehicle_collision": "traffic_accident", "vehicle_crash": "traffic_accident", "vehicle_accident": "traffic_accident", "collision": "traffic_accident", "car_crash": "traffic_accident", "traffic_collision": "traffic_accident",
     "physical_altercation": "fighting", "violent_confrontation": "fighting", "brawl": "fighting",
@@ -36,10 +36,9 @@ COMBINED = "fire_or_explosion"
 
 
 def normal_query(c: Column) -> Column:
-    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "_", " ")
-    t = F.regexp_replace(t, r"[^a-z0-9\s]", "")
-    t = F.regexp_replace(t, r"\b(the|an|a)\b", " ")
-    return F.trim(F.regexp_replace(t, r"\s+", " "))
+    """Lower case, with a space for each run of marks, white space and articles."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^a-z0-9]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"\b(the|an|a)\b", " "), " +", " "))
 
 
 def tokens(normal: Column, stopwords: list[str] = STOPWORDS) -> Column:
@@ -52,11 +51,12 @@ def clean_category(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(t, "_+", "_"), "^_+|_+$", "")
 
 
-def category(c: Column, more: dict[str, str] | None = None) -> Column:
-    """Normal, then exact names, aliases (and ``more`` of them), and the substrings in order; else the cleaned text."""
+def category(c: Column, existence: Column | None = None) -> Column:
+    """Normal, then exact names, aliases, and the substrings in order; else the cleaned text. Where ``existence`` says normal, normal."""
     t = clean_category(c)
-    out = F.when(t == "normal", F.lit("normal")).when(t.isin(CATEGORIES), t)
-    for name, label in {**ALIASES, **(more or {})}.items():
+    out = F.when(says(existence, "normal"), "normal") if existence is not None else F.when(t == "normal", "normal")
+    out = out.when(t.isin("normal", *CATEGORIES), t)
+    for name, label in ALIASES.items():
         out = out.when(t == name, F.lit(label))
     for parts, label in SUBSTRINGS:
         hit = t.rlike("|".join(parts))
@@ -68,6 +68,23 @@ def category(c: Column, more: dict[str, str] | None = None) -> Column:
     return out.otherwise(t)
 
 
+def says(c: Column, word: str) -> Column:
+    return F.coalesce(F.lower(F.trim(c)) == word, F.lit(False))
+
+
+def claim_error(existence: Column, label: Column, required: bool = False) -> Column:
+    """What is wrong with a claim's canonical category (null: not given), or null.
+
+    ``required``: a claim of an anomaly must name one.
+    """
+    blank = F.trim(F.coalesce(label, F.lit(""))) == ""
+    anomaly = says(existence, "anomaly")
+    return (
+        F.when(blank, F.when(anomaly, "missing_category") if required else F.lit(None).cast("string")).when(~label.isin("normal", *CATEGORIES), "unknown_category")
+        .when(says(existence, "normal") & (label != "normal"), "category_of_normal").when(anomaly & (label == "normal"), "normal_category_of_anomaly")
+    )
+
+
 def clip_text(c: Column, limit: int = 160) -> Column:
     t = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
     return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, limit - 3)), F.lit("...")))
@@ -113,8 +130,23 @@ def entry_path(key: Column) -> Column:
     return F.concat(F.lit("entries/"), F.substring(key, 1, 2), F.lit("/"), key, F.lit(".pt"))
 
 
+# Clothes, places, and what tells an event (any of the words, and the query for it).
+CLOTHING_TERMS = ["shirt", "jacket", "coat", "hoodie", "vest", "uniform", "pants", "dress", "hat", "helmet"]
+SCENE_TERMS = ["intersection", "shop", "store", "sidewalk", "road", "street", "restaurant", "terrace", "parking", "driveway", "workbench", "site"]
+EVENTS = [
+    (("attack", "attacked", "assault", "hit", "kick", "punch", "lunge", "fight", "altercation"), "physical struggle", 0.9),
+    (("snatch", "rob", "robbery", "steal", "grab bag"), "bag snatch", 0.8),
+    (("fall", "falls", "falling", "fell", "trip", "stumble"), "person falling", 0.8),
+    (("ground", "lying", "fallen"), "person on ground", 0.9),
+    (("fire", "flame", "flames"), "fire", 0.8),
+    (("smoke",), "smoke", 0.8),
+]
+
+
 def query_kind(normal: Column) -> Column:
-    """Scene, then attribute, then event, else object, by telling words."""
-    words = F.split(normal, " ")
-    hits = lambda *w: F.arrays_overlap(words, F.array(*[F.lit(x) for x in w]))
-    return F.when(hits("street", "room", "store", "scene", "road"), "scene").when(hits("red", "black", "white", "clothing", "wearing"), "attribute").when(hits("falling", "running", "fighting", "smoke", "crash"), "event").otherwise("object")
+    """Of a normal query: a scene's word, then a part that is clothing, then a part that tells an event; else an object."""
+    known = tokens(normal)
+    return (
+        F.when(F.size(known) == 0, "object").when(F.arrays_overlap(known, F.array(*[F.lit(t) for t in SCENE_TERMS])), "scene_context")
+        .when(normal.rlike("|".join(CLOTHING_TERMS)), "attribute_object").when(normal.rlike("|".join(w for words, _, _ in EVENTS for w in words)), "event_relation").otherwise("object")
+    )

@@ -12,7 +12,7 @@ from tessera.functions import intervals as iv
 from tessera.functions import numeric as nm
 from tessera.functions import sampling as sm
 from tessera.functions import text as tx
-from tessera.operators import aggregates, budget, joins, machine, metrics, schema_check, sequence, shard, span_weights, vectors, verify
+from tessera.operators import aggregates, budget, joins, machine, metrics, query_package, reward, rollout_metrics, schema_check, self_report, sequence, shard, span_weights, vectors, verify
 from tessera.operators import intervals as ops
 from tessera.plans.registry import episodes
 from tessera.sources import jsonl, manifest, transcripts
@@ -134,17 +134,138 @@ def test_message_budget_drops_oldest_images(spark):
 
 
 def test_verifier_truth_table(spark):
-    z, o = lit(0.0), lit(1.0)
+    z, o, no, yes = lit(0.0), lit(1.0), lit(False), lit(True)
     full = verify.supports(o, o, o, z, o, z)
     none = verify.supports(z, z, z, z, z, z)
-    yes = lit(True)
     f, n = verify.overall(full, yes), verify.overall(none, yes)
     d = verify.derived(f, f, n, f)
     r = one(
         spark, verify.primary_status(f, f, n, full, d), verify.primary_status(f, n, f, none, verify.derived(f, n, f, n)), verify.primary_status(f, f, f, full, verify.derived(f, f, f, f)),
-        verify.alert_status(lit(None).cast("double"), o, z), verify.alert_status(lit(5.0), z, lit(1.0)), verify.alert_status(lit(1.0), z, lit(1.0)), verify.overall(full, lit(False)),
+        verify.alert_status(no, lit(None).cast("double"), o, z), verify.alert_status(yes, lit(5.0), z, lit(1.0)), verify.alert_status(yes, lit(1.0), z, lit(1.0)), verify.overall(full, no),
+        verify.next_action(lit("complete"), lit("late"), lit("soft_alert_check")), verify.next_action(lit("complete"), lit("late"), lit("final_check")), verify.next_action(lit("complete"), lit("justified"), lit("search_step_check")),
+        verify.failure_reasons(lit("redundant"), lit("late")),
     )
     assert tuple(r)[:6] == ("complete", "misaligned", "redundant", "not_applicable", "late", "premature") and 0.9 < r.c6 <= 1
+    assert tuple(r)[7:] == ("continue_search", "finalize", "finalize", ["selected_evidence_not_necessary_enough", "alert_after_expected_actionable_time"])
+
+
+def state(windows, chosen=(), alert=None, existence="anomaly", roles=(), known=True, precursor=None, mode="soft_alert_check", visited=()):
+    w = lambda rows: [(i, f"e{i}", k, r, float(s), float(e)) for i, k, r, s, e in rows]
+    return (w(windows), w(visited), list(chosen), alert is not None, alert, mode, existence, (1.0, 8.0), precursor, 1.0, list(roles), known, 10.0)
+
+
+STATE = (
+    f"ledger array<{verify.WINDOW}>, visited array<{verify.WINDOW}>, chosen array<string>, has_alert boolean, alert_sec double, mode string, existence string, anomaly struct<start:double,end:double>, "
+    "precursor struct<start:double,end:double>, earliest_alert double, roles array<struct<role:string,start_sec:double,end_sec:double>>, known boolean, duration double"
+)
+
+
+def test_verdicts_by_route(spark):
+    three = [("w1", "seek", "trigger", 1, 4), ("w2", "seek", "peak_action", 4, 6), ("w3", "seek", "confirmation", 6, 8)]
+    roles = [("trigger", 1.0, 4.0), ("peak_action", 4.0, 6.0), ("confirmation", 6.0, 8.0), ("precursor", 0.0, 1.0)]
+    rows = [
+        state(three, ["w1", "w2", "w3"], 1.0, roles=roles),  # all chosen: nothing is left to drop
+        state(three, ["w3"], 1.0, roles=roles), state(three, ["nothing"], 1.0, roles=roles), state(three, existence="normal", known=False), state(three, known=False, existence=None),
+        state([], roles=roles, visited=[("v1", "scan", "", 0, 9), ("v2", "seek", "", 1, 8)]), state(three, [], 9.0, roles=roles, precursor=(0.0, 1.0), mode="final_check"),
+    ]
+    got = [r.verdict for r in verify.verdicts(spark.createDataFrame(rows, STATE).coalesce(1)).select("verdict").collect()]
+    full = got[0].view_scores.full
+    assert (full.exist_support, full.category_support, full.temporal_support, full.precursor_support, full.alert_support, full.counterfactual_support) == (0.92, 0.92, 1.0, 0.0, 0.85, 0.96)
+    assert full.overall_support == round((0.2 * (0.92 + 0.92 + 1 + 0.85) + 0.1 * 0.96) / 0.9, 6) and got[0].view_scores.drop.overall_support == 0
+    assert (got[0].primary_status, got[0].alert_status, got[0].recommended_action) == ("complete", "justified", "finalize") and got[0].verified_window_ids == ["w1", "w2", "w3"]
+    assert got[1].primary_status == "incomplete" and got[1].view_scores.alert_prefix.category_support == 0.78 and got[1].failure_reasons[0] == "selected_evidence_not_sufficient"
+    assert got[2].primary_status == "misaligned" and got[2].verified_window_ids == got[2].best_effort_window_ids == []
+    assert got[3].view_scores.full.exist_support == round(0.25 + 0.6 * 0.7 + 0.15, 6) and got[3].view_scores.full.precursor_support == 0
+    assert got[4].view_scores.full.category_support == pytest.approx(0.9 * 0.7) and got[4].view_scores.drop.overall_support == 0
+    assert got[5].view_scores.full.category_support == 0.92 and got[5].verified_window_ids == [] and got[5].best_effort_window_ids == ["v2"]
+    assert got[6].view_scores.full.overall_support < full.overall_support and (got[6].alert_status, got[6].recommended_action) == ("justified", "finalize")
+
+
+def test_counterfactual_groups_are_normalized_on_their_own(spark):
+    three = [("w1", "seek", "trigger", 1, 4), ("w2", "seek", "peak_action", 4, 6), ("w3", "seek", "confirmation", 6, 8)]
+    roles = [("trigger", 1.0, 4.0), ("peak_action", 4.0, 6.0), ("confirmation", 6.0, 8.0)]
+    df = spark.createDataFrame([state(three, ["w1", "w2"], 1.0, roles=roles)], STATE)
+    c, none = F.col, F.array().cast(f"array<{verify.WINDOW}>")
+    at = lambda n, sec: F.struct(F.lit(n).alias("branch_type"), c("ledger").alias("ledger"), none.alias("visited"), F.lit(True).alias("has_alert"), F.lit(sec).alias("alert_sec"))
+    before = F.struct(F.slice("ledger", 1, 1).alias("ledger"), none.alias("visited"))
+    after = F.struct(c("ledger").alias("ledger"), none.alias("visited"))
+    branches = F.concat(
+        verify.alert_branches(F.array(at("now", 1.0), at("late", 3.0))), verify.evidence_branches(c("ledger"), c("chosen"), c("has_alert"), c("alert_sec")),
+        verify.search_branches(before, after, c("has_alert"), c("alert_sec"), c("duration")),
+    )
+    got = {(r.group_kind, r.branch_type): r for r in verify.counterfactuals(df.withColumns({"id": F.lit(1), "branches": branches}), ["id"]).collect()}
+    assert len(got) == 9 and got["evidence", "minimal_subset"].selected_window_ids == ["w1", "w2"] and got["evidence", "drop_selected"].selected_window_ids == ["w3"]
+    for kind in ("alert", "evidence", "search"):
+        own = [r for (k, _), r in got.items() if k == kind]
+        z = np.array([r.branch_reward for r in own])
+        assert np.allclose([r.local_advantage for r in own], (z - z.mean()) / (z.std() + 1e-6) if z.std() > 1e-6 else 0, atol=1e-5)
+    assert got["alert", "late"].branch_reward_components["delay_penalty"] == pytest.approx(-0.2) and got["evidence", "full_ledger"].branch_reward_components["subset_size_penalty"] == pytest.approx(-0.1)
+    assert got["search", "delta_only"].branch_reward_components["search_cost_penalty"] == pytest.approx(-0.04) and got["search", "skip_search"].selected_evidence_ids == ["ew1"]
+
+
+def test_phrases_packages_and_moments(spark):
+    f = lambda *p: query_package.expand_phrases(F.array(*[lit(x) for x in p]))
+    r = one(spark, f("the victim in a red shirt and two dogs"), f("Fire", "fire "), f(" ", "-"), f("an attacker in dark uniform kicks a man lying on the road near the shop"))
+    rows = lambda c: [tuple(q) for q in c]
+    assert rows(r.c0) == [("victim in red shirt", "attribute_object", 0.9), ("two dogs", "object", 0.9), ("person in red shirt", "attribute_object", 1.0)]
+    assert rows(r.c1) == [("fire", "event_relation", 1.0)] and r.c2 == []
+    assert [q.text for q in r.c3] == ["person in dark uniform", "physical struggle", "person on ground"]
+    moment = lambda i, role, d: F.struct(lit(i).alias("moment_id"), lit(role).alias("role"), lit(0.0).alias("start_sec"), lit(1.0).alias("end_sec"), lit(d).alias("description"))
+    moments = F.array(moment("m1", "trigger", "a Dog barks"), moment("m2", "", "nothing"))
+    groups = query_package.supervision(F.array(lit("small dog"), lit("blue car")), moments)
+    r = one(spark, groups, query_package.query_for_moment(groups, F.get(moments, lit(0)), lit("x")), query_package.query_for_moment(F.array().cast(spark.range(1).select(groups.alias("g")).schema["g"].dataType), F.get(moments, lit(0)), lit("The Cue")))
+    assert [g.linked_moment_ids for g in r.c0] == [["m1"], []] and (r.c1.text, r.c1.source, r.c2.text, r.c2.source) == ("small dog", "oracle_key_objects", "cue", "role_fallback")
+    package = F.struct(lit(None).cast("string").alias("event_cue"), F.array(lit("Red-Bag"), lit("red bag"), lit("!!")).alias("key_objects"), lit(" ").alias("scene_context"), lit(None).cast("string").alias("hypothesis"), F.array(lit("smoke")).alias("negative_constraints"), lit("r").alias("rewrite_reason"))
+    p = query_package.normal_package(package, lit("The RED bag"), lit("street"))
+    good, bad = query_package.rendered(p)
+    r = one(spark, p, good, bad)
+    assert tuple(r.c0) == ("red bag", ["red bag", "!!"], "street", "red bag", ["smoke"], "r")
+    assert rows(r.c1) == [("red bag", 0.4, "event_cue"), ("street", 0.1, "scene_context")] and rows(r.c2) == [("smoke", 0.15, "negative_constraints")]
+
+
+def test_kinds_and_claims(spark):
+    kinds = {"blue street": "scene_context", "man jackets": "attribute_object", "people whitsuit": "event_relation", "the of": "object", "green ball": "object", "robot": "event_relation"}
+    assert list(one(spark, *[tx.query_kind(lit(k)) for k in kinds])) == list(kinds.values())
+    e = lambda x, c, r=False: tx.claim_error(lit(x), lit(c), r)
+    got = one(spark, e("anomaly", "", True), e("anomaly", ""), e("anomaly", "junk"), e("Normal", "fire"), e("anomaly", "normal"), e(None, "fire"), tx.category(lit("fire"), lit(" NORMAL ")), tx.normal_query(lit("man-woman's")))
+    assert list(got) == ["missing_category", None, "unknown_category", "category_of_normal", "normal_category_of_anomaly", None, "normal", "man woman s"]
+
+
+def test_self_reports_and_judges(spark):
+    none = lit(None).cast("double")
+    f = lambda p, has=False, sec=none, mode="": self_report.self_report(lit(p), sec, lit(1.0), lit(has), lit(mode))
+    r = one(
+        spark, f('{"verification_decision": " Sufficient", "sufficiency_score": 2, "necessity_score": null, "derived_scores": {"necessity": 0.9, "alertability": 0.7}, "selected_window_ids": [], "verified_window_ids": "w7", "rationale": "why"}', True, lit(9.0)),
+        f('{"primary_status": "redundant", "failure_reasons": ["x", " "], "alert_status": "late", "verification_mode": "declare_normal", "candidate_window_ids": ["a", 2]}'), f("not json"),
+        self_report.missing_fields(lit('{"verification_mode": 1, "selected_window_ids": [" "], "sufficiency_score": null, "necessity_score": 0, "alertability_score": 0, "counterfactual_faithfulness": 0, "recommended_action": ""}')),
+        self_report.judge_labels(lit('{"primary_status": "incomplete", "sufficiency": 0.9, "necessity_score": 0.4}')), self_report.judge_labels(lit('{"teacher_judge_scores": {"sufficiency": 0.2}, "recommended_action": "refine_evidence", "explanation": " e "}')),
+    )
+    a, b, c = r.c0, r.c1, r.c2
+    assert (a.verification_decision, a.recommended_action, a.primary_status, a.alert_status, a.confidence, a.rationale) == ("sufficient", "finalize", "complete", "justified", 1.0, "why")
+    assert (a.derived_scores.sufficiency, a.derived_scores.necessity, a.derived_scores.consistency) == (1.0, 0.0, 0.0) and a.selected_window_ids == ["w7"] and a.verification_mode == "reward_only"
+    assert (b.verification_decision, b.alert_status, b.verification_mode) == ("redundant", "late", "final_check") and b.failure_reasons == ["x"] and b.best_effort_window_ids == ["a", "2"]
+    assert (c.verification_decision, c.recommended_action, c.alert_status, c.failure_reasons) == ("insufficient", "continue_search", "not_applicable", ["selected_evidence_not_sufficient"])
+    assert r.c3 == ["selected_window_ids", "verification_decision"] and (r.c4.decision, r.c5.decision, r.c5.rationale, r.c5.scores.sufficiency) == ("sufficient", "redundant", "e", 0.2)
+
+
+def test_reward_ladder(spark):
+    yes, no, n, at = lit(True), lit(False), lit(None).cast("long"), lambda i: lit(i).cast("long")
+    got = one(
+        spark, reward.protocol(at(1), at(2), at(3), yes, yes, yes), reward.protocol(at(2), at(1), at(3), yes, yes, yes), reward.protocol(at(1), at(2), n, yes, no, no), reward.protocol(at(3), at(2), n, yes, no, no), reward.protocol(n, at(2), n, yes, no, no),
+        reward.protocol(n, at(2), n, no, no, no), reward.protocol(at(1), n, at(2), yes, yes, yes), reward.protocol(at(1), n, at(2), yes, yes, no), reward.protocol(at(1), n, at(2), yes, no, yes), reward.protocol(n, n, n, yes, yes, no), reward.protocol(at(3), n, at(2), yes, yes, yes),
+        reward.efficiency(yes, lit(30), lit(2)), reward.efficiency(no, lit(3), lit(0)), reward.invalid(lit(2)), reward.invalid(lit(9)),
+    )
+    assert list(got) == [1.0, -1.0, 1.0, -1.0, 1.0, -0.75, 0.5, -0.5, -1.0, -0.5, -0.5, -1.0, 0.0, -0.8, -1.0]
+    assert reward.weights_of({"temporal_reward": 3})["temporal_grounding_reward"] == 3 and reward.weights_of(None) == reward.WEIGHTS
+
+
+def test_rollout_evidence_and_validity(spark):
+    w = lambda *rows: F.array(*[F.struct(lit(i).alias("window_id"), lit(float(s)).alias("start_sec"), lit(float(e)).alias("end_sec")) for i, s, e in rows])
+    led = w(("a", 0, 1), ("b", 3, 2), ("c", 0, 1), ("d", 5, 6), ("", 8, 9))
+    ids = lambda *x: F.array(*[lit(i) for i in x]).cast("array<string>")
+    t = lambda a, s, v: F.struct(lit(a).alias("action"), lit(s).alias("said_valid"), lit(v).cast("boolean").alias("valid_action"))
+    r = one(spark, rollout_metrics.predicted_windows(led, ids("d", "x", "a", "c"), lit(True)), rollout_metrics.predicted_windows(led, ids(), lit(True)), rollout_metrics.predicted_windows(led, ids("d"), lit(False)), rollout_metrics.validity(F.array(t("answer", False, None), t("answer", True, None), t("x", True, True), t("x", False, None))))
+    assert [tuple(x) for x in r.c0] == [(5.0, 6.0), (0.0, 1.0)] and r.c1 == [] and [tuple(x) for x in r.c2] == [(0.0, 1.0), (2.0, 3.0), (5.0, 6.0)] and r.c3 == 0.5
 
 
 def test_greedy_determinants_match_slogdet():
