@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import seconds
+
+# Alert types and the decisions they stand for.
+ALERT_TYPES = {"soft": "soft_alert", "hard": "hard_alert", "normal": "declare_normal"}
 
 def inside(block: Column) -> Column:
     """The text between a block's tags."""
@@ -38,3 +42,27 @@ def outer_object(text: Column) -> Column:
 
 def is_object(text: Column) -> Column:
     return F.coalesce(F.try_parse_json(text).isNotNull() & F.trim(text).startswith("{"), F.lit(False))
+
+
+def normal_arguments(tool: Column, args: Column) -> Column:
+    """A call's arguments under their present names: times in seconds, and of an alert its decision, existence and reason.
+
+    ``start_time`` and ``end_time`` stand in for ``start_sec`` and ``end_sec``; an alert's type tells its decision, and its
+    decision what exists, where the call doesn't.
+    """
+    get = lambda k: F.get_json_object(args, f"$.{k}")
+    keys = F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))
+    has = lambda k: F.array_contains(keys, k)
+    time = lambda now, then: seconds(F.when(has(now), get(now)).otherwise(get(then)))
+    alert = tool == "emit_alert"
+    kind = F.lower(F.trim(F.coalesce(get("alert_type"), F.lit(""))))
+    told = kind
+    for k, v in ALERT_TYPES.items():
+        told = F.when(kind == k, v).otherwise(told)
+    decision = F.when(alert & ~has("decision") & (kind != ""), told).otherwise(get("decision"))
+    said = F.lower(F.trim(decision))
+    implied = F.when(said.isin("soft_alert", "hard_alert"), "anomaly").when(said == "declare_normal", "normal")
+    return F.struct(
+        time("start_sec", "start_time").alias("start_sec"), time("end_sec", "end_time").alias("end_sec"), seconds(get("alert_sec")).alias("alert_sec"), seconds(get("earliest_alert_sec")).alias("earliest_alert_sec"),
+        decision.alias("decision"), F.when(alert & ~has("existence"), implied).otherwise(get("existence")).alias("existence"), F.when(alert & ~has("reason"), get("description")).otherwise(get("reason")).alias("reason"),
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import case_id, entry_path
 from tessera.operators import budget as bd
 from tessera.operators import joins as jn
+from tessera.operators import records as rc
 from tessera.operators import shard as sh
 
 from .registry import EP, episodes, query, table
@@ -68,13 +69,31 @@ def split_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {EP}
-SELECT episode_id, step_index, tool_name = 'verify_hypothesis' AS candidate, abs(coalesce(CASE WHEN k % 3 > 0 THEN (k - 50) / CAST(50 AS DOUBLE) END, value / 500)) >= 0.4 AS kept, CAST(8 - (k % 3) - (k % 2) AS BIGINT) AS n_fields FROM ep WHERE tool_name <> 'scan_timeline' OR k > 20""")
+SELECT episode_id, step_index, k % 4 <> 1 AND CASE k % 3 WHEN 0 THEN tool_name = 'verify_hypothesis' ELSE value > 100 END AS candidate, abs(coalesce(CASE WHEN k % 3 > 0 THEN (k - 50) / CAST(50 AS DOUBLE) END, value / 500)) >= 0.4 AS kept,
+       CASE WHEN k % 5 <> 0 THEN 'confirmation' WHEN k - 3 < 40 THEN 'precursor' WHEN k - 10 >= 40 THEN 'trigger' ELSE 'evidence' END AS role, CAST(CASE WHEN k % 2 = 0 AND k % 6 = 0 THEN 2 ELSE 1 END AS BIGINT) AS n_questions,
+       CAST(least(k, greatest(least(4 * greatest(k % 20, 4), 64), 8)) AS BIGINT) AS n_candidates FROM ep""")
 def candidate_and_threshold_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for judging, rows over an advantage threshold (else their weight), and filled fields of a payload."""
+    """What a second judge may look at, what is over a threshold, the role each window keeps, and the questions left of its clip."""
     k = F.col("k")
-    adv = F.coalesce(F.when(k % 3 > 0, (k - 50) / 50), F.col("value") / 500)
-    filled = F.lit(8) - k % 3 - k % 2
-    return episodes(spark, sf_dir).where("tool_name <> 'scan_timeline' OR k > 20").select(E, S, (F.col("tool_name") == "verify_hypothesis").alias("candidate"), (F.abs(adv) >= abs(0.4)).alias("kept"), filled.alias("n_fields"))
+    payload = F.when(F.col("value") > 100, "verify_hypothesis")
+    candidate = rc.judge_candidate(F.when(k % 4 == 1, "answer").when(k % 4 == 2, " Tool_Call"), F.when(k % 3 == 0, F.col("tool_name")).otherwise(" "), payload)
+    kept = rc.heavy_enough(F.when(k % 3 > 0, (k - 50) / 50), F.col("value") / 500, -0.4)
+    role = rc.evidence_role(F.when(k % 5 != 0, "confirmation").otherwise("precursor"), k - 10, k - 3, F.lit(40))
+    pairs = F.array(F.struct(F.lit("precursor_temporal").alias("type")), F.struct(F.lit("cause").alias("type")), F.lit(None).cast("struct<type:string>"))
+    questions = rc.clean_questions(pairs, F.when(k % 2 == 0, k), F.when(k % 6 == 0, "annotation").otherwise("heuristic"))
+    return episodes(spark, sf_dir).select(
+        E, S, candidate.alias("candidate"), kept.alias("kept"), role.alias("role"), F.size(questions).cast("long").alias("n_questions"), rc.candidate_count(k, k % 20, F.lit(8)).cast("long").alias("n_candidates"),
+    )
+
+
+@query("""
+WITH o AS (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part),
+w AS (SELECT unnest([3, 7, 8, 9, 5, 4, 3]) AS i, unnest([0, 1, 2, 3, 4, 5, 6]) AS asked)
+SELECT CAST(asked AS INTEGER) AS asked, p_partkey FROM w JOIN o ON o.i = w.i""")
+def row_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts by their place in order, as a list of places and ranges names them."""
+    parts = sh.numbered(table(spark, sf_dir, "part").select("p_partkey"), ["p_partkey"])
+    return rc.take_places(parts, "ordinal", rc.parse_places("3, 7-9,5-3")).select("asked", "p_partkey")
 
 
 @query("""
@@ -211,11 +230,12 @@ def progress_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS price FROM orders WHERE o_orderkey % 2 = 0 UNION ALL SELECT o_orderkey, o_custkey, round(o_totalprice, 2) FROM orders WHERE o_orderkey % 2 = 1 ORDER BY o_orderkey, o_custkey LIMIT 100""")
+SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS price FROM orders ORDER BY o_orderkey, o_custkey LIMIT 100""")
 def ordered_merge_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two shards merged in order, and the first hundred rows."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"))
-    return o.where("o_orderkey % 2 = 0").unionByName(o.where("o_orderkey % 2 = 1")).orderBy("o_orderkey", "o_custkey").limit(100)
+    """Two shards merged in order once both are known to be whole, and the first hundred rows."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("price"), (F.col("o_orderkey") % 2).alias("shard"))
+    written = o.where("shard = 0").unionByName(o.where("shard = 1"))
+    return rc.merge_shards(written, o, ordinal="o_orderkey").drop("shard").limit(100)
 
 
 @query(f"""
@@ -293,10 +313,11 @@ def turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {EP}
-SELECT episode_id, step_index, k % 3 <> 0 AS supported, CASE WHEN k % 3 = 0 THEN 'missing_cache' WHEN k % 5 = 0 THEN 'empty_package' WHEN k % 7 = 0 THEN 'empty_windows' ELSE '' END AS fallback_reason, CAST(least(8, 1 + CASE WHEN value * 60 >= 2 THEN 1 ELSE 0 END + k % 2) AS BIGINT) AS n_frames
+SELECT episode_id, step_index, CASE WHEN k % 3 = 0 THEN 'missing_feature_cache' WHEN k % 11 = 0 THEN 'missing_query_encoder' WHEN k % 5 = 0 THEN 'empty_query_package' WHEN k % 13 = 0 THEN 'invalid_feature_cache' WHEN k = 1 THEN 'empty_query_embeddings' WHEN k % 7 = 0 THEN 'empty_candidate_windows' WHEN k % 17 = 0 THEN 'dpp_selection_failed' ELSE '' END AS fallback_reason,
+       CAST(least(8, 1 + CASE WHEN value * 60 >= 2 THEN 1 ELSE 0 END + k % 2) AS BIGINT) AS n_frames
 FROM ep WHERE tool_name = 'seek_evidence'""")
 def proposal_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How each seek turn chose its frames, and why it fell back where it did."""
+    """How many frames each seek turn takes, and why it fell back where it did."""
     k = F.col("k")
-    reason = F.when(k % 3 == 0, "missing_cache").when(k % 5 == 0, "empty_package").when(k % 7 == 0, "empty_windows").otherwise("")
-    return episodes(spark, sf_dir).where("tool_name = 'seek_evidence'").select(E, S, (k % 3 != 0).alias("supported"), reason.alias("fallback_reason"), F.least(F.lit(8), 1 + F.when(F.col("value") * 60 >= 2, 1).otherwise(0) + k % 2).alias("n_frames"))
+    reason = rc.proposal_fallback(k % 3 != 0, k % 11 != 0, k % 5 != 0, k % 13 != 0, k != 1, k % 7 != 0, k % 17 != 0)
+    return episodes(spark, sf_dir).where("tool_name = 'seek_evidence'").select(E, S, F.coalesce(reason, F.lit("")).alias("fallback_reason"), F.least(F.lit(8), 1 + F.when(F.col("value") * 60 >= 2, 1).otherwise(0) + k % 2).alias("n_frames"))

@@ -139,14 +139,28 @@ def tagged_block_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""
 WITH r AS (SELECT conv_id, turn, turn % 4 AS m, conv_id % 10 AS d FROM conversations)
-SELECT conv_id, turn, CASE m WHEN 0 THEN 'seek_evidence' WHEN 1 THEN 'existence' WHEN 3 THEN 'emit_alert' ELSE 'draft' END AS tool_name, CAST(CASE m WHEN 0 THEN 60 + d WHEN 3 THEN 4.5 END AS DOUBLE) AS start_sec, m <> 3 AS valid_json
-FROM r""")
+SELECT conv_id, turn, CASE m WHEN 0 THEN 'seek_evidence' WHEN 1 THEN 'existence' WHEN 3 THEN 'emit_alert' ELSE 'draft' END AS tool_name, CAST(CASE m WHEN 0 THEN 60 + d WHEN 3 THEN 4.5 END AS DOUBLE) AS start_sec, m <> 3 AS valid_json FROM r""")
 def parse_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Name and start of the call in each reply; times are literals, names may lack quotes."""
     r = table(spark, sf_dir, "conversations").select("conv_id", "turn", pl.inside(tx.last_block(F.expr(REPLY_SQL))).alias("p"))
-    args = pl.arguments(F.col("p"))
-    start = F.coalesce(F.get_json_object(args, "$.start_sec"), F.get_json_object(args, "$.start_time"))
-    return r.select("conv_id", "turn", pl.tool_name(F.col("p")).alias("tool_name"), tx.seconds(start).alias("start_sec"), pl.is_object(F.col("p")).alias("valid_json"))
+    args = pl.normal_arguments(pl.tool_name(F.col("p")), pl.arguments(F.col("p")))
+    return r.select("conv_id", "turn", pl.tool_name(F.col("p")).alias("tool_name"), args["start_sec"].alias("start_sec"), pl.is_object(F.col("p")).alias("valid_json"))
+
+
+@query("""
+WITH e AS (SELECT event_id, event_id % 6 AS m, event_id % 60 AS s FROM events)
+SELECT event_id, CASE m WHEN 0 THEN 'soft_alert' WHEN 1 THEN 'hard_alert' WHEN 2 THEN 'declare_normal' WHEN 3 THEN 'other' WHEN 4 THEN 'Hard_Alert' END AS decision, CASE m WHEN 0 THEN 'anomaly' WHEN 1 THEN 'anomaly' WHEN 2 THEN 'normal' WHEN 4 THEN 'unsure' END AS existence,
+       CAST(CASE WHEN m < 3 THEN 120 + s ELSE s END AS DOUBLE) AS alert_sec, CASE WHEN m = 5 THEN 'given' ELSE 'told' END AS reason FROM e""")
+def alert_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arguments of alerts under present names: decisions by type, existence by decision, times as seconds."""
+    m, s = F.col("event_id") % 6, F.col("event_id") % 60
+    kind = F.get(F.array(*[F.lit(x) for x in ("soft", " HARD", "normal", "other")]), m.cast("int"))
+    payload = F.to_json(F.struct(
+        F.when(m < 4, kind).alias("alert_type"), F.when(m == 4, "Hard_Alert").alias("decision"), F.when(m == 4, "unsure").alias("existence"),
+        F.when(m < 3, F.format_string("2:%02d", s)).otherwise(F.concat(s.cast("string"), F.lit("s"))).alias("alert_sec"), F.lit("told").alias("description"), F.when(m == 5, "given").alias("reason"),
+    ))
+    a = table(spark, sf_dir, "events").select("event_id", pl.normal_arguments(F.lit("emit_alert"), payload).alias("a"))
+    return a.select("event_id", *[F.col(f"a.{c}").alias(c) for c in ("decision", "existence", "alert_sec", "reason")])
 
 
 @query(rf"""

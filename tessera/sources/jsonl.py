@@ -20,11 +20,10 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: StructType, s
     """
     lines = spark.read.text(path).where(F.length(F.trim("value")) > 0)
     parsed = F.try_parse_json("value").isNotNull()
-    if not skip_invalid:
-        first = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0).where(F.try_parse_json("line").isNull()).orderBy("file", "line_number").limit(1).collect()
-        if first:
-            r = first[0]
-            raise MalformedLine(f"{r.file}:{r.line_number}: {r.line[:240]}")
+    # Lines are numbered only once one is known to be malformed.
+    if not skip_invalid and not lines.where(~parsed).isEmpty():
+        r = numbered_lines(spark, path).where(F.length(F.trim("line")) > 0).where(F.try_parse_json("line").isNull()).orderBy("file", "line_number").first()
+        raise MalformedLine(f"{r.file}:{r.line_number}: {r.line[:240]}")
     good = lines.where(parsed).select(F.from_json("value", schema).alias("r")).select("r.*")
     if splits is not None:
         good = good.where(F.trim(F.coalesce(F.col("split"), F.lit(""))).isin(list(splits)))
@@ -66,6 +65,36 @@ def write_jsonl(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").json(path)
 
 
+def append_jsonl(df: DataFrame, path: str) -> None:
+    """Add one object for each line to what a log folder holds."""
+    df.write.mode("append").json(path)
+
+
+def layout_of(spark: SparkSession, path: str) -> str:
+    """``lines``, ``object`` or ``list``: how a file holds its records, by its name and its first character."""
+    if not path.endswith(".json"):
+        return "lines"
+    first = spark.read.text(path, wholetext=True).select(F.substring(F.ltrim(F.regexp_replace("value", r"^\s+", "")), 1, 1).alias("c")).first()
+    return "list" if first and first.c == "[" else "object"
+
+
+def write_like(df: DataFrame, path: str, layout: str) -> None:
+    """Records in the layout they were read in: one object for each line, a JSON list, or a single object.
+
+    A list and an object are one value, which one task writes, as one task read it; only lines have no bound.
+    """
+    if layout == "lines":
+        write_jsonl(df, path)
+        return
+    whole = F.to_json(F.collect_list(F.struct("*")))
+    if layout == "object":
+        if df.limit(2).count() != 1:
+            raise ValueError("a single object can't hold several records")
+        df.select(F.to_json(F.struct("*")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    else:
+        df.agg(whole.alias("value")).write.mode("overwrite").text(path)
+
+
 def write_records(df: DataFrame, path: str, index: str, name: str) -> None:
     """One folder for each record, named by its index and name, so tasks write without meeting: ``record=000012_a_b``."""
     key = F.concat(F.lpad(F.col(index).cast("string"), 6, "0"), F.lit("_"), F.regexp_replace(F.col(name), "/", "_"))

@@ -12,7 +12,7 @@ from tessera.functions import intervals as iv
 from tessera.functions import numeric as nm
 from tessera.functions import sampling as sm
 from tessera.functions import text as tx
-from tessera.operators import aggregates, budget, joins, machine, metrics, query_package, reward, rollout_metrics, schema_check, self_report, sequence, shard, span_weights, vectors, verify
+from tessera.operators import aggregates, budget, joins, machine, metrics, query_package, records, reward, rollout_metrics, schema_check, self_report, sequence, shard, span_weights, vectors, verify
 from tessera.operators import intervals as ops
 from tessera.plans.registry import episodes
 from tessera.sources import jsonl, manifest, transcripts
@@ -417,3 +417,37 @@ def test_replay_counts_actions_not_step_numbers(spark):
     want = machine.play(machine.State(), 1, turns.toPandas())[1]
     got = machine.replay(turns).orderBy("step_index").collect()
     assert [tuple(r) for r in got] == [tuple(r) for r in want.itertuples(index=False)] and len(got) == 27
+
+
+def test_places_and_toggles(spark):
+    assert records.parse_places(" 3, 5-7,,9 - 8 ") == [3, 5, 6, 7, 9, 8] and records.resolve_places(4, start=2) == [2, 3] and records.resolve_places(9, "", 3, 2) == [3, 4]
+    for bad in ((4, "9"), (4, "", 4), (4, "", 0, -1), (0, "")):
+        with pytest.raises(ValueError):
+            records.resolve_places(*bad)
+    assert records.enabled_groups() == dict.fromkeys(records.GROUPS, True) and records.enabled_groups(alert=True, search=False) == {"search": False, "alert": True, "evidence": False}
+    df = spark.createDataFrame([(i, f"r{i}") for i in range(6)], "i long, r string")
+    assert [(r.asked, r.r) for r in records.take_places(df, "i", [4, 1, 4]).orderBy("asked").collect()] == [(0, "r4"), (1, "r1"), (2, "r4")]
+
+
+def test_merged_shards_must_be_whole(spark):
+    dealt = spark.createDataFrame([(i % 2, i) for i in range(6)], "shard int, ordinal int")
+    assert [r.ordinal for r in records.merge_shards(dealt, dealt).collect()] == list(range(6))
+    for broken in (dealt.where("ordinal <> 3"), dealt.unionByName(dealt.where("ordinal = 2")), dealt.limit(0)):
+        with pytest.raises(records.IncompleteShards):
+            records.merge_shards(broken, dealt)
+
+
+def test_sinks_keep_their_layout_and_logs_grow(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "i int, t string")
+    for name, text, layout in (("x.json", ' \n [{"i": 1}]', "list"), ("y.json", '{"i": 1}', "object"), ("z.jsonl", '{"i": 1}', "lines")):
+        (tmp_path / name).write_text(text)
+        assert jsonl.layout_of(spark, str(tmp_path / name)) == layout
+    jsonl.write_like(df, str(tmp_path / "list"), "list")
+    assert json.loads(spark.read.text(str(tmp_path / "list")).first().value) == [{"i": 1, "t": "a"}, {"i": 2, "t": "b"}]
+    jsonl.write_like(df.limit(1), str(tmp_path / "one"), "object")
+    assert json.loads(spark.read.text(str(tmp_path / "one")).first().value) == {"i": 1, "t": "a"}
+    with pytest.raises(ValueError):
+        jsonl.write_like(df, str(tmp_path / "two"), "object")
+    for _ in range(2):
+        jsonl.append_jsonl(df, str(tmp_path / "log"))
+    assert spark.read.schema("i int").json(str(tmp_path / "log")).count() == 4
