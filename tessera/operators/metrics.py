@@ -4,18 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import ratio
 
+from .shard import numbered
+
 
 def average_precision(df: DataFrame, keys: Sequence[str], target: str, score: str, ordinal: str) -> DataFrame:
-    """Mean precision at the hits, in order of falling score; ties keep the order of ``ordinal``. 0 without hits."""
-    order = Window.partitionBy(*keys).orderBy(F.desc(score), ordinal)
-    hits = F.sum(target).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = df.withColumn("_p", F.when(F.col(target) == 1, hits / F.row_number().over(order)))
-    return ranked.groupBy(*keys).agg(F.round(F.coalesce(F.try_divide(F.sum("_p"), F.sum(target)), F.lit(0.0)), 6).alias("average_precision"))
+    """Mean precision at the hits, in order of falling score; ties keep the order of ``ordinal``. 0 without hits.
+
+    Rows are ranked by ranges of the whole order, so a key of any size is spread over many tasks.
+    """
+    rows = df.select(*keys, (-F.col(score)).alias("_score"), F.col(ordinal).alias("_ordinal"), (F.col(target) == 1).cast("long").alias("_hit"))
+    ranked = numbered(rows, [*keys, "_score", "_ordinal"], "_rank", {"_hits": "_hit"})
+    first = ranked.groupBy(*[F.col(k).alias(f"_{i}") for i, k in enumerate(keys)]).agg(F.min("_rank").alias("_from"), F.min(F.col("_hits") - F.col("_hit")).alias("_before"))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_{i}"))
+    at = F.when(F.col("_hit") == 1, (F.col("_hits") - F.col("_before")) / (F.col("_rank") - F.col("_from") + 1))
+    out = ranked.join(first, same).groupBy(*keys).agg(F.sum(at).alias("_p"), F.sum("_hit").alias("_n"))
+    return out.select(*keys, F.round(F.coalesce(F.try_divide("_p", "_n"), F.lit(0.0)), 6).alias("average_precision"))
 
 
 def macro_f1(df: DataFrame, truth: str, guess: str) -> DataFrame:

@@ -125,6 +125,8 @@ def test_contiguous_shards_match_their_bounds(spark):
 def test_global_numbers_without_gathering(spark):
     df = spark.range(1000, numPartitions=7).select(((F.col("id") * 7919) % 1000).alias("x"))
     assert all(r.x == r.ordinal for r in shard.numbered(df, ["x"]).collect())
+    got = shard.numbered(df.withColumn("y", F.col("x") % 3), ["x"], "i", {"sum": "y"}).collect()
+    assert all(r.i == r.x and r["sum"] == sum(k % 3 for k in range(r.x + 1)) for r in got) and shard.numbered(df.limit(0), ["x"]).count() == 0
 
 
 def test_message_budget_drops_oldest_images(spark):
