@@ -2,21 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.storage import Stored, scratch_root, stored
+
+__all__ = ["LOWER", "SPACE", "UPPER", "Stored", "ascii_lower", "col", "nested", "scratch_root", "stored", "table", "words"]
+
 # ASCII letters and the white space of the text contracts.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 SPACE = " \t\n\x0b\x0c\r"
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -40,57 +37,3 @@ def ascii_lower(c: Column) -> Column:
 def words(c: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none, which only a single-machine session may do, a temporary one is set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(root)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return root
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a scratch table through the path's own file system."""
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _sweep() -> None:
-    for spark, path in _scratch:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001, S110  the session may have ended before the interpreter
-            pass
-
-
-atexit.register(_sweep)
-
-
-class Stored:
-    """A DataFrame written once to the shared folder and read back, so a lost executor costs no recomputation."""
-
-    def __init__(self, df: DataFrame) -> None:
-        self.spark = df.sparkSession
-        self.path = f"{scratch_root(self.spark).rstrip('/')}/tessera-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        _scratch.append((self.spark, self.path))
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-
-    def drop(self) -> None:
-        drop_path(self.spark, self.path)
-        _scratch.remove((self.spark, self.path))
-
-
-def stored(df: DataFrame) -> DataFrame:
-    return Stored(df).df
