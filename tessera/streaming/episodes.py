@@ -1,7 +1,7 @@
 """Episodes as a stream: state is kept by episode, and rows of one micro-batch run in order of step.
 
 The source of truth has no event time, so these are choices of this engine: the watermark on ``ts`` only
-bounds how long window aggregates wait; actions that arrive after an episode's end are dropped as late.
+bounds how long window aggregates wait; replies that arrive after an episode's end are dropped as late.
 """
 
 from __future__ import annotations
@@ -12,17 +12,17 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tessera.operators.machine import OUT, resume
 
-TURNS = "episode_id long, step_index long, tool_name string, start_sec double, end_sec double, valid boolean"
+REPLIES = "episode_id long, step_index long, reply string"
 
 
-def read_turns(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
-    """Turns from Parquet files as they arrive."""
-    return spark.readStream.schema(TURNS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def read_replies(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """A policy's replies from Parquet files as they arrive."""
+    return spark.readStream.schema(REPLIES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def replay_stream(turns: DataFrame) -> DataFrame:
-    """The batch replay, incrementally: the same rows for the same turns in order."""
-    return turns.groupBy("episode_id").applyInPandasWithState(resume, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
+def replay_stream(replies: DataFrame) -> DataFrame:
+    """The batch replay, incrementally: the same rows for the same replies in order. Of an ended episode only its end is kept."""
+    return replies.groupBy("episode_id").applyInPandasWithState(resume, OUT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
 def tool_counts(events: DataFrame, every: str = "1 day", delay: str = "1 hour") -> DataFrame:

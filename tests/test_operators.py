@@ -14,7 +14,7 @@ from tessera.functions import sampling as sm
 from tessera.functions import text as tx
 from tessera.operators import aggregates, budget, joins, machine, metrics, query_package, records, reward, rollout_metrics, schema_check, self_report, sequence, shard, span_weights, vectors, verify
 from tessera.operators import intervals as ops
-from tessera.plans.registry import episodes
+from tessera.plans.machine_queries import replies
 from tessera.sources import jsonl, manifest, transcripts
 from tessera.streaming import episodes as stream
 
@@ -289,27 +289,94 @@ def test_greedy_determinants_match_slogdet():
         assert vectors.greedy_map(k, 4) == chosen
 
 
-def test_machine_rules():
-    s, seen = machine.step(machine.State(), machine.Action("verify_hypothesis"))
-    assert not seen.valid and (s.turns, s.invalid) == (0, 1)
-    s, a = machine.step(s, machine.Action("scan_timeline", 0, 1))
-    s, b = machine.step(s, machine.Action("seek_evidence", 1, 3))
-    assert (a.window_id, a.evidence_id, b.window_id, b.evidence_id) == ("w0001", "", "w0002", "e0002") and len(s.ledger) == 1
-    s, _ = machine.step(s, machine.Action("emit_alert", 2))
-    s, end = machine.step(s, machine.Action("finalize_case"))
-    assert end.done and s.ended == "finalized" and machine.step(s, machine.Action("emit_alert"))[0] == s
-    assert machine.State.from_json(s.to_json()) == s
+def call(tool, **args):
+    return f'<think>I would <answer>{{}}</answer></think><tool_call>{json.dumps({"name": tool, "arguments": args})}</tool_call>'
+
+
+REPORT = {"verification_mode": "normal_check", "verification_decision": "sufficient", "recommended_action": "", "sufficiency_score": 0.9, "necessity_score": 0.4, "alertability_score": 0.2, "counterfactual_faithfulness": 0.5}
+
+
+def test_replies_are_read():
+    read = machine.read_reply
+    assert read(call("seek_evidence", start_time="1:05", end_sec="7s")) == ("tool_call", "seek_evidence", {"start_sec": 65.0, "end_sec": 7.0})
+    assert read('<tool_call>{emit_alert: {"alert_type": "Hard", "description": "d"}}</tool_call>')[2] == {"alert_type": "Hard", "description": "d", "decision": "hard_alert", "reason": "d", "existence": "anomaly"}
+    assert read('<tool_call>{"scan_timeline": {"a": 1}}</tool_call>')[:2] == ("tool_call", "scan_timeline") and read("<answer>{}</answer>")[0] == "answer"
+    assert read("<answer>yes</answer>")[0] == "invalid_answer" and read("<think><answer>{}</answer></think>")[0] == "answer"
+    assert {read(t)[0] for t in (None, "", "text", "<tool_call>[1]</tool_call>", "<tool_call>{a}</tool_call>", '<tool_call>{"name": "", "arguments": {}}</tool_call>', '<tool_call>{"x": 1, "y": 2}</tool_call>')} == {""}
+
+
+def test_machine_categories_follow_the_column_rules(spark):
+    raws = ["", "Car - Crash", "object", "falling object", "bag snatch", "fire or explosion", "smoke", "x_y", "punch", "slip", "water main", "collision", "robber fell", "trip"]
+    got = spark.createDataFrame([(r,) for r in raws], "r string").select("r", tx.category(F.col("r")).alias("c")).collect()
+    assert {r.r: r.c for r in got} == {r: machine.category(r) for r in raws} and machine.category("fire", "Normal") == "normal"
+
+
+def test_machine_windows_alerts_and_claims():
+    clip = machine.Clip(10.0, 2.0)
+    s, a = machine.step(machine.State(), call("scan_timeline", start_sec=0, end_sec=99, role="x"), clip)
+    s, b = machine.step(s, call("seek_evidence", start_time="2s", end_time=4, num_frames=3, role="trigger", moment_id="m1"), clip)
+    s, c = machine.step(s, call("seek_evidence", start_sec=8, end_sec=1, stride_sec=0.5), clip)
+    assert (a["window_id"], a["evidence_id"], a["end_sec"], a["image_count"], b["evidence_id"], b["timestamps"], c["start_sec"], c["end_sec"], c["image_count"]) == ("w0001", None, 10.0, 8, "e0002", [2.0, 3.0, 4.0], 8.0, 8.0, 1)
+    assert [w[0] for w in s.ledger] == ["w0002", "w0003"] and s.ledger[0][3:5] == ("trigger", "m1") and s.visited[0][3] is None
+    s, bad = machine.step(s, call("emit_alert", decision="soft_alert", existence="anomaly"), clip)
+    s, odd = machine.step(s, call("emit_alert", decision="declare_normal", category="fire"), clip)  # a normal claim's category is normal, whatever it says
+    assert not bad["valid_action"] and odd["valid_action"] and s.claim == {"existence": "normal", "category": "normal"}
+    s, _ = machine.step(s, call("emit_alert", alert_type="soft", category="House fire", alert_sec="3s"), clip)
+    assert s.alerts[-1]["alert_id"] == "a0002" and s.claim == {"existence": "anomaly", "category": "fire", "earliest_alert_sec": 3.0} and s.invalid == 1
+    # Where the first evidence window isn't w0001, numbers count evidence windows.
+    for i, want in (("evidence_0", "w0002"), ("w_1", "w0003"), ("w2", "w0003"), ("w0002", "w0003"), ("w0003", "w0003")):
+        r = machine.resolve(s, {"selected_window_ids": [i, "zz"]})
+        assert r["resolved"] == [want] and r["invalid"] == ["zz"], i
+    assert machine.resolve(s, {"evidence_moment_ids": ["m1"], "candidate_window_ids": ["w0003"]})["resolved"] == ["w0002"]
+    assert machine.resolve(s, {"candidate_window_ids": ["w0003", "q"]})["source"] == "candidate_window_ids" and machine.resolve(s, {"selected_evidence_ids": ["e9"]})["source"] == "unresolved"
+
+
+def test_machine_verifies_by_three_routes():
+    clip = machine.Clip(10.0)
+    s = machine.State()
+    for a, b in ((0, 3), (3, 6), (6, 9)):
+        s, _ = machine.step(s, call("seek_evidence", start_sec=a, end_sec=b), clip)
+    s, _ = machine.step(s, call("emit_alert", alert_type="hard", category="fire", earliest_alert_sec=1, alert_sec=4), clip)
+    own, r = machine.step(s, call("verify_hypothesis", **REPORT, selected_window_ids=["w0002", "w9"]), clip)
+    assert (r["parse_mode"], r["verification_mode"], r["decision"], r["primary_status"], r["alert_status"], r["recommended_action"], r["confidence"]) == ("self_report", "final_check", "sufficient", "complete", "late", "finalize", 0.9)
+    assert own.active == ("w0002",) and r["invalid_selected_window_ids"] == ["w9"] and r["failure_reasons"] == ["alert_after_expected_actionable_time"] and r["scores"]["consistency"] == 0.5
+    for lacking in ({k: v for k, v in REPORT.items() if k != "necessity_score"} | {"selected_window_ids": ["w0001"]}, REPORT | {"selected_window_ids": ["w9"]}, {}, {"query": "q"}, {"query": " "}):
+        t, r = machine.step(s, call("verify_hypothesis", **lacking), clip)
+        assert not r["valid_action"] and t.invalid == 1 and "verify_hypothesis again" in r["observation"] and "w0001" in r["observation"]
+    _, r = machine.step(s, call("verify_hypothesis", candidate_window_ids=["w0001"], allow_external_verifier_fallback=True), clip)
+    assert (r["parse_mode"], r["verified_window_ids"], r["scores"]["sufficiency"]) == ("external_verifier_fallback", ["w0001"], round(0.4 * (0.2 + 0.18 + 0.17 + 0.04 + 0.15 + 0.08), 6)) and r["primary_status"] == "incomplete"
+    _, r = machine.step(s, call("verify_hypothesis", query="q", claim={"existence": "normal"}), machine.Clip(10.0, legacy=True))
+    assert r["parse_mode"] == "legacy_compatibility" and r["verified_window_ids"] == ["w0001", "w0002", "w0003"] and r["scores"]["sufficiency"] > 0.8
+    _, r = machine.step(s, call("verify_hypothesis", selected_window_ids=["w9"], query="q"), machine.Clip(10.0, external=True))
+    assert r["verified_window_ids"] == r["best_effort_window_ids"] == [] and "selected_evidence_not_resolved_to_known_windows" in r["failure_reasons"] and r["selection_source"] == "unresolved"
+    assert not machine.step(s, call("verify_hypothesis", query="q"), machine.Clip(external=True, no_external=True))[1]["valid_action"]
+
+
+def test_machine_ends():
+    clip = machine.Clip(final_schema={"required": ["severity"], "properties": {"severity": {"type": "integer"}, "category": {"type": "string"}}})
+    s, r = machine.step(machine.State(), call("finalize_case", existence="anomaly", category="theft"), clip)
+    t, u = machine.step(s, call("finalize_case", existence="anomaly", category="theft", severity="3"), clip)
+    assert not r["valid_action"] and not u["valid_action"] and t.invalid == 2
+    s, r = machine.step(t, call("finalize_case", existence="anomaly", category="theft", severity=3), clip)
+    assert r["done"] and s.ended == "finalized" and s.final["category"] == "robbery" and machine.step(s, call("scan_timeline"))[0] == s
+    assert machine.State.from_json(s.to_json()) == machine.State(turns=1, invalid=2, ended="finalized") and machine.step(t, "<answer>{}</answer>")[0].ended == "answered"
+    live, _ = machine.step(machine.State(), call("seek_evidence", end_sec=3), machine.Clip(9.0))
+    assert machine.State.from_json(live.to_json()) == live
     s = machine.State()
     while not s.ended:
-        s, _ = machine.step(s, machine.Action("nonsense"))
+        s, _ = machine.step(s, "nonsense")
     assert s.ended == "max_attempts" and s.invalid == machine.ATTEMPTS_PER_TURN * machine.MAX_TURNS + 1
+    s = machine.State()
+    while not s.ended:
+        s, _ = machine.step(s, call("scan_timeline"))
+    assert s.ended == "max_turns" and s.turns == machine.MAX_TURNS
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    turns = episodes(spark, SF).select("episode_id", "step_index", "tool_name", "start_sec", "end_sec", "valid").where("step_index <= 70")
+    turns = replies(spark, SF).where("step_index <= 70")
     for i, (lo, hi) in enumerate(((1, 5), (6, 12), (13, 70))):
         turns.where(F.col("step_index").between(lo, hi)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    files = stream.read_turns(spark, str(tmp_path / "in"))
+    files = stream.read_replies(spark, str(tmp_path / "in"))
     q = stream.replay_stream(files).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(240)
     key = lambda df: sorted(map(repr, df.collect()))
@@ -413,12 +480,11 @@ def test_categories_and_stopwords_are_the_references(spark):
     assert got == ["is", "was", "this", "person"]
 
 
-def test_replay_counts_actions_not_step_numbers(spark):
-    rows = [(1, 1000 * (i + 1), "seek_evidence", 0.0, 1.0, i % 2 == 0) for i in range(100)]
-    turns = spark.createDataFrame(rows, "episode_id long, step_index long, tool_name string, start_sec double, end_sec double, valid boolean")
-    want = machine.play(machine.State(), 1, turns.toPandas())[1]
-    got = machine.replay(turns).orderBy("step_index").collect()
-    assert [tuple(r) for r in got] == [tuple(r) for r in want.itertuples(index=False)] and len(got) == 27
+def test_replay_counts_replies_not_step_numbers(spark):
+    rows = [(1, 1000 * (i + 1), call("seek_evidence", end_sec=1) if i % 2 else "?") for i in range(100)]
+    got = machine.replay(spark.createDataFrame(rows, "episode_id long, step_index long, reply string"), machine.Clip(9.0)).orderBy("step_index").collect()
+    assert len(got) == 28 and got[-1].ended == "max_turns" and got[-1].turns == 14 and [r.step_index for r in got] == [1000 * (i + 1) for i in range(28)]
+
 
 
 def test_places_and_toggles(spark):
