@@ -61,3 +61,37 @@ def apply_plan(messages: Column, places: Column) -> Column:
 def signature(payload: Column) -> Column:
     """A content key of a struct; fields whose names start with an underscore should be left out by the caller."""
     return F.sha2(F.to_json(payload).cast("binary"), 256)
+
+
+def example_errors(place: Column, messages: Column, target: Column) -> Column:
+    """What is wrong with a training example (``MESSAGES`` and its target), each with its place: ``example[3]: message[0].content[2] ...``."""
+    prefix = F.concat(F.lit("example["), place.cast("string"), F.lit("]: "))
+    none = F.array().cast("array<string>")
+    at = lambda j, k: F.concat(prefix, F.lit("message["), j.cast("string"), F.lit("].content["), k.cast("string"), F.lit("]: "))
+
+    def item(c: Column, j: Column, k: Column) -> Column:
+        ref = c["image_ref"]
+        lost = ref["sampled_frame_index"].isNull() & ref["raw_frame_index"].isNull() & ref["timestamp_sec"].isNull()
+        of_ref = F.array(
+            F.when(F.trim(F.coalesce(ref["video_path"], F.lit(""))) == "", F.concat(at(j, k), F.lit("image_ref.video_path is missing"))),
+            F.when(lost, F.concat(at(j, k), F.lit("image_ref needs sampled_frame_index, raw_frame_index, or timestamp_sec"))),
+        )
+        bare = F.array(F.when(c["image"].isNull(), F.concat(at(j, k), F.lit("image item is missing both image and image_ref"))))
+        return F.when(c["type"] == "image", F.when(ref.isNotNull(), of_ref).otherwise(bare)).otherwise(none)
+
+    def message(m: Column, j: Column) -> Column:
+        items = F.flatten(F.transform(m["content"], lambda c, k: item(c, j, k)))
+        return F.when(m["content"].isNull(), F.array(F.concat(prefix, F.lit("message["), j.cast("string"), F.lit("] content is not a list")))).otherwise(items)
+
+    blank = F.when(F.trim(F.coalesce(target, F.lit(""))) == "", F.concat(prefix, F.lit("missing non-empty target_response")))
+    found = F.concat(F.array(blank), F.flatten(F.transform(messages, message)))
+    whole = F.when(F.coalesce(F.size(messages), F.lit(0)) <= 0, F.array(F.concat(prefix, F.lit("missing non-empty messages list")))).otherwise(found)
+    return F.filter(whole, lambda e: e.isNotNull())
+
+
+def image_counts(messages: Column) -> Column:
+    """``refs`` and ``inline`` images of an example."""
+    items = F.filter(F.flatten(F.transform(F.filter(messages, lambda m: m["content"].isNotNull()), lambda m: m["content"])), lambda c: c["type"] == "image")
+    refs = F.filter(items, lambda c: c["image_ref"].isNotNull())
+    inline = F.filter(items, lambda c: c["image_ref"].isNull() & c["image"].isNotNull())
+    return F.struct(F.greatest(F.size(refs), F.lit(0)).alias("refs"), F.greatest(F.size(inline), F.lit(0)).alias("inline"))

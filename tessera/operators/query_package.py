@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import CLOTHING_TERMS, EVENTS, normal_query, query_kind, tokens
@@ -10,6 +10,9 @@ from tessera.functions.text import CLOTHING_TERMS, EVENTS, normal_query, query_k
 QUERY = "struct<text:string,kind:string,weight:double>"
 # Longest phrase that is a query as it stands, who may wear clothes, who of them is any person, and the weights of a package.
 MOST_WORDS = 4
+# What a role lets one suppose, how much a link to a moment's id and role counts, and key objects of a package.
+HYPOTHESES = {"precursor": "suspected pre-anomaly cue", "trigger": "suspected actionable event", "peak_action": "suspected actionable event", "confirmation": "suspected anomaly confirmation", "normal_check": "check whether this interval remains normal", "context": "suspected anomaly context"}
+OTHER_HYPOTHESIS, ID_LINK, ROLE_LINK, MOST_OBJECTS = "suspected anomaly evidence", 4.0, 2.0, 4
 WEARERS, ANYONE = ["person", "man", "woman", "individual", "victim", "attacker"], ["victim", "attacker", "individual"]
 PACKAGE_WEIGHTS = {"event_cue": 0.40, "key_objects": 0.20, "scene_context": 0.10, "hypothesis": 0.25}
 NEGATIVE_WEIGHT = 0.15
@@ -152,3 +155,47 @@ def query_for_moment(groups: Column, moment: Column, fallback: Column) -> Column
         F.coalesce(best, F.when(normal == "", F.coalesce(fallback, F.lit(""))).otherwise(normal)).alias("text"),
         F.when(best.isNull(), "role_fallback").otherwise("oracle_key_objects").alias("source"),
     )
+
+
+def _shares(q: Column, said: Column) -> Column:
+    """A query's weight plus the share of its words that are said, stopwords too."""
+    own = F.array_distinct(F.filter(F.split(normal_query(q["text"]), " "), lambda w: w != ""))
+    return q["weight"] + F.when(F.size(own) > 0, F.size(F.array_intersect(own, said)) / F.size(own)).otherwise(F.lit(0.0))
+
+
+def hypothesis_for(role: Column) -> Column:
+    out = F.lit(OTHER_HYPOTHESIS)
+    for r, text in HYPOTHESES.items():
+        out = F.when(role == r, text).otherwise(out)
+    return out
+
+
+def with_package(df: DataFrame, groups: str, moment: str, query: Column, source: Column, scene: Column, name: str = "package") -> DataFrame:
+    """Add the package that searches for a moment: cue and objects of its best linked group, and what its role lets one suppose.
+
+    ``groups`` (of ``supervision``) and ``moment`` are columns. Groups linked to other moments alone don't count; the first of
+    equals wins. Without an event the query is the cue.
+    """
+    c, m = F.col, F.col(moment)
+    none = F.array().cast("array<string>")
+    linked, by_role = lambda g: F.array_contains(g["linked_moment_ids"], c("_id")), lambda g: F.array_contains(g["linked_roles"], c("_role"))
+
+    def scored(g: Column) -> Column:
+        best = F.array_max(F.transform(F.filter(g["queries"], lambda q: q["text"] != ""), lambda q: _shares(q, c("_said"))))
+        links = F.when((c("_id") != "") & linked(g), ID_LINK).otherwise(0.0) + F.when((c("_role") != "") & by_role(g), ROLE_LINK).otherwise(0.0)
+        return F.struct((links + F.coalesce(best, F.lit(0.0))).alias("s"), g["queries"].alias("q"))
+
+    said = F.filter(F.split(normal_query(F.concat_ws(" ", F.coalesce(m["description"], F.lit("")), F.coalesce(m["role"], F.lit("")))), " "), lambda w: w != "")
+    out = df.withColumns({"_id": F.coalesce(m["moment_id"], F.lit("")), "_role": F.coalesce(m["role"], F.lit("")), "_said": said, "_asked": F.trim(F.coalesce(query, F.lit("")))})
+    open_ = F.filter(groups, lambda g: (c("_id") == "") | (F.size(g["linked_moment_ids"]) == 0) | linked(g) | by_role(g))
+    out = out.withColumn("_scored", F.transform(open_, scored)).withColumn("_top", F.array_max(F.transform("_scored", lambda x: x["s"])))
+    out = out.withColumn("_queries", F.coalesce(F.get(F.filter("_scored", lambda x: x["s"] == c("_top")), F.lit(0))["q"], F.array().cast(f"array<{QUERY}>")))
+    of = lambda *kinds: F.transform(F.filter("_queries", lambda q: q["kind"].isin(*kinds) & (F.trim(q["text"]) != "")), lambda q: F.trim(q["text"]))
+    out = out.withColumns({"_cue": F.coalesce(F.get(of("event_relation"), F.lit(0)), c("_asked")), "_things": of("object", "attribute_object")})
+    objects = F.when(F.size("_things") > 0, c("_things")).when((c("_asked") != "") & (c("_asked") != c("_cue")), F.array("_asked")).otherwise(none)
+    out = out.withColumn("_package", F.struct(
+        c("_cue").alias("event_cue"), F.slice(objects, 1, MOST_OBJECTS).alias("key_objects"), scene.cast("string").alias("scene_context"), hypothesis_for(c("_role")).alias("hypothesis"), none.alias("negative_constraints"),
+        F.coalesce(F.nullif(source, F.lit("")), F.lit("role_fallback")).alias("rewrite_reason"),
+    ))
+    out = out.withColumn(name, normal_package(c("_package"), c("_cue"), scene.cast("string")))
+    return out.drop("_id", "_role", "_said", "_asked", "_scored", "_top", "_queries", "_cue", "_things", "_package")

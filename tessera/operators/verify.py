@@ -263,7 +263,7 @@ def search_branches(before: Column, after: Column, has_alert: Column, alert_sec:
 
 
 def reward_parts(kind: str, status: Column, timing: Column, d: Column, share: Column, late: Column, penalty: float) -> dict[str, Column]:
-    """What a branch of a group is paid for; the same coefficients whoever judged it. ``penalty``: for each second of delay, or the whole ledger or clip."""
+    """What a judged branch of a group is paid for. ``penalty``: for each second of delay, or the whole ledger or clip."""
     if kind == "alert":
         return {
             "alertability_reward": 0.40 * d["alertability"], "claim_support_reward": 0.30 * d["sufficiency"], "alert_status_bonus": 0.20 * _worth(timing, ALERT_STATUS_BONUS),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions.text import case_id, entry_path
 from tessera.operators import budget as bd
 from tessera.operators import joins as jn
+from tessera.operators import messages as ms
 from tessera.operators import records as rc
 from tessera.operators import shard as sh
 
@@ -97,15 +98,28 @@ def row_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH m AS (SELECT conv_id, turn, role, length(text) AS n, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations),
-e AS (SELECT conv_id, turn, 'short text' AS error FROM m WHERE n < 60 UNION ALL SELECT conv_id, turn, 'role repeats' FROM m WHERE role = before UNION ALL SELECT conv_id, turn, 'unknown role' FROM m WHERE role NOT IN ('user', 'assistant'))
-SELECT 'turn ' || CAST(turn AS VARCHAR) || ': ' || error AS message, CAST(count(*) AS BIGINT) AS n, min(conv_id) AS first_conv FROM e GROUP BY 1""")
+WITH t AS (SELECT conv_id, turn, length(text) % 5 AS m FROM conversations),
+x AS (SELECT conv_id, count(*) AS n FROM t GROUP BY conv_id),
+e AS (SELECT conv_id, 'message[' || turn || '] content is not a list' AS error FROM t WHERE m = 0 UNION ALL SELECT conv_id, 'message[' || turn || '].content[1]: image_ref.video_path is missing' FROM t WHERE m = 1
+  UNION ALL SELECT conv_id, 'message[' || turn || '].content[1]: image_ref needs sampled_frame_index, raw_frame_index, or timestamp_sec' FROM t WHERE m = 2 AND turn % 2 = 0 UNION ALL SELECT conv_id, 'message[' || turn || '].content[1]: image item is missing both image and image_ref' FROM t WHERE m = 3 AND turn % 2 = 1
+  UNION ALL SELECT conv_id, 'missing non-empty target_response' FROM x WHERE conv_id % 4 = 1)
+SELECT error, CAST(count(*) AS BIGINT) AS n, min(conv_id) AS first_conv, CAST((SELECT count(*) FROM t WHERE m IN (1, 2)) AS BIGINT) AS image_refs, CAST((SELECT count(*) FROM t WHERE m = 3 AND turn % 2 = 0) AS BIGINT) AS inline_images FROM e GROUP BY error""")
 def example_validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of positional errors of all examples: every check runs in one pass, and only errors are counted."""
-    c = table(spark, sf_dir, "conversations").withColumn("before", F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn")))
-    checks = F.array(F.when(F.length("text") < 60, "short text"), F.when(F.col("role") == F.col("before"), "role repeats"), F.when(~F.col("role").isin("user", "assistant"), "unknown role"))
-    e = c.select("conv_id", "turn", F.explode(F.filter(checks, lambda x: x.isNotNull())).alias("error"))
-    return e.groupBy(F.concat(F.lit("turn "), F.col("turn").cast("string"), F.lit(": "), "error").alias("message")).agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv"))
+    """Counts of the errors of all examples by place, and of their images; examples are made of conversations."""
+    m, t = F.length("text") % 5, F.col("turn")
+    ref = F.when(m == 1, F.struct(F.lit(" ").alias("video_path"), F.lit(1).alias("sampled_frame_index"), F.lit(None).cast("int").alias("raw_frame_index"), F.lit(None).cast("double").alias("timestamp_sec")))
+    ref = ref.when(m == 2, F.struct(F.lit("v.mp4").alias("video_path"), F.lit(None).cast("int").alias("sampled_frame_index"), F.when(t % 2 == 1, 3).alias("raw_frame_index"), F.lit(None).cast("double").alias("timestamp_sec")))
+    text = F.struct(F.lit("text").alias("type"), F.col("text"), F.lit(None).cast("binary").alias("image"), F.lit(None).cast(ms.REF).alias("image_ref"))
+    image = F.struct(F.lit("image").alias("type"), F.lit(None).cast("string").alias("text"), F.when((m == 3) & (t % 2 == 0), F.lit("x").cast("binary")).alias("image"), ref.alias("image_ref"))
+    content = F.when(m == 4, F.array(text)).when(m != 0, F.array(text, image))
+    message = F.struct(F.col("role"), F.lit(None).cast("string").alias("name"), content.alias("content"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct(t.alias("at"), message.alias("m"))), lambda a, b: (a["at"] - b["at"]).cast("int")), lambda x: x["m"])
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ordered.alias("messages"))
+    target = F.when(F.col("conv_id") % 4 == 1, " ").otherwise("done")
+    e = c.select("conv_id", ms.example_errors(F.col("conv_id"), F.col("messages"), target).alias("errors"), ms.image_counts(F.col("messages")).alias("images"))
+    images = e.agg(F.sum("images.refs").alias("image_refs"), F.sum("images.inline").alias("inline_images"))
+    found = e.select("conv_id", F.explode("errors").alias("error")).withColumn("error", F.regexp_replace("error", r"^example\[-?[0-9]+\]: ", ""))
+    return found.groupBy("error").agg(F.count(F.lit(1)).alias("n"), F.min("conv_id").alias("first_conv")).crossJoin(F.broadcast(images))
 
 
 @query("""

@@ -297,6 +297,19 @@ def frame_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("vec_id", text(sm.uniform(F.col("s"), F.col("e"), F.col("n"))).alias("uniform"), text(sm.strided(F.col("s"), F.col("e"), stride)).alias("strided"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, vec_id % 90 AS frames, CAST(vec_id % 7 AS DOUBLE) AS duration, CAST(vec_id % 4 AS DOUBLE) AS fps FROM embeddings),
+n AS (SELECT *, greatest(1, least(frames, 12, CASE WHEN duration > 0 AND fps > 0 THEN ceil(duration * least(2, fps)) ELSE frames END)) AS n FROM e)
+SELECT vec_id, CASE WHEN frames = 0 THEN '' WHEN n = 1 THEN '0' ELSE array_to_string(list_sort(list_distinct(list_transform(range(0, CAST(n AS BIGINT)), lambda i: CAST(round_even(i * ((frames - 1) / CAST(n - 1 AS DOUBLE)), 0) AS BIGINT)))), ',') END AS sampled,
+       CAST(greatest(1, CASE WHEN fps > 0 THEN least(frames, 6, greatest(1, ceil(frames / fps * 0.5))) ELSE least(frames, 6) END) AS BIGINT) AS preview FROM n""")
+def clip_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that stand for a whole clip, and how many its preview shows."""
+    i = F.col("vec_id")
+    frames, duration, fps = i % 90, (i % 7).cast("double"), (i % 4).cast("double")
+    got = sm.clip_indices(frames, duration, fps, 2.0, 12)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(got.cast("array<string>"), ",").alias("sampled"), sm.preview_count(frames, fps, 6, 8, 0.5).cast("long").alias("preview"))
+
+
 @query("""
 WITH e AS (SELECT vec_id, 1 + vec_id % 17 AS n FROM embeddings)
 SELECT vec_id, array_to_string(CASE WHEN n <= 4 THEN range(1, n + 1) ELSE list_transform(range(0, 4), lambda i: CAST(1 + round_even(i * (n - 1) / CAST(3 AS DOUBLE), 0) AS BIGINT)) END, ',') AS kept FROM e""")

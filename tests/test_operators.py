@@ -225,6 +225,21 @@ def test_phrases_packages_and_moments(spark):
     assert rows(r.c1) == [("red bag", 0.4, "event_cue"), ("street", 0.1, "scene_context")] and rows(r.c2) == [("smoke", 0.15, "negative_constraints")]
 
 
+def test_packages_for_moments(spark):
+    moment = lambda i, role, d: F.struct(lit(i).alias("moment_id"), lit(role).alias("role"), lit(0.0).alias("start_sec"), lit(1.0).alias("end_sec"), lit(d).alias("description"))
+    moments = F.array(moment("m1", "trigger", "a man falls near the dog"), moment("m2", "confirmation", "smoke"), moment("", "context", ""))
+    made = spark.range(1).select(query_package.supervision(F.array(lit("man falling and a small dog"), lit("smoke"), lit("blue car")), F.slice(moments, 1, 2)).alias("g"), moments.alias("m"))
+    df = spark.createDataFrame(made.collect(), made.schema)
+    def package(g, i, query, source, scene):
+        rows = df.select(g.alias("g"), F.get("m", lit(i)).alias("moment"))
+        return query_package.with_package(rows, "g", "moment", lit(query), lit(source), lit(scene)).first().package
+
+    a, b, c = package(F.col("g"), 0, "the cue", "", "A Street"), package(F.col("g"), 1, "the cue", "", None), package(F.slice("g", 1, 0), 2, "The cue", "model", None)
+    assert tuple(a) == ("man falling", ["small dog"], "street", "suspected actionable event", [], "role_fallback")
+    assert (b.event_cue, b.key_objects, b.hypothesis) == ("smoke", ["cue"], "suspected anomaly confirmation")
+    assert tuple(c) == ("cue", [], "", "suspected anomaly context", [], "model")
+
+
 def test_kinds_and_claims(spark):
     kinds = {"blue street": "scene_context", "man jackets": "attribute_object", "people whitsuit": "event_relation", "the of": "object", "green ball": "object", "robot": "event_relation"}
     assert list(one(spark, *[tx.query_kind(lit(k)) for k in kinds])) == list(kinds.values())
