@@ -34,7 +34,7 @@ def host_rule(host: str, path: str, verdict: str) -> UrlRule:
     """Fits ``host`` and its subdomains where the url's path starts with ``path``; longer rules outrank shorter ones."""
     whole = host + path
     found = [m for m in re.finditer(r"[a-z0-9]+", whole.lower()) if m.end() < len(whole)]
-    return UrlRule(whole, r"^(?:[^/]*\.)?" + re.sub(r"([^\w/-])", r"\\\1", whole), tuple(m[0] for m in found), verdict, 1000 + len(whole))
+    return UrlRule(whole, r"^(?:[^/?#]*\.)?" + re.sub(r"([^\w/-])", r"\\\1", whole), tuple(m[0] for m in found), verdict, 1000 + len(whole))
 
 
 def filter_rule(line: str, rank: int = 0) -> UrlRule:

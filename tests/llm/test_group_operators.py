@@ -94,6 +94,9 @@ def test_one_row_of_each_component_stays(spark):
     kept = simhash.drop_near_duplicates(df)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4] and kept.columns == df.columns
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
+    odd = df.select("*", *[F.lit(n).alias(n) for n in ("_keep", "_KEEP_", "_doc", "_min", "node", "root", "a.b")])
+    kept = simhash.drop_near_duplicates(odd)
+    assert kept.columns == odd.columns and sorted((r.doc_id, r._keep, r["a.b"]) for r in kept.collect()) == [(3, "_keep", "a.b"), (4, "_keep", "a.b")]
 
 
 @pytest.mark.parametrize("cell,chunk", [(8192, 2_000_000), (8, 600)])
@@ -304,8 +307,8 @@ def plain_verdict(url):
 def test_urls_match_plain_version(spark):
     rng = random.Random(4)
     hosts = ["com", "example.com", "www.example.com", "WWW.Example.COM", "notexample.com", "a.net", "net", "x.org", "cheap-pills.org", "a.www.example.com", ""]
-    paths = ["", "/", "/en/", "/en", "/en/5", "/es/x", "/fr/", "/EN/1", "//", "?q=/en/", "#/es/", "/es/?a#b"]
-    urls = [rng.choice(["http://", "https://", "://", "", "x"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "", "http://a://b/c", "http://net/es/\nx"]
+    paths = ["", "/", "/en/", "/en", "/en/5", "/es/x", "/fr/", "/EN/1", "//", "?q=/en/", "#/es/", "/es/?a#b", "?x=b.com/y", "#b.com/en/", "/?u=www.example.com/en/", ":80/en/", ":8080/", "?b.net/es/", "/a.com/", "@b.com/x"]
+    urls = [rng.choice(["http://", "https://", "://", "", "x"]) + rng.choice(hosts) + rng.choice(paths) for _ in range(400)] + [None, "", "http://a://b/c", "http://net/es/\nx", "http://a?x=b.com/y", "http://a#b.com/y", "http://a#x.example.com/en/", "http://a.com:80/", "http://u:p@example.com/en/?"]
     df = spark.createDataFrame([(i % 300, u, "old") for i, u in enumerate(urls)] + [(None, urls[0], "old")], "page_id long, url string, rule string")
     out = url_filter.judge_urls(df)
     assert out.columns == ["page_id", "url", "host", "path", "rule", "verdict"] and out.count() == len(urls) + 1
