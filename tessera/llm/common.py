@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.storage import Stored, scratch_root, stored
 
-__all__ = ["LOWER", "SPACE", "UPPER", "Stored", "ascii_lower", "col", "nested", "scratch_root", "stored", "table", "words"]
+__all__ = ["LOWER", "SPACE", "UPPER", "Stored", "ascii_lower", "col", "fresh", "nested", "scratch_root", "stored", "table", "words"]
 
 # ASCII letters and the white space of the text contracts.
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -29,6 +29,14 @@ def nested(df: DataFrame, without: tuple[str, ...] = (), **own: Column) -> DataF
     return df.select(F.struct(*held).alias("row"), *[c.alias(k) for k, c in own.items()])
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else. Pure ASCII takes the built-in's byte path."""
     return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

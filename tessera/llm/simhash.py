@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stored, stored
+from .common import Stored, col, fresh, stored
 from .components import components
 
 SEED = 42
@@ -460,5 +460,6 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.
     lost = placed.df.where("_root <> _node").select("_root").distinct()
     ids = placed.df.join(stored(lost), "_root", "left_semi").groupBy("_root").agg(F.min("_least").alias("_min"))
-    of = placed.df.join(stored(ids), "_root", "left").select(F.coalesce("_min", "_least").alias("_keep")).distinct()
-    return df.join(of, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    kept = fresh(df, "_keep")
+    of = placed.df.join(stored(ids), "_root", "left").select(F.coalesce("_min", "_least").alias(kept)).distinct()
+    return df.join(of, col(id_col).eqNullSafe(F.col(kept)), "left_semi")
