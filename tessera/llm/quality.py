@@ -72,7 +72,7 @@ class Model:
 def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, quantile: float | None = None) -> Model:
     """Learn from rows of features and 0/1 labels. Labels of a single class, or none, give a constant 0.5.
 
-    ``quantile``: the share of training scores below the threshold; by default the one with the fewest wrong labels.
+    ``quantile``: the share of training scores below the threshold; by default the share of bad labels among all.
     """
     good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
     if not len(good) or not len(bad):
@@ -97,18 +97,8 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 24, quantile: float | None = N
         m1, m2 = 0.9 * m1 + 0.1 * g, 0.999 * m2 + 0.001 * g * g
         w -= 0.05 * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     raw = w[cells].sum(1)
-    # The level of the scores' quantile that makes the fewest mistakes, with the widest gap around it.
-    order = np.sort(raw)
-    cuts = np.concatenate([[order[0] - 1], (order[1:] + order[:-1]) / 2])
-    wrong_good = np.searchsorted(np.sort(raw[good]), cuts)
-    wrong_bad = len(bad) - np.searchsorted(np.sort(raw[bad]), cuts)
-    wrong = wrong_good + wrong_bad
-    best = np.flatnonzero(wrong == wrong.min())
-    gap = np.diff(np.concatenate([[order[0] - 2], order]))[best]
-    at = best[np.argmax(gap)]
-    level = float(at / len(raw)) if quantile is None else quantile
-    cut = float(cuts[at]) if quantile is None else float(np.quantile(raw, level))
-    return Model([e.tolist() for e in edges], [w[start[j] : start[j + 1]].tolist() for j in range(len(sizes))], cut, float(4 / (np.std(raw) + 1e-9)), level)
+    level = len(bad) / len(y) if quantile is None else quantile
+    return Model([e.tolist() for e in edges], [w[start[j] : start[j + 1]].tolist() for j in range(len(sizes))], float(np.quantile(raw, level)), float(4 / (np.std(raw) + 1e-9)), level)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -129,6 +130,64 @@ def test_quality_without_labels_is_undecided(spark):
     assert quality.score(docs(spark, []), quality.train(docs(spark, []), none)).count() == 0
 
 
+def plain_ranking(texts, y):
+    """Pairwise logistic ranking of the same pairs in the same order, with one indicator column for each bin."""
+    x = np.array([quality.features(t) for t in texts])
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    at = np.linspace(0, 1, 25)[1:-1]
+    hot = []
+    for j in range(x.shape[1]):
+        edges = np.unique(np.concatenate([np.quantile(x[:, j], at), np.quantile(x[bad, j], at[::3])]))
+        hot.append((np.array([sum(v >= e for e in edges) for v in x[:, j]])[:, None] == np.arange(len(edges) + 1)).astype(float))
+    hot = np.hstack(hot)
+    rng = np.random.default_rng(0)
+    i, k = rng.choice(good, 60_000), rng.choice(bad, 60_000)
+    w, m, v = (np.zeros(hot.shape[1]) for _ in range(3))
+    for t in range(1, 401):
+        at = (t * 3000) % 60_000
+        diff = hot[i[at : at + 3000]] - hot[k[at : at + 3000]]
+        g = -(diff * (1 / (1 + np.exp(diff @ w)))[:, None]).mean(0) + 1e-3 * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    raw = hot @ w
+    order, share = np.sort(raw), len(bad) / len(y)
+    low = int(share * (len(raw) - 1))
+    cut = order[low] + (share * (len(raw) - 1) - low) * (order[low + 1] - order[low])
+    return 1 / (1 + np.exp(-4 / (raw.std() + 1e-9) * (raw - cut)))
+
+
+def test_quality_scores_equal_a_plain_refit(spark):
+    rows = sample(160, 4)
+    known = [(i, t, y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    got = {r.doc_id: r.score for r in quality.score(d, quality.train(d, labels)).collect()}
+    # Rows are fitted in order of their ids as text.
+    known.sort(key=lambda r: str(r[0]))
+    want = plain_ranking([t for _, t, _ in known], np.array([y for *_, y in known]))
+    assert np.allclose([got[i] for i, *_ in known], want, atol=1e-6)
+
+
+def test_quality_cuts_at_the_quantile_of_bad_labels(spark):
+    rng = np.random.default_rng(2)
+    y = (rng.random(400) < 0.7).astype(int)
+    x = rng.standard_normal((400, quality.FEATURES)) + y[:, None] * 0.6
+    model = quality.fit(x, y)
+    assert model.level == (y == 0).mean() and abs((model.score(x) < 0.5).mean() - model.level) < 0.01
+    half = quality.fit(x, y, quantile=0.5)
+    assert abs((half.score(x) < 0.5).mean() - 0.5) < 0.01 and half.weights == model.weights
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    rows = sample(200)
+    labels = spark.createDataFrame([(i, y, 0) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    d = docs(spark, [(i, t) for i, t, _ in rows])
+    model = quality.train(d, labels)
+    assert quality.train(d.unionByName(d), labels.unionByName(labels)) == model  # repeated rows count once
+    out = quality.score(docs(spark, [(1, "long " * 200_000), (1, "long " * 200_000), (2, " \n")]), model).collect()
+    assert len({r.score for r in out if r.doc_id == 1}) == 1 and all(0 <= r.score <= 1 for r in out)
+
+
 def test_quality_never_learns_from_held_out_rows(spark):
     rows = sample(300)
     d = docs(spark, [(i, t) for i, t, _ in rows])
@@ -173,6 +232,33 @@ def test_decontamination_matches_plain_version(spark, limit):
     assert got == plain_contaminated(rows, items) and len(got) > 5
 
 
+def test_repetitive_and_long_texts_give_a_hit_for_each_alignment(spark):
+    items = [(k, " ".join(["word"] * (25 + k))) for k in range(4)] + [(5, "a b " * 30), (6, "a b c " * 10 + "tail of its own here")]
+    rows = [(0, "word " * 1000), (1, "b a " * 500), (2, "word " * 10), (3, "x word y " * 400), (4, "z " * 20_000 + "word " * 14), (5, "a b c " * 12 + "Tail of"), (6, "a a b b " * 50)]
+    for limit in (10**6, 0):
+        out = decontaminate.contaminated(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string"), broadcast_seeds=limit).collect()
+        assert {r.doc_id: set(r["items"]) for r in out} == plain_contaminated(rows[:4] + [(4, "z " * 30 + "word " * 14)] + rows[5:], items)
+    wide = decontaminate.contaminated(docs(spark, [(0, "word " * 1000)]), spark.createDataFrame([(0, "word " * 100)], "item_id long, text string"))
+    assert [r.best_match for r in wide.collect()] == [1.0]
+    over = decontaminate.contaminated(docs(spark, [(0, "word " * 12), (1, "word " * 10)]), spark.createDataFrame([(0, "word " * 30)], "item_id long, text string"))
+    assert [(r.doc_id, r.best_match) for r in over.collect()] == [(0, 12 / 13)]
+
+
+def test_masks_that_overlook_passages_raise():
+    decontaminate.check_masks(decontaminate.MASKS, 13, 0.8)
+    decontaminate.check_masks([(0, 1, 2, 3)], 8, 1.0)
+    for masks, window, similarity in ((decontaminate.MASKS, 13, 0.7), (decontaminate.MASKS[:1], 13, 0.8), ([tuple(range(9))], 8, 1.0), ([], 13, 0.8)):
+        with pytest.raises(ValueError):
+            decontaminate.check_masks(masks, window, similarity)
+
+
+def test_decontaminate_bears_clashing_columns(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve thirteen"
+    d = docs(spark, [(1, item), (2, "clean")]).select("*", *[F.lit(n).alias(n) for n in ("_bad", "_BAD_", "_doc", "_tok", "_seed", "_item", "items", "a.b")])
+    out = decontaminate.decontaminate(d, spark.createDataFrame([(1, item, 2)], "item_id long, text string, _j int"))
+    assert out.columns == d.columns and [(r.doc_id, r._bad, r["a.b"]) for r in out.collect()] == [(2, "_bad", "a.b")]
+
+
 def test_masks_hit_every_pair_of_substitutions():
     for a in range(13):
         for b in range(a + 1, 13):
