@@ -15,7 +15,7 @@ class ConfigMismatch(ValueError):
 
 def require_config(stored: dict, wanted: dict) -> None:
     """Raise unless both hold the same; names what differs."""
-    if differing := sorted(k for k in {*stored, *wanted} if stored.get(k) != wanted.get(k)):
+    if differing := sorted(k for k in {*stored, *wanted} if k not in stored or k not in wanted or stored[k] != wanted[k]):
         raise ConfigMismatch(f"the cache was built with other {', '.join(differing)}")
 
 
