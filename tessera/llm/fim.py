@@ -6,7 +6,7 @@ offsets and needs no vocabulary. The number of offsets is the number of units; t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,34 +20,59 @@ from .common import col
 CODE_POINT = r"(?m)."
 PREFIX, SUFFIX, MIDDLE = "<P>", "<S>", "<M>"
 #: Code points that the pre-tokenizer takes at once. Units of one code point never cross a block's end.
-BLOCK = 512
+BLOCK = 256
+#: Words whose numbers of units a worker remembers, and their greatest length; beyond that number it starts again.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 48
 OUT = "struct<fim_text:string,form:string,n_units:long,prefix_chars:long,middle_chars:long>"
 
 
 class Cutter:
-    """Units of a text by their offsets. Only counts of blocks are held, so memory doesn't grow with a text's units."""
+    """Units of a text by their offsets.
+
+    Units of one code point cross neither words nor blocks, so the units of a word are split once and remembered by their
+    number; where a rank falls into a word, its offsets are split again. Other patterns are matched over whole texts.
+    """
 
     def __init__(self, pattern: str = CODE_POINT) -> None:
         self.split = pre_tokenizers.Split(Regex(pattern), "isolated")
-        self.block = BLOCK if pattern == CODE_POINT else 0  # matches of another pattern may cross any place
+        self.single = pattern == CODE_POINT
+        self.memory: dict[str, int] = {}
 
     def ends(self, part: str) -> list[int]:
-        return [end for _, (_, end) in self.split.pre_tokenize_str(part)]
+        step = BLOCK if self.single else max(len(part), 1)
+        return [at + end for at in range(0, len(part), step) for _, (_, end) in self.split.pre_tokenize_str(part[at : at + step])]
 
-    def counts(self, text: str) -> np.ndarray:
-        """Units up to the end of each block of the text."""
-        step = self.block or max(len(text), 1)
+    def count(self, word: str) -> int:
         pieces = self.split.pre_tokenize_str
-        return np.cumsum([len(pieces(text[at : at + step])) for at in range(0, len(text), step)], dtype=np.int64)
-
-    def place(self, text: str, counts: np.ndarray, rank: int) -> int:
-        """The code point at which the first ``rank`` units end."""
-        if rank == 0:
-            return 0
-        k = int(np.searchsorted(counts, rank))
-        step = self.block or len(text)
-        before = int(counts[k - 1]) if k else 0
-        return k * step + self.ends(text[k * step : (k + 1) * step])[rank - before - 1]
+        if len(word) > REMEMBERED_CHARS:
+            return sum(len(pieces(word[at : at + BLOCK])) for at in range(0, len(word), BLOCK))
+        got = self.memory.get(word)
+        if got is None:
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            got = self.memory[word] = len(pieces(word))
+        return got
+
+    def cut(self, text: str, ranks: Callable[[int], tuple[int, int] | None]) -> tuple[int, list[int]]:
+        """How many units the text has, and the code points at which the units of the ranks that ``ranks`` asks for (given that number) end."""
+        if not self.single:
+            ends = [0, *self.ends(text)] if text else [0]
+            return len(ends) - 1, [ends[r] for r in ranks(len(ends) - 1) or ()]
+        words, get, slow = text.split(" "), self.memory.get, self.count
+        space = slow(" ")
+        sizes = np.fromiter((get(w) or slow(w) for w in words), np.int64, len(words)) + space
+        sizes[-1] -= space  # no space follows the last word
+        upto = np.cumsum(sizes)
+        n = int(upto[-1])
+
+        def place(rank: int) -> int:
+            if rank == 0:
+                return 0
+            k = int(np.searchsorted(upto, rank))
+            before = sum(map(len, words[:k])) + k
+            return before + self.ends(words[k] + " ")[rank - 1 - (int(upto[k - 1]) if k else 0)]
+
+        return n, [place(r) for r in ranks(n) or ()]
 
 
 def check_marks(marks: tuple[str, str, str]) -> None:
@@ -62,13 +87,12 @@ def check_marks(marks: tuple[str, str, str]) -> None:
 
 def rearrange(text: str, draws: tuple[int, int, int, int], cutter: Cutter, marks: tuple[str, str, str], plain_from: int, spm_below: int) -> tuple[str, str, int, int | None, int | None]:
     """Output, form, units, and code points of prefix and middle. Of four draws two cut, one decides whether, one decides how."""
-    counts = cutter.counts(text)
-    n = int(counts[-1]) if len(counts) else 0
     p, s, m = marks
-    if not text or p in text or s in text or m in text or draws[2] % 100 >= plain_from:
+    plain = not text or p in text or s in text or m in text or draws[2] % 100 >= plain_from
+    n, places = cutter.cut(text, lambda n: None if plain else tuple(sorted((draws[0] % (n + 1), draws[1] % (n + 1)))))
+    if plain:
         return text, "plain", n, None, None
-    first, second = sorted((draws[0] % (n + 1), draws[1] % (n + 1)))
-    a, b = cutter.place(text, counts, first), cutter.place(text, counts, second)
+    a, b = places
     if draws[3] % 100 < spm_below:
         return f"{s}{text[b:]}{p}{text[:a]}{m}{text[a:b]}", "spm", n, a, b - a
     return f"{p}{text[:a]}{s}{text[b:]}{m}{text[a:b]}", "psm", n, a, b - a

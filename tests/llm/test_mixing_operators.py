@@ -54,7 +54,7 @@ def test_fill_in_middle_matches_plain_version_and_reads_back(spark):
 
 def test_fill_in_middle_by_other_units_and_marks(spark):
     words = fim.Cutter(r"\S+")
-    assert words.ends("ab  c\n") == [2, 4, 5, 6] and list(words.counts("ab  c\n")) == [4]  # what lies between matches is a unit too
+    assert words.ends("ab  c\n") == [2, 4, 5, 6] and words.cut("ab  c\n", lambda n: (1, n)) == (4, [2, 6])  # what lies between matches is a unit too
     marks = ("[[p]]", "[[s]]", "[[m]]")
     df = spark.createDataFrame([(i, f"one two three {i} four") for i in range(40)], "doc_id long, text string")
     out = fim.fill_in_middle(df, pattern=r"\S+", marks=marks, plain_from=100).withColumn("back", fim.restore(F.col("fim_text"), F.col("form"), marks)).collect()
@@ -65,13 +65,15 @@ def test_fill_in_middle_by_other_units_and_marks(spark):
             fim.check_marks(bad)
 
 
-def test_blocks_of_a_text_give_the_places_of_all_units():
+def test_words_and_blocks_of_a_text_give_the_places_of_all_units(monkeypatch):
+    monkeypatch.setattr(fim, "REMEMBERED", 20)
     cutter, rng = fim.Cutter(), random.Random(2)
-    for n in (0, 1, fim.BLOCK - 1, fim.BLOCK, fim.BLOCK + 1, 3 * fim.BLOCK):
-        text = "".join(rng.choices("a\n😀é", k=n))
-        counts = cutter.counts(text)
-        assert (int(counts[-1]) if n else 0) == n
-        assert all(cutter.place(text, counts, k) == k for k in {0, n, n // 2, min(n, fim.BLOCK)})
+    for n in (0, 1, 7, fim.BLOCK - 1, fim.BLOCK, fim.BLOCK + 1, 3 * fim.BLOCK):
+        for spaces in ("", " ", "      "):
+            text = "".join(rng.choices("a\n😀é\u0301" + spaces, k=n))
+            ranks = tuple(range(n + 1))
+            assert cutter.cut(text, lambda m: ranks) == (n, list(ranks))  # noqa: B023
+    assert cutter.cut("ab", lambda m: None) == (2, [])
 
 
 def test_fill_in_middle_query_matches_sql(spark):
