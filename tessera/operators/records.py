@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions.intervals import strictly_before
 
 # Reasons why a proposal falls back to a uniform choice, in the order they are looked for.
-FALLBACKS = ["missing_feature_cache", "missing_query_encoder", "empty_query_package", "invalid_feature_cache", "empty_query_embeddings", "empty_candidate_windows", "dpp_selection_failed"]
+FALLBACKS = ["missing_feature_cache", "missing_query_encoder", "empty_query_package", "invalid_feature_cache", "empty_query_embeddings", "empty_candidate_windows", "dpp_failure"]
 GROUPS = ("search", "alert", "evidence")
 
 

@@ -41,7 +41,7 @@ def frame_budget(span: Column, top1: Column, top5: Column, n: Column, windows: C
 
 def kernel(x: np.ndarray, times: np.ndarray, scores: np.ndarray) -> np.ndarray:
     spread = scores.max() - scores.min()
-    q = np.exp(SHARPNESS * ((scores - scores.min()) / spread if spread > 0 else np.ones_like(scores)))
+    q = np.exp(SHARPNESS * ((scores - scores.min()) / spread if spread > 1e-8 else np.ones_like(scores)))
     unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
     k = np.clip(unit @ unit.T, 0, 1) * np.exp(-np.abs(times[:, None] - times[None]) / TIME_SCALE) * np.outer(q, q)
     np.fill_diagonal(k, np.maximum(np.diag(k), JITTER))

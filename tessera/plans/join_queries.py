@@ -327,7 +327,7 @@ def turn_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH {EP}
-SELECT episode_id, step_index, CASE WHEN k % 3 = 0 THEN 'missing_feature_cache' WHEN k % 11 = 0 THEN 'missing_query_encoder' WHEN k % 5 = 0 THEN 'empty_query_package' WHEN k % 13 = 0 THEN 'invalid_feature_cache' WHEN k = 1 THEN 'empty_query_embeddings' WHEN k % 7 = 0 THEN 'empty_candidate_windows' WHEN k % 17 = 0 THEN 'dpp_selection_failed' ELSE '' END AS fallback_reason,
+SELECT episode_id, step_index, CASE WHEN k % 3 = 0 THEN 'missing_feature_cache' WHEN k % 11 = 0 THEN 'missing_query_encoder' WHEN k % 5 = 0 THEN 'empty_query_package' WHEN k % 13 = 0 THEN 'invalid_feature_cache' WHEN k = 1 THEN 'empty_query_embeddings' WHEN k % 7 = 0 THEN 'empty_candidate_windows' WHEN k % 17 = 0 THEN 'dpp_failure' ELSE '' END AS fallback_reason,
        CAST(least(8, 1 + CASE WHEN value * 60 >= 2 THEN 1 ELSE 0 END + k % 2) AS BIGINT) AS n_frames
 FROM ep WHERE tool_name = 'seek_evidence'""")
 def proposal_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
