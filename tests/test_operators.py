@@ -534,3 +534,14 @@ def test_sinks_keep_their_layout_and_logs_grow(spark, tmp_path):
     for _ in range(2):
         jsonl.append_jsonl(df, str(tmp_path / "log"))
     assert spark.read.schema("i int").json(str(tmp_path / "log")).count() == 4
+
+
+def test_quantiles_by_rank_equal_numpy(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice(["hot"] * 5 + ["a", "b", None]), rng.choice([rng.gauss(0, 9), float(rng.randint(0, 3)), None])) for _ in range(2000)] + [("one", 7.0), ("none", None)]
+    got = {r.k: r.q for r in aggregates.quantiles(spark.createDataFrame(rows, "k string, v double"), "k", "v", (0.0, 0.25, 0.5, 0.99, 1.0)).collect()}
+    for k in {r[0] for r in rows} - {"none"}:
+        assert got[k] == pytest.approx(np.quantile([v for i, v in rows if i == k and v is not None], (0.0, 0.25, 0.5, 0.99, 1.0)).tolist(), abs=1e-12)
+    assert "none" not in got
+    p = {r.k: r for r in aggregates.profile(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    assert p["none"].n == 0 and p["none"].median is None and p["one"].p99 == 7.0 and p[None].median == round(float(np.quantile([v for i, v in rows if i is None and v is not None], 0.5)), 6)
