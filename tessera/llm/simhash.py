@@ -5,8 +5,9 @@ own threshold: thresholds sum to ``distance - parts + 1``, so two fingerprints w
 the threshold of one part at least. Dynamic programming picks thresholds (and the number of parts) from
 estimated candidate counts over all fingerprints.
 
-Groups of near copies by similarity take other candidates: texts that share a band of their five-word shingles'
-minima, and agree in a 64-bit sketch of them. Texts that candidates connect are compared by their whole shingle sets.
+Groups of near copies by similarity take their candidates from that index, over fingerprints of five-word shingle sets,
+and from a second one for edits that a fingerprint doesn't survive (cut or added passages): texts that share a band of their
+shingles' minima, and agree in a 64-bit sketch of them. Texts that candidates connect are compared by their whole shingle sets.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ VERIFIED_SHINGLE, SIMILARITY = 5, 0.8
 SKETCH_DISTANCE = 18
 #: Minima of a band, of 64. Sets of similarity s share one of 16 bands of 4 with chance 1 - (1 - s^4)^16: all but one in 4,500 at 0.8, however their texts were edited.
 BAND = 4
+#: Fingerprint bits that candidates of the pigeonhole index may differ in.
+PRINT_DISTANCE = 3
 #: Shingles in a chunk of texts that are compared whole; a task holds two chunks.
 CHUNK_SHINGLES = 2_000_000
 
@@ -99,6 +102,15 @@ def bands(least: np.ndarray) -> np.ndarray:
     return mixed
 
 
+def print_of(shingles: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingles: bits set in over half of them, as one number in an array."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(shingles), 1 << 15):  # so a text of any length takes bounded memory
+        part = np.ascontiguousarray(shingles[i : i + (1 << 15)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view(np.uint64)
+
+
 def sketch(shingles: np.ndarray, least: np.ndarray | None = None) -> np.ndarray:
     """64 bits: one of each of the shingles' minima."""
     least = minima(shingles) if least is None else least
@@ -110,14 +122,14 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def sketches(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_sketch``, ``_band0`` and on, ``_size`` (shingles)."""
-    columns = ["_id", "_sketch", *BANDS]
+    """``_doc``, ``_node`` (128-bit hash of the words), ``_id`` (64-bit), ``_fp``, ``_sketch``, ``_band0`` and on, ``_size`` (shingles)."""
+    columns = ["_id", "_fp", "_sketch", *BANDS]
 
     def one(text: str | None) -> tuple[str, np.ndarray, int]:
         w = _split(text)
         shingles = shingle_set(_word_hashes(w))
         least, whole = minima(shingles), b" ".join(w)
-        numbers = [np.array([xxhash.xxh64_intdigest(whole)], np.uint64), sketch(shingles, least), bands(least)]
+        numbers = [np.array([xxhash.xxh64_intdigest(whole)], np.uint64), print_of(shingles), sketch(shingles, least), bands(least)]
         return xxhash.xxh3_128_hexdigest(whole), np.concatenate(numbers).view(np.int64), len(shingles)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,6 +312,16 @@ def band_links(texts: DataFrame, small_group: int = SMALL_GROUP, chunk: int = CH
     return _key_links(rows, "_id", "_sketch", SKETCH_DISTANCE, small_group, chunk)
 
 
+def print_links(texts: DataFrame, distance: int = PRINT_DISTANCE, small_group: int = SMALL_GROUP, chunk: int = CHUNK) -> DataFrame:
+    """Links ``a, b`` between ``_id`` s that join the same components as all whose fingerprints are within ``distance``, by the pigeonhole index."""
+    # Of equal fingerprints one text stands for all, so the index holds each once.
+    prints = Stored(texts.groupBy("_fp").agg(F.min("_id").alias("_rep")))
+    equal = texts.join(prints.df, "_fp").where("_id <> _rep").select(F.col("_id").alias("a"), F.col("_rep").alias("b"))
+    end = lambda c: prints.df.select(F.col("_fp").alias(c), F.col("_rep").alias(f"_{c}"))
+    near = links(prints.df, distance, small_group, chunk).join(end("a"), "a").join(end("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    return equal.unionByName(near)
+
+
 def _key_links(rows: DataFrame, name: str, bits: str, distance: int, small_group: int, chunk: int) -> DataFrame:
     """Links ``a, b`` between ``name`` s of rows with one ``_part, _key``, an end of them ``_own``, whose ``bits`` are within ``distance``.
 
@@ -447,14 +469,15 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of ``df`` whose id is the smallest of their group; of rows that repeat such an id, all stay. All columns are kept.
 
     Texts with the same words (A-Z lower-cased) are one group. Others link if they share ``similarity`` of their
-    five-word shingles, whatever the edit; ``BAND`` tells how many such links candidates miss at 0.8. A group is what
+    five-word shingles, whatever the edit. Candidates are fingerprints within ``PRINT_DISTANCE`` bits and texts that share a band
+    of minima; ``BAND`` tells how many links at 0.8 the bands alone miss. A group is what
     links reach. Null and empty texts are one group; a text of fewer words is one shingle. A null id never
     stands for a group that has another, and texts that only null ids hold link to no other text.
     """
     own = Stored(sketches(df, id_col, text_col))
-    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_sketch", *BANDS, "_size")])
+    once = own.df.groupBy("_node").agg(F.min("_doc").alias("_least"), *[F.min(c).alias(c) for c in ("_id", "_fp", "_sketch", *BANDS, "_size")])
     texts = Stored(once)
-    rough = Stored(components(band_links(texts.df)))
+    rough = Stored(components(band_links(texts.df).unionByName(print_links(texts.df.select("_id", "_fp")))))
     roots = components(verified_links(texts.df, rough.df, df, id_col, text_col, similarity))
     placed = Stored(texts.df.join(roots, F.col("_node") == F.col("node"), "left").select("_node", "_least", F.coalesce("root", "_node").alias("_root")))
     # A text stays if its id is the least of its group; only groups of several texts need the second aggregate.

@@ -213,6 +213,44 @@ def test_near_copies_match_brute_force_on_similarity(spark, monkeypatch, small,
     assert 40 < len(want) < 150 and {r.doc_id for r in simhash.drop_near_duplicates(df).collect()} == want
 
 
+@pytest.mark.parametrize("small,chunk", [(16, 8192), (0, 8)])
+def test_index_of_fingerprints_joins_all_texts_within_its_distance(spark, small, chunk):
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 12, np.uint64)
+    rows = []
+    for i in range(150):
+        fp = int(base[i % 12])
+        for b in rng.choice(64, rng.integers(0, 5), replace=False):
+            fp ^= 1 << int(b)
+        rows.append((1000 + i, int(np.array(fp, np.uint64).view(np.int64))))
+    rows += [(2000 + i, rows[0][1]) for i in range(20)]  # many texts of one fingerprint
+    found = simhash.print_links(spark.createDataFrame(rows, "_id long, _fp long"), 3, small, chunk).collect()
+    fps = dict(rows)
+    parent = {i: i for i in fps}
+
+    def top(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    assert all((fps[r.a] ^ fps[r.b]).bit_count() <= 3 or ((fps[r.a] ^ fps[r.b]) & ((1 << 64) - 1)).bit_count() <= 3 for r in found)
+    for r in found:
+        parent[top(r.a)] = top(r.b)
+    ids = list(fps)
+    for x, i in enumerate(ids):
+        for j in ids[:x]:
+            if ((fps[i] ^ fps[j]) & ((1 << 64) - 1)).bit_count() <= 3:
+                assert top(i) == top(j)
+
+
+def test_fingerprints_of_shingle_sets_follow_their_majority():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 5, 70_000):
+        h = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
+        want = sum(1 << b for b in range(64) if 2 * int(((h >> np.uint64(b)) & np.uint64(1)).sum()) > n)
+        assert int(simhash.print_of(h)[0]) == want
+
+
 def test_sketches_follow_similarity():
     rng = np.random.default_rng(3)
     x = rng.integers(0, 1 << 63, 3000, np.uint64)
