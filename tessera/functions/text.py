@@ -105,6 +105,15 @@ def first_block(c: Column) -> Column:
     return F.when(cut == "", c).otherwise(cut)
 
 
+def first_structured_block(c: Column) -> Column:
+    """The first tagged block of the trimmed text, behind the thoughts if they come before it; all of it without one. What else was said is dropped."""
+    t = F.trim(c, F.lit(" \t\n\x0b\x0c\r"))
+    block = F.regexp_extract(t, r"(?s)<tool_call>.*?</tool_call>|<answer>.*?</answer>", 0)
+    think = F.regexp_extract(t, r"(?s)<think>.*?</think>", 0)
+    before = (think != "") & (F.instr(t, think) <= F.instr(t, block))
+    return F.when(block == "", t).otherwise(F.concat(F.when(before, think).otherwise(""), block))
+
+
 def is_timestamp(c: Column) -> Column:
     return F.coalesce(F.trim(c).rlike(r"^[0-9]+(\.[0-9]+)?s$"), F.lit(False))
 

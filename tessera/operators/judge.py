@@ -43,29 +43,34 @@ def capped_images(counts: Sequence[Column], most: int = MAX_IMAGES) -> list[Colu
     return out
 
 
-def annotate(df: DataFrame, key: str, candidate: Column, prompt: Column, judge: Callable[[list[str]], list[str]], label: str = "judgement") -> DataFrame:
-    """Add ``label``: the judge's text for candidates without one; other rows keep theirs. The judge sees Arrow batches.
+def annotate(df: DataFrame, candidate: Column, prompt: Column, judge: Callable[[list[str]], list[str]], label: str = "judgement") -> DataFrame:
+    """Add ``label``: the judge's text for candidates without one; other rows keep theirs. Rows are judged where they are, so repeated ones stay as many.
 
-    A batch that fails is tried row by row, and a row that fails gets null.
+    The judge sees the candidates of an Arrow batch. A batch that fails is tried row by row, and a row that fails gets null.
     """
-    todo = candidate & F.col(label).isNull()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            prompts = b["p"].tolist()
+    def asked(prompts: list[str]) -> list[str | None]:
+        try:
+            said = judge(prompts) if prompts else []
+            if len(said) == len(prompts):
+                return list(said)
+        except Exception:  # noqa: BLE001
+            pass
+        out: list[str | None] = []
+        for p in prompts:
             try:
-                said = judge(prompts)
-                if len(said) != len(prompts):
-                    raise ValueError("the judge gave another number of texts")
+                out.append(judge([p])[0])
             except Exception:  # noqa: BLE001
-                said = []
-                for p in prompts:
-                    try:
-                        said += judge([p])[:1]
-                    except Exception:  # noqa: BLE001
-                        said.append(None)
-            yield pd.DataFrame({"k": b["k"], "said": said})
-
-    kind = dict(df.dtypes)[key]
-    new = df.where(todo).select(F.col(key).alias("k"), prompt.alias("p")).mapInPandas(run, f"k {kind}, said string")
-    return df.join(new, F.col(key) == F.col("k"), "left").withColumn(label, F.coalesce(label, "said")).drop("k", "said")
+                out.append(None)
+        return out
+
+    @F.pandas_udf("string")
+    def say(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for todo, prompts in batches:
+            out = pd.Series([None] * len(prompts), dtype=object)
+            chosen = todo.fillna(False).to_numpy(bool)
+            out[chosen] = asked(prompts[chosen].tolist())
+            yield out
+
+    said = say.asNondeterministic()(candidate & F.col(label).isNull(), prompt)  # so that the optimizer asks once
+    return df.withColumn("_said", said).withColumn(label, F.coalesce(label, "_said")).drop("_said")

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.numeric import unit
+from tessera.functions.text import category, claim_error, first_structured_block
 
 from .verify import alert_status as timing
 from .verify import failure_reasons
@@ -21,6 +22,8 @@ SCORES = ["sufficiency", "necessity", "alertability", "counterfactual_faithfulne
 REQUIRED = [
     "verification_mode", "selected_window_ids", "verification_decision", "recommended_action", "sufficiency_score", "necessity_score", "alertability_score", "counterfactual_faithfulness",
 ]
+# What makes a verify call a report of its own.
+COMPACTED = ["verification_decision", "recommended_action", "sufficiency_score", "necessity_score", "alertability_score", "counterfactual_faithfulness", "selected_window_ids", "selected_evidence_moment_ids"]
 
 
 def _get(p: Column, path: str) -> Column:
@@ -138,3 +141,49 @@ def judge_labels(p: Column) -> Column:
         F.struct(*[F.round(c, 6).alias(s) for s, c in scores.items()]).alias("scores"), F.when(said.isin(*STATUS_OF), said).otherwise(by_status).alias("decision"),
         F.trim(F.coalesce(_first_of(p, "teacher_judge_rationale", "rationale", "explanation"), F.lit(""))).alias("rationale"),
     )
+
+
+def compact_report(p: Column) -> Column:
+    """A verify call's arguments in short (JSON text): mode, decision, action, scores, claim, alert and selections, without query and reasons.
+
+    Null where a claim or alert names no valid category. Fields that are null or blank are left out, and so are claims and
+    alerts that hold nothing else.
+    """
+    decision = report_decision(p)
+    said = _lower(_get(p, "recommended_action"))
+    action = F.when(said.isin(*ACTION_OF.values()), said).otherwise(_mapped(decision, ACTION_OF, "continue_search"))
+    score = lambda k: F.round(score_of(_get(p, k)), 6)
+    wrong = F.lit(False)
+    parts = {}
+    for name, times, required in (("claim", ("earliest_alert_sec",), True), ("alert", ("alert_sec", "earliest_alert_sec"), False)):
+        o = _get(p, name)
+        here = F.coalesce(o.startswith("{"), F.lit(False)) & (F.coalesce(o, F.lit("{}")) != "{}")
+        existence, label = _get(p, f"{name}.existence"), _get(p, f"{name}.category")
+        told = F.trim(F.coalesce(label, F.lit(""))) != ""
+        kind = F.when(told, category(label, existence))
+        wrong = wrong | (here & claim_error(existence, kind, required).isNotNull())
+        text = lambda c: F.when(F.trim(c) != "", c)
+        fields = [text(existence).alias("existence"), kind.alias("category"), *[F.try_parse_json(_get(p, f"{name}.{t}")).alias(t) for t in times]]
+        if name == "alert":
+            fields = [text(_get(p, "alert.decision")).alias("decision"), *fields]
+        held = F.struct(*fields)
+        parts[name] = F.when(here & (F.to_json(held) != "{}"), held)
+    some = lambda v: F.when(F.size(v) > 0, v)
+    return F.when(~wrong, F.to_json(F.struct(
+        mode_of(_first_of(p, "verification_mode"), F.lit("reward_only")).alias("verification_mode"), decision.alias("verification_decision"), action.alias("recommended_action"), score("sufficiency_score").alias("sufficiency_score"),
+        score("necessity_score").alias("necessity_score"), score("alertability_score").alias("alertability_score"), score("counterfactual_faithfulness").alias("counterfactual_faithfulness"), parts["claim"].alias("claim"), parts["alert"].alias("alert"),
+        some(string_list(_first_of(p, "selected_window_ids", "verified_window_ids", "best_effort_window_ids"))).alias("selected_window_ids"),
+        some(string_list(_first_of(p, "selected_evidence_moment_ids", "evidence_moment_ids", "candidate_evidence_moment_ids"))).alias("selected_evidence_moment_ids"),
+    )))
+
+
+def compact_verify_call(text: Column) -> Column:
+    """A reply cut to its first structured block; a verify call that reports on itself in its short form, behind the thoughts. Other calls stay as they are."""
+    cut = first_structured_block(text)
+    call = F.trim(F.regexp_extract(cut, r"(?s)<tool_call>(.*?)</tool_call>", 1))
+    args = F.get_json_object(call, "$.arguments")
+    keys = F.coalesce(F.json_object_keys(args), F.array().cast("array<string>"))
+    reports = F.coalesce((F.get_json_object(call, "$.name") == "verify_hypothesis") & F.arrays_overlap(keys, F.array(*[F.lit(k) for k in COMPACTED])), F.lit(False))
+    short = F.when(reports, compact_report(args))
+    think = F.regexp_extract(cut, r"(?s)^<think>.*?</think>", 0)
+    return F.when(short.isNull(), cut).otherwise(F.concat(think, F.lit('<tool_call>{"name":"verify_hypothesis","arguments":'), short, F.lit("}</tool_call>")))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from tessera.functions.intervals import overlap_share
 from tessera.functions.numeric import unit
 
+from .precedence import first_filled
+
 WINDOW = "struct<window_id:string,evidence_id:string,kind:string,role:string,start_sec:double,end_sec:double>"
 # How much each support counts, the overlap that makes a hit, and an alert's tolerance in seconds.
 SUPPORT = {"exist_support": 0.20, "category_support": 0.20, "temporal_support": 0.20, "precursor_support": 0.10, "alert_support": 0.20, "counterfactual_support": 0.10}
@@ -301,3 +303,22 @@ def counterfactuals(df: DataFrame, keys: list[str], branches: str = "branches",
     rows = rows.withColumns({"group_reward_mean": mean, "group_reward_std": spread, "selected_evidence_ids": evidence_ids(F.col("ledger"), F.col("selected_window_ids"))})
     z = F.when(F.col("group_reward_std") <= eps, 0.0).otherwise((F.col("branch_reward") - F.col("group_reward_mean")) / (F.col("group_reward_std") + eps))
     return rows.withColumn("local_advantage", F.round(z, 6)).withColumns({k: F.round(k, 6) for k in ("group_reward_mean", "group_reward_std")})
+
+
+def attach_verdicts(df: DataFrame, force: bool = False, name: str = "offline_verifier") -> DataFrame:
+    """``name`` filled with a final verdict where it is null, or everywhere if ``force``; verdicts that are there stay.
+
+    Beside what ``verdicts`` reads of a record (but for ``chosen, has_alert, alert_sec, mode``): ``turns`` (in order, structs of
+    ``verified`` window ids and ``alert_sec``, null without an alert), ``active`` window ids, and the state's ``alerts`` (structs of
+    ``alert_sec``). The windows are those of the last turn that verified some, else the active ones, else the ledger's; the alert
+    is the state's last one, else that of the last turn with one.
+    """
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    verified = last(F.filter("turns", lambda t: F.size(t["verified"]) > 0))["verified"]
+    chosen = first_filled(verified=verified, active=F.col("active"), ledger=_ids(F.col("ledger")))["ids"]
+    turn = last(F.filter("turns", lambda t: t["alert_sec"].isNotNull()))["alert_sec"]
+    has, sec = F.size("alerts") > 0, last(F.col("alerts"))["alert_sec"]
+    asked = df.withColumns({"chosen": chosen, "has_alert": F.coalesce(has, F.lit(False)) | turn.isNotNull(), "alert_sec": F.when(has, sec).otherwise(turn), "mode": F.lit("final_check")})
+    out = verdicts(asked, "_new")
+    new = F.col("_new") if force else F.coalesce(F.col(name).cast(out.schema["_new"].dataType.simpleString()), "_new") if name in df.columns else F.col("_new")
+    return out.withColumn(name, new).drop("_new", *[c for c in ("chosen", "has_alert", "alert_sec", "mode") if c not in df.columns])

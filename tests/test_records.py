@@ -52,5 +52,7 @@ def test_judge_packages(spark):
         return [p.upper() for p in prompts]
 
     many = spark.createDataFrame([(i, f"p{i}", "kept" if i == 3 else None) for i in range(10)], "id long, p string, judgement string").coalesce(1)
-    out = {r.id: r.judgement for r in judge.annotate(many, "id", F.col("id") != 5, F.col("p"), flaky).collect()}
+    out = {r.id: r.judgement for r in judge.annotate(many, F.col("id") != 5, F.col("p"), flaky).collect()}
     assert out == {i: {3: "kept", 5: None, 9: None}.get(i, f"P{i}") for i in range(10)}
+    twice = judge.annotate(many.unionAll(many), F.col("id") != 5, F.col("p"), flaky)
+    assert twice.count() == 20 and sorted(r.judgement or "" for r in twice.collect()) == sorted((v or "") for v in [*out.values()] * 2)
