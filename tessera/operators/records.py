@@ -49,6 +49,28 @@ def take_places(df: DataFrame, ordinal: str, places: Sequence[int]) -> DataFrame
     return df.join(F.broadcast(wanted), F.col(ordinal) == F.col("_place")).drop("_place")  # a list that someone typed
 
 
+def rollout_specs(df: DataFrame, ordinal: str, start: int, iteration: int, count: int, generations: int) -> DataFrame:
+    """The rows of one iteration, once for each generation: ``count`` of them in a circle from ``start`` plus what the iterations before took.
+
+    ``ordinal`` counts from 0 without holes. Rows are picked where they are, by their distance from the first one; a table of
+    fewer rows than ``count`` gives each once.
+    """
+    size = df.agg(F.count(F.lit(1)).alias("_n"))
+    away = F.pmod(F.col(ordinal) - (start + iteration * count), F.col("_n"))
+    picked = df.crossJoin(F.broadcast(size)).where(away < count)  # one row
+    return picked.select(
+        F.col(ordinal).alias("dataset_index"), *[c for c in df.columns if c != ordinal], F.explode(F.sequence(F.lit(0), F.lit(generations - 1))).alias("generation_id"),
+        F.lpad(F.col(ordinal).cast("string"), 6, "0").alias("group_id"),
+    )
+
+
+def at_cadence(df: DataFrame, ordinal: str, every: int) -> DataFrame:
+    """The rows at which a run over all of them reports: the first, the last, and each ``every``-th, with ``done`` (from 1) and ``total``."""
+    size = df.agg(F.count(F.lit(1)).alias("total"))
+    done = F.col(ordinal) + 1
+    return df.crossJoin(F.broadcast(size)).withColumn("done", done).where((done == 1) | (done == F.col("total")) | (done % every == 0) if every > 0 else (done == 1) | (done == F.col("total")))
+
+
 def judge_candidate(action: Column, tool: Column, payload_name: Column) -> Column:
     """Whether a second judge may look at an example: a tool call (or nothing said), of the verifier by name or else by its payload."""
     a, t = F.lower(F.trim(F.coalesce(action, F.lit("")))), F.trim(F.coalesce(tool, F.lit("")))

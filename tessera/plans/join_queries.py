@@ -194,14 +194,12 @@ def shard_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH p AS (SELECT list_distinct(list(p_partkey)) AS ids, count(DISTINCT p_partkey) AS n FROM part),
-i AS (SELECT (13 + 5 * 24 + r.range) % n AS idx, r.range AS at_ FROM p, range(0, 24) r)
-SELECT idx AS dataset_index, CAST(g.range AS INTEGER) AS generation_id, lpad(CAST(idx AS VARCHAR), 6, '0') AS group_id FROM i, range(0, 4) g""")
+WITH p AS (SELECT p_partkey, p_brand, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS n FROM part)
+SELECT i AS dataset_index, p_partkey, p_brand, CAST(g.range AS INTEGER) AS generation_id, lpad(CAST(i AS VARCHAR), 6, '0') AS group_id FROM p, range(0, 4) g WHERE (i - (13 + 5 * 24)) % n >= 0 AND (i - (13 + 5 * 24)) % n < 24 OR (i - (13 + 5 * 24)) % n + n < 24 AND (i - (13 + 5 * 24)) % n < 0""")
 def rollout_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A circular run of indices for one iteration, each for every generation."""
-    n = table(spark, sf_dir, "part").agg(F.count_distinct("p_partkey").alias("n"))
-    i = n.select("n", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("a")).select(F.pmod(F.lit(13 + 5 * 24) + F.col("a"), F.col("n")).alias("dataset_index"))
-    return i.select("dataset_index", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("generation_id")).withColumn("group_id", F.lpad(F.col("dataset_index").cast("string"), 6, "0"))
+    """The parts of one iteration, a circular run of 24 by their order, each for every generation."""
+    p = sh.numbered(table(spark, sf_dir, "part").select("p_partkey", "p_brand"), ["p_partkey"])
+    return rc.rollout_specs(p, "ordinal", start=13, iteration=5, count=24, generations=4).select("dataset_index", "p_partkey", "p_brand", "generation_id", "group_id")
 
 
 @query("""
@@ -237,10 +235,13 @@ def token_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", w.alias("w")).select("vec_id", *[F.round(F.get("w", F.lit(i)), 6).alias(n) for i, n in enumerate(("first_weight", "second_weight", "empty_weight"))])
 
 
-@query("SELECT CAST(range AS BIGINT) AS i FROM range(1, 1001) WHERE range = 1 OR range = 1000 OR range % 64 = 0")
+@query("""
+WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS i, count(*) OVER () AS n FROM orders)
+SELECT o_orderkey, i AS done, round(i / CAST(n AS DOUBLE), 6) AS share FROM o WHERE i = 1 OR i = n OR i % 64 = 0""")
 def progress_cadence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first, the last and every 64th of a thousand steps."""
-    return spark.range(1, 1001).select(F.col("id").alias("i")).where("i = 1 OR i = 1000 OR i % 64 = 0")
+    """The orders at which a run over all of them would report: the first, the last and every 64th."""
+    o = sh.numbered(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"])
+    return rc.at_cadence(o, "ordinal", 64).select("o_orderkey", "done", F.round(F.col("done") / F.col("total"), 6).alias("share"))
 
 
 @query("""

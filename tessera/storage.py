@@ -1,10 +1,16 @@
-"""Tables in the folder that the driver and all executors share."""
+"""Tables in the folder that the driver and all executors share.
+
+Operators that store tables run jobs while their result is built. What a result reads stays until the interpreter ends, or
+until the ``scope`` around it does.
+"""
 
 from __future__ import annotations
 
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,5 +67,17 @@ class Stored:
         _scratch.remove((self.spark, self.path))
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Drop, at the end, all tables that operators stored inside. For callers who have consumed a result: it can't be read afterwards."""
+    before = len(_scratch)
+    try:
+        yield
+    finally:
+        for spark, path in _scratch[before:]:
+            drop_path(spark, path)
+        del _scratch[before:]
+
+
 def stored(df: DataFrame) -> DataFrame:
     return Stored(df).df

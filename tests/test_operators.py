@@ -545,3 +545,27 @@ def test_quantiles_by_rank_equal_numpy(spark):
     assert "none" not in got
     p = {r.k: r for r in aggregates.profile(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
     assert p["none"].n == 0 and p["none"].median is None and p["one"].p99 == 7.0 and p[None].median == round(float(np.quantile([v for i, v in rows if i is None and v is not None], 0.5)), 6)
+
+
+def test_iterations_go_round_and_reports_keep_their_cadence(spark):
+    df = spark.range(10).select(F.col("id").alias("ordinal"), (F.col("id") * 10).alias("v"))
+    got = [(r.dataset_index, r.v, r.generation_id, r.group_id) for r in records.rollout_specs(df, "ordinal", 3, 2, 4, 2).collect()]
+    assert sorted(got) == [(i, 10 * i, g, f"{i:06d}") for i in (1, 2, 3, 4) for g in (0, 1)]
+    assert sorted(r.dataset_index for r in records.rollout_specs(df, "ordinal", 8, 0, 4, 1).collect()) == [0, 1, 8, 9]
+    assert records.rollout_specs(df, "ordinal", 0, 7, 40, 1).count() == 10 and records.rollout_specs(df.limit(0), "ordinal", 0, 0, 4, 1).count() == 0
+    assert sorted(r.done for r in records.at_cadence(df, "ordinal", 4).collect()) == [1, 4, 8, 10] and sorted(r.done for r in records.at_cadence(df, "ordinal", 0).collect()) == [1, 10]
+
+
+def test_a_scope_drops_what_was_stored_inside(spark):
+    from tessera import storage
+
+    outer = storage.Stored(spark.range(3))
+    with storage.scope():
+        inner = storage.Stored(spark.range(4))
+        early = storage.Stored(spark.range(5))
+        early.drop()
+        assert inner.df.count() == 4
+    with pytest.raises(Exception, match="(?i)not exist|FILE_NOT_EXIST|PATH_NOT_FOUND"):
+        spark.read.parquet(inner.path).count()
+    assert outer.df.count() == 3
+    outer.drop()
