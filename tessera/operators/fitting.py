@@ -118,8 +118,8 @@ def token_weights(char_weights: Column, offsets: Column) -> Column:
 
     def mean(o: Column) -> Column:
         start, end = F.greatest(o["start"], F.lit(0)), F.least(o["end"], F.size(char_weights))
-        part = F.slice(char_weights, start + 1, F.greatest(end - start, F.lit(0)))
-        return F.when(end > start, F.aggregate(part, F.lit(0.0), lambda n, x: n + x) / (end - start)).otherwise(F.lit(1.0))
+        total = F.aggregate(F.sequence(start, end - 1), F.lit(0.0), lambda n, i: n + F.get(char_weights, i))  # by place: a slice would copy the whole list for each token
+        return F.when(end > start, total / (end - start)).otherwise(F.lit(1.0))
 
     return F.transform(offsets, mean)
 
@@ -142,7 +142,8 @@ def token_advantages(parts: Column, offsets: Column, count: Column, base: Column
     def spread(advantage: Column, char_weights: Column) -> Column:
         def normal(w: Column) -> Column:
             mean = F.aggregate(w, F.lit(0.0), lambda n, x: n + x) / F.size(w)
-            return F.transform(w, lambda x: advantage * (x / F.when(mean <= 1e-8, F.lit(1.0)).otherwise(mean)))
+            factor = advantage / F.when(mean <= 1e-8, F.lit(1.0)).otherwise(mean)
+            return F.get(F.transform(F.array(factor), lambda f: F.transform(w, lambda x: f * x)), 0)  # bound, so that it is computed once for all tokens
 
         flat = F.transform(offsets, lambda o: F.lit(1.0))
         w = F.when(F.size(char_weights) > 0, token_weights(char_weights, offsets)).otherwise(flat)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.storage import stored
+
 from .records import candidate_count, proposal_fallback
 from .sequence import gap_clusters
 from .vectors import dot, greedy_map, kernel, normalized
@@ -22,14 +24,20 @@ WINDOW = "struct<start_frame:int,end_frame:int,start_sec:double,end_sec:double,f
 
 
 def _encoded(requests: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
-    """For each request: positive texts that aren't blank, those of them with a vector, and all vectors with their weights."""
+    """For each request: how many positive texts aren't blank, how many of them have a vector, and the sum of all vectors by their signed weights.
+
+    Scores are sums of weighted products, so one product with that sum gives the same.
+    """
     each = requests.select(key, F.explode_outer("texts").alias("t")).select(key, F.trim("t.text").alias("text"), "t.weight", "t.positive")
     named = each.where("text <> ''").join(vectors.select("text", "vector"), "text", "left")
     signed = F.struct(F.when(F.col("positive"), F.col("weight")).otherwise(-F.col("weight")).alias("w"), normalized(F.col("vector")).alias("v"), "text", "positive")
-    return named.groupBy(key).agg(
+    held = named.groupBy(key).agg(
         F.count_if("positive").alias("_positive"), F.count_if(F.col("positive") & F.col("vector").isNotNull()).alias("_encoded"),
-        F.array_sort(F.collect_list(F.when(F.col("vector").isNotNull(), signed))).alias("_queries"),
+        F.array_sort(F.collect_list(F.when(F.col("vector").isNotNull(), signed))).alias("_each"),
     )
+    none = F.transform(F.get("_each", F.lit(0))["v"], lambda x: F.lit(0.0))
+    total = F.aggregate("_each", none, lambda t, q: F.zip_with(t, q["v"], lambda a, b: a + q["w"] * b))
+    return held.select(key, "_positive", "_encoded", total.alias("_query"))
 
 
 def candidates(requests: DataFrame, frames: DataFrame, vectors: DataFrame, key: str = "request_id", top_k: int = 8, merge_gap: float = 1.0) -> DataFrame:
@@ -50,11 +58,11 @@ def candidates(requests: DataFrame, frames: DataFrame, vectors: DataFrame, key:
     asked = asked.withColumns({"_from": first.cast("int"), "_to": F.greatest(last, first).cast("int")})
     asked = asked.withColumn("_span", F.greatest(F.least(F.col("_to"), F.col("_n") - 1) - F.col("_from") + 1, F.lit(0)))
     served = asked.where("NOT _bad AND has_encoder AND _encoded > 0")
-    pool = served.select(key, "clip", "_from", "_to", "_queries", "fps", candidate_count(F.col("_span"), F.col("num_frames"), F.lit(top_k)).alias("_most"))
-    met = pool.join(frames.where(~bad), "clip").where("frame_index BETWEEN _from AND _to")
-    unit = normalized(F.col("vector"))
-    score = F.get(F.transform(F.array(unit), lambda u: F.aggregate("_queries", F.lit(0.0), lambda n, q: n + q["w"] * dot(u, q["v"]))), 0)
-    scored = met.select(key, "fps", "_most", F.col("frame_index").cast("int").alias("frame"), unit.alias("unit"), F.round(score, 9).alias("score"))  # a new name: inside a lambda an alias would hide its own column
+    pool = served.select(key, "clip", "_from", "_to", "_query", "fps", candidate_count(F.col("_span"), F.col("num_frames"), F.lit(top_k)).alias("_most"))
+    # A frame is normalized once, not for each request that looks at it; under a new name, as inside a lambda an alias would hide its own column.
+    units = frames.where(~bad).select("clip", F.col("frame_index").cast("int").alias("frame"), normalized(F.col("vector")).alias("unit"))
+    met = pool.join(units, "clip").where("frame BETWEEN _from AND _to")
+    scored = met.select(key, "fps", "_most", "frame", "unit", F.round(dot(F.col("unit"), F.col("_query")), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), "frame"))
     head = scored.withColumn("rank", rank).where(F.col("rank") <= max(MOST_CANDIDATES, top_k)).where(F.col("rank") <= F.col("_most"))
     gap = F.greatest(F.bround(merge_gap * fps, 0), F.lit(1))
@@ -99,9 +107,9 @@ def propose(requests: DataFrame, frames: DataFrame, vectors: DataFrame, key: str
     """One row for each request: ``backend, fallback_reason, n_frames, windows, candidate_frames, candidate_scores, selected_frames, selected_scores``.
 
     ``backend``: its name where the choice worked, ``feature_topk`` where the best frames stand in for it (``dpp_failure``: the
-    kernel isn't finite), ``uniform`` where nothing is proposed. See ``candidates`` for the rest.
+    kernel isn't finite), ``uniform`` where nothing is proposed. See ``candidates`` for the rest. Building the result runs jobs.
     """
-    found = candidates(requests, frames, vectors, key, top_k, merge_gap)
+    found = stored(candidates(requests, frames, vectors, key, top_k, merge_gap))  # read twice below
 
     def pick(batches):  # noqa: ANN001, ANN202
         for b in batches:

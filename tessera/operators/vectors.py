@@ -17,7 +17,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     norm = F.greatest(F.sqrt(dot(v, v)), F.lit(1e-8))
-    return F.transform(v, lambda x: x.cast("double") / norm)
+    return F.get(F.transform(F.array(norm), lambda n: F.transform(v, lambda x: x.cast("double") / n)), 0)  # bound, so that it is computed once for all components
 
 
 def weighted_scores(frames: DataFrame, queries: DataFrame, id_col: str, vec_col: str) -> DataFrame:

@@ -63,13 +63,16 @@ SELECT conv_id, turn, CAST(max(want) AS INTEGER) AS n_tokens, round(coalesce(sum
 FROM z GROUP BY conv_id, turn""")
 def token_advantages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Advantages of the tokens (words) of each answer from two components, for one token less, as many, or one more than it has words."""
-    a = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text", F.split("text", " ", -1).alias("w"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("all"))
-    step = lambda s, x: F.struct((s["at"] + F.length(x) + 1).alias("at"), F.array_append(s["all"], F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("end"))).alias("all"))
-    upper = _marked(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2.0, 1.0)
-    part = lambda advantage, weight, chars: F.struct(advantage.alias("advantage"), F.lit(weight).alias("weight"), chars.alias("char_weights"))
-    parts = F.array(part((F.length("text") - 200) / F.lit(200.0), 1.0, upper), part((F.col("turn") - 3) / F.lit(4.0), 0.5, _marked(F.col("text"), "aeiou", 0.0, 1.0)))
-    adv = ft.token_advantages(parts, F.aggregate("w", start, step)["all"], F.size("w") + (F.col("turn") % 3).cast("int") - 1, F.lit(0.25), upper)
+    a = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", "text")
+    # Words lie between the places of spaces.
+    spaces = F.filter(F.transform(F.split("text", ""), lambda c, i: F.when(c == " ", i)), lambda i: i.isNotNull())
+    a = a.withColumn("spaces", spaces)
+    span = lambda s, e: F.struct(s.alias("start"), e.alias("end"))
+    offsets = F.zip_with(F.concat(F.array(F.lit(0)), F.transform("spaces", lambda i: i + 1)), F.concat("spaces", F.array(F.length("text"))), span)
+    a = a.withColumns({"offsets": offsets, "upper": _marked(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2.0, 1.0), "vowels": _marked(F.col("text"), "aeiou", 0.0, 1.0)})
+    part = lambda advantage, weight, chars: F.struct(advantage.alias("advantage"), F.lit(weight).alias("weight"), F.col(chars).alias("char_weights"))
+    a = a.withColumn("parts", F.array(part((F.length("text") - 200) / F.lit(200.0), 1.0, "upper"), part((F.col("turn") - 3) / F.lit(4.0), 0.5, "vowels")))
+    adv = ft.token_advantages(F.col("parts"), F.col("offsets"), F.size("offsets") + (F.col("turn") % 3).cast("int") - 1, F.lit(0.25), F.col("upper"))
     done = a.select("conv_id", "turn", adv.alias("v"))
     total = F.aggregate("v", F.lit(0.0), lambda n, x: n + x)
     return done.select("conv_id", "turn", F.size("v").alias("n_tokens"), F.round(total, 6).alias("total"), F.round(F.get("v", F.lit(0)), 6).alias("first_value"), F.round(F.try_element_at("v", F.lit(-1)), 6).alias("last_value"))

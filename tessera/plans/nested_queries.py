@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators import credit as cr
 from tessera.operators import nested as ns
+from tessera.operators import self_teacher as st
+from tessera.operators import verify as vf
 
 from .registry import EP, episodes, query, table
 
@@ -19,7 +21,7 @@ WITH {EP},
 a AS (SELECT episode_id, count(*) AS n, avg(value) AS reward, count(*) FILTER (WHERE tool_name = 'seek_evidence') AS seeks, min(start_sec) FILTER (WHERE tool_name = 'emit_alert') AS alert, max(value) FILTER (WHERE tool_name = 'verify_hypothesis') AS v FROM ep GROUP BY episode_id),
 s AS (SELECT *, CASE WHEN v > 480 THEN 'complete' WHEN v > 400 THEN 'incomplete' WHEN v > 300 THEN 'odd' END AS primary_status, CASE WHEN alert > 86400 THEN 'late' WHEN alert IS NOT NULL THEN 'justified' END AS alert_status FROM a),
 t AS (SELECT count(*) AS n FROM s),
-p AS (SELECT 'reward.total' AS path, NULL AS value, round(reward, 3) AS x FROM s UNION ALL SELECT 'reward.parts.search', NULL, seeks FROM s UNION ALL SELECT 'reward.parts.turns', NULL, n FROM s WHERE n > 60
+p AS (SELECT 'reward.total' AS path, NULL AS value, round(reward + 1e-9, 3) AS x FROM s UNION ALL SELECT 'reward.parts.search', NULL, seeks FROM s UNION ALL SELECT 'reward.parts.turns', NULL, n FROM s WHERE n > 60
       UNION ALL SELECT 'search.first.0', NULL, seeks FROM s UNION ALL SELECT 'search.first.1', NULL, n FROM s),
 g AS (SELECT path, CAST(NULL AS VARCHAR) AS value, count(*) AS c, avg(x) AS mean, min(x) AS least, max(x) AS most FROM p GROUP BY path
       UNION ALL SELECT 'status.alert', alert_status, count(*), NULL, NULL, NULL FROM s WHERE alert_status IS NOT NULL GROUP BY alert_status
@@ -36,7 +38,7 @@ def nested_score_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     alert = F.when(F.col("alert") > 86400, "late").when(F.col("alert").isNotNull(), "justified")
     parts = F.struct(F.col("seeks").alias("search"), F.when(n > 60, n).alias("turns"))
     record = F.struct(
-        F.struct(F.round("reward", 3).alias("total"), parts.alias("parts")).alias("reward"), F.struct(primary.alias("primary"), alert.alias("alert"), F.lit("x").alias("_note")).alias("status"), F.struct(F.array("seeks", "n").alias("first")).alias("search"),
+        F.struct(F.round(F.col("reward") + 1e-9, 3).alias("total"), parts.alias("parts")).alias("reward"), F.struct(primary.alias("primary"), alert.alias("alert"), F.lit("x").alias("_note")).alias("status"), F.struct(F.array("seeks", "n").alias("first")).alias("search"),
     )
     s = ns.summarize(a.select(F.parse_json(F.to_json(record)).alias("record")), "record", 4, {"status.primary": STATUSES})
     return s.select("path", "value", "n", *[F.round(c, 6).alias(c) for c in ("share", "mean", "least", "most")])
@@ -99,3 +101,45 @@ def counterfactual_credit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     e = cr.counterfactual_examples(turns, groups, E)
     return e.select(E, S, "tool_name", *[F.round(f"components.{c}", 6).alias(c) for c in ("search_local", "alert_local", "evidence_local", "teacher_local")], F.size("group_ids").alias("n_groups"), F.round("advantage", 6).alias("advantage"))
+
+
+@query(f"""
+WITH {EP},
+l AS (SELECT *, count(*) FILTER (WHERE tool_name = 'seek_evidence') OVER w AS n, count(*) FILTER (WHERE tool_name = 'seek_evidence' AND k % 2 = 0) OVER w AS kept FROM ep WINDOW w AS (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)),
+s AS (SELECT *, least(1, value / 500) AS suff, k / CAST(100 AS DOUBLE) AS nec, 1 - least(1, value / 500) AS able, k / CAST(200 AS DOUBLE) AS fair, ['sufficient', 'insufficient', 'misaligned', 'redundant'][k % 4 + 1] AS decision, [1.0, -0.35, -1.0, 0.35][k % 4 + 1] AS worth, value / 1000 - 0.2 AS t FROM l WHERE valid),
+q AS (SELECT *, greatest(-1, least(1, 0.35 * worth + 0.20 * (2 * suff - 1) + 0.15 * (2 * nec - 1) + 0.15 * (2 * fair - 1) + 0.15 * (2 * able - 1))) AS q FROM s),
+ev AS (SELECT *, greatest(n, 1) AS d, least(kept, 2) AS few, 2 * suff - 1 AS a, 2 * nec - 1 AS b, 2 * fair - 1 AS c, CASE WHEN decision IN ('misaligned', 'redundant') THEN 1 ELSE -0.5 END AS odd FROM q WHERE tool_name = 'verify_hypothesis'),
+e2 AS (SELECT *, greatest(-1, least(1, 0.35 * q + 0.2 * a - 0.2 * b + 0.1 * c - 0.1)) AS full_, greatest(-1, least(1, 0.45 * q + 0.2 * a + 0.2 * b + 0.1 * c + 0.05 * t - 0.025 * kept / d)) AS keep_, greatest(-1, least(1, 0.35 * q + 0.2 * a + 0.3 * b + 0.1 * c + 0.05 * t - 0.1 * few / d)) AS least_ FROM ev),
+al AS (SELECT *, CASE WHEN k % 3 = 0 THEN 'normal' ELSE 'anomaly' END AS claim, CASE WHEN k % 5 = 0 THEN 'declare_normal' ELSE 'soft_alert' END AS said, (k - 60) / CAST(10 AS DOUBLE) AS late FROM q WHERE tool_name = 'emit_alert'),
+a2 AS (SELECT *, CASE WHEN claim = 'anomaly' THEN CASE WHEN said = 'soft_alert' THEN 1 ELSE -1 END ELSE CASE WHEN said = 'soft_alert' THEN -1 ELSE 1 END END AS fits, CASE WHEN late <= 0.5 THEN 1 ELSE greatest(-1, 1 - 0.1 * late) END AS timely, CASE claim WHEN 'normal' THEN 0.75 ELSE -0.65 END AS hold FROM al),
+b AS (
+  SELECT episode_id, step_index, 'evidence' AS kind, 'full_ledger' AS branch, CASE WHEN kept = 0 THEN greatest(-1, least(1, full_ + 0.35)) WHEN decision = 'redundant' THEN greatest(-1, full_ - 0.15) ELSE full_ END AS reward, n AS picked FROM e2
+  UNION ALL SELECT episode_id, step_index, 'evidence', 'keep_selected', CASE WHEN kept = 0 THEN greatest(-1, keep_ - 0.35) ELSE keep_ END, kept FROM e2
+  UNION ALL SELECT episode_id, step_index, 'evidence', 'drop_selected', greatest(-1, least(1, -0.45 * a - 0.2 * q + 0.2 * odd - 0.05 * t)), n - kept FROM e2
+  UNION ALL SELECT episode_id, step_index, 'evidence', 'minimal_subset', CASE WHEN kept = 0 THEN greatest(-1, least_ - 0.25) WHEN decision = 'redundant' THEN least(1, least_ + 0.15) ELSE least_ END, few FROM e2
+  UNION ALL SELECT episode_id, step_index, 'alert', 'alert_now', greatest(-1, least(1, 0.4 * fits + 0.25 * timely + 0.15 * q + 0.1 * (2 * able - 1) + 0.1 * t)), kept FROM a2
+  UNION ALL SELECT episode_id, step_index, 'alert', 'hold_alert', greatest(-1, least(1, 0.55 * hold - 0.2 * fits - 0.15 * CASE WHEN claim = 'anomaly' THEN timely ELSE 0 END - 0.1 * q)), 0 FROM a2),
+g AS (SELECT *, avg(reward) OVER w AS m, stddev_pop(reward) OVER w AS sd FROM b WINDOW w AS (PARTITION BY episode_id, step_index, kind))
+SELECT episode_id, step_index, kind AS group_kind, branch AS branch_type, CAST(picked AS INTEGER) AS n_selected, round(reward + 1e-9, 5) AS branch_reward, round(round(CASE WHEN sd <= 1e-6 THEN 0 ELSE (reward - m) / (sd + 1e-6) END, 6) + 1e-9, 3) AS local_advantage FROM g""")
+def self_teacher_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of alerts and verifications, paid by what the policy reports of itself; the ledger is what the last five turns searched."""
+    own = Window.partitionBy(E).orderBy(S).rowsBetween(-5, 0)
+    t, v, k = F.col("tool_name"), F.col("value"), F.col("k")
+    window = F.struct(
+        F.concat(F.lit("w"), F.col(S).cast("string")).alias("window_id"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("evidence_id"), F.lit("evidence").alias("kind"), F.when(k % 2 == 0, "trigger").otherwise("other").alias("role"),
+        F.col("start_sec"), F.col("end_sec"),
+    )
+    ep = episodes(spark, sf_dir).withColumn("ledger", F.collect_list(F.when(t == "seek_evidence", window)).over(own).cast(f"array<{vf.WINDOW}>"))
+    ids = F.transform(F.filter("ledger", lambda w: w["role"] == "trigger"), lambda w: w["window_id"])
+    suff = F.least(F.lit(1.0), v / 500)
+    scores = F.struct(suff.alias("sufficiency"), (k / 100).alias("necessity"), (1 - suff).alias("alertability"), (k / 200).alias("counterfactual_faithfulness"))
+    decision = F.when(k % 4 == 0, "Sufficient").when(k % 4 == 1, "insufficient").when(k % 4 == 2, "misaligned").otherwise("redundant")
+    none = F.lit(None).cast("string")
+    signal = st.policy_signal([scores], [none, decision], [F.lit("")], [none], v / 1000 - 0.2)
+    e = ep.where("valid AND tool_name IN ('emit_alert', 'verify_hypothesis')").withColumns({"signal": signal, "ids": ids})
+    empty = F.array().cast("array<string>")
+    alert = st.alert_branches(F.col("signal"), F.when(k % 3 == 0, "normal").otherwise("Anomaly"), F.lit(6.0), F.when(k % 5 == 0, "declare_normal").otherwise("soft_alert"), k / 10, F.col("ids"), vf.evidence_ids(F.col("ledger"), F.col("ids")), F.col("ledger"), empty)
+    evidence = st.evidence_branches(F.col("signal"), F.col("ledger"), F.col("ids"))
+    rows = e.withColumn("branches", F.when(t == "emit_alert", alert).otherwise(evidence).cast(f"array<{st.BRANCH}>"))
+    r = st.ranked(rows, [E, S])
+    return r.select(E, S, "group_kind", "branch_type", F.size("selected_window_ids").alias("n_selected"), F.round(F.col("branch_reward") + 1e-9, 5).alias("branch_reward"), F.round(F.col("local_advantage") + 1e-9, 3).alias("local_advantage"))

@@ -56,7 +56,7 @@ ws AS (SELECT request_id, count(*) AS n, string_agg(a || '-' || z, ',' ORDER BY
 hs AS (SELECT request_id, count(*) AS n, max(round(score, 6)) FILTER (WHERE rank = 1) - max(round(score, 6)) FILTER (WHERE rank = 5) AS drop5 FROM h GROUP BY request_id)
 SELECT r.request_id, coalesce(early, CASE WHEN ws.n IS NULL THEN 'empty_candidate_windows' END, 'none') AS fallback_reason, CAST(coalesce(hs.n, 0) AS INTEGER) AS n_candidates, coalesce(windows, '') AS windows,
        CAST(CASE WHEN ws.n IS NULL THEN 0 ELSE greatest(least(CASE WHEN turn > 0 THEN least(8, turn) ELSE 8 END, CASE WHEN greatest(e - s, 1e-6) < 2 THEN 1 ELSE 2 END + CASE WHEN hs.n >= 5 AND drop5 < 0.08 THEN 1 ELSE 0 END + CASE WHEN ws.n >= 3 THEN 1 ELSE 0 END), 1) END AS INTEGER) AS n_frames,
-       round(best, 4) AS best_score
+       round(best + 1e-9, 4) AS best_score
 FROM r LEFT JOIN ws ON r.request_id = ws.request_id LEFT JOIN hs ON r.request_id = hs.request_id""")
 def proposal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates, windows, budgets and reasons of each turn's request, all but the choice itself."""
@@ -64,7 +64,7 @@ def proposal_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     windows = F.array_join(F.transform("windows", lambda w: F.concat_ws("-", w["start_frame"].cast("string"), w["end_frame"].cast("string"))), ",")
     return found.select(
         "request_id", F.coalesce("fallback_reason", F.lit("none")).alias("fallback_reason"), F.coalesce(F.size("ranked"), F.lit(0)).alias("n_candidates"), windows.alias("windows"), "n_frames",
-        F.round(F.get("windows", F.lit(0))["score_max"], 4).alias("best_score"),
+        F.round(F.get("windows", F.lit(0))["score_max"] + 1e-9, 4).alias("best_score"),
     )
 
 
