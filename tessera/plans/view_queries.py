@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import oracle as oc
 from tessera.operators import views as vw
 
 from .registry import query, table
@@ -76,3 +77,15 @@ def clip_views(spark: SparkSession, sf_dir: str) -> DataFrame:
         at("anomaly_interval_sec", 1).alias("anomaly_end"), t["earliest_alert_sec"].alias("alert_sec"), F.size(m).alias("n_moments"), n("precursor").alias("n_precursor"), n("trigger").alias("n_trigger"), n("evidence").alias("n_evidence"),
         F.round(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["end_sec"] - x["start_sec"]), 4).alias("seconds"), F.col("structured_target.category").alias("category"), F.size("qa_pairs").alias("n_questions"), "upgraded",
     )
+
+
+@query()
+def oracle_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each step of the oracle trajectories of all records, with the times it looks at and what its verifier answers."""
+    rows = oc.trajectories(vw.train_view(_records(spark, sf_dir)))
+    get = lambda c, k: F.get_json_object(c, f"$.{k}")
+    a = F.col("arguments")
+    return rows.select(
+        "video_id", "step_index", "tool_name", get(a, "start_sec").cast("double").alias("start_sec"), get(a, "end_sec").cast("double").alias("end_sec"), get(a, "query").alias("query"), F.coalesce(get(a, "decision"), get(a, "verification_decision")).alias("decision"),
+        F.coalesce(F.json_array_length(get(a, "selected_window_ids")), F.lit(0)).alias("n_selected"), F.sha2(F.coalesce(a, F.lit("")).cast("binary"), 256).alias("arguments_sha256"),
+    )
