@@ -37,6 +37,33 @@ def follow_up(content: Column, tool: Column, action: Column) -> Column:
     return F.when(text.isNull(), content).otherwise(F.concat(content, F.array(more)))
 
 
+def visual_content(indices: Column, fps: Column, frames: Column, n_frames: Column, video: Column, footer: Column) -> Column:
+    """Frames as content: each one's time as text, then its image by reference, and ``footer`` last.
+
+    ``indices`` are places in the sampled frames, of which ``frames`` holds the numbers in the video (it may be shorter) and
+    ``n_frames`` counts those that are there: others show their time alone.
+    """
+    at = lambda i: F.round(i / F.greatest(F.coalesce(F.nullif(fps, F.lit(0.0)), F.lit(1.0)), F.lit(1e-6)), 6)
+    none, blank = F.lit(None).cast("string"), F.lit(None).cast("binary")
+    item = lambda kind, text, ref: F.struct(F.lit(kind).alias("type"), text.alias("text"), blank.alias("image"), ref.alias("image_ref"))
+    no_ref = F.lit(None).cast(REF)
+
+    def one(i: Column) -> Column:
+        ref = F.struct(video.alias("video_path"), i.cast("int").alias("sampled_frame_index"), F.when(i >= 0, F.get(frames, i)).cast("int").alias("raw_frame_index"), at(i).alias("timestamp_sec"))
+        time = item("text", F.format_string("%.3fs", F.bround(at(i), 3)), no_ref)
+        return F.when((i >= 0) & (i < n_frames), F.array(time, item("image", none, ref.cast(REF)))).otherwise(F.array(time))
+
+    return F.concat(F.flatten(F.transform(F.coalesce(indices, F.array().cast("array<int>")), one)), F.array(item("text", footer, no_ref)))
+
+
+def initial_messages(system: Column, user: Column, preview: Column, fps: Column, frames: Column, n_frames: Column, video: Column) -> Column:
+    """An episode's first two messages: the system's text, and the previewed frames (none for null) with the user's text behind them."""
+    no_name = F.lit(None).cast("string")
+    message = lambda role, content: F.struct(F.lit(role).alias("role"), no_name.alias("name"), content.alias("content"))
+    no_frames = F.array().cast("array<int>")
+    return F.array(message("system", visual_content(no_frames, fps, frames, n_frames, video, system)), message("user", visual_content(F.coalesce(preview, no_frames), fps, frames, n_frames, video, user)))
+
+
 def compact(payload: Column) -> Column:
     """A struct as JSON without null fields."""
     return F.to_json(payload, {"ignoreNullFields": "true"})

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import messages as ms
 from tessera.operators import oracle as oc
+from tessera.operators import references as rf
 from tessera.operators import views as vw
 
 from .registry import query, table
@@ -89,3 +91,50 @@ def oracle_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
         "video_id", "step_index", "tool_name", get(a, "start_sec").cast("double").alias("start_sec"), get(a, "end_sec").cast("double").alias("end_sec"), get(a, "query").alias("query"), F.coalesce(get(a, "decision"), get(a, "verification_decision")).alias("decision"),
         F.coalesce(F.json_array_length(get(a, "selected_window_ids")), F.lit(0)).alias("n_selected"), F.sha2(F.coalesce(a, F.lit("")).cast("binary"), 256).alias("arguments_sha256"),
     )
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, CASE l_linenumber WHEN 1 THEN l_quantity WHEN 2 THEN l_quantity WHEN 3 THEN NULL ELSE l_quantity END AS a, l_quantity + CASE WHEN l_linenumber < 3 THEN 5 ELSE 1 END AS b, l_linenumber AS i, l_returnflag FROM lineitem),
+w AS (SELECT l_orderkey, count(*) FILTER (WHERE a IS NOT NULL AND l_returnflag <> 'N') AS nt, sum(a) FILTER (WHERE a IS NOT NULL AND l_returnflag <> 'N') AS st, sum(b - a) FILTER (WHERE a IS NOT NULL AND l_returnflag <> 'N') AS lt,
+             count(*) FILTER (WHERE a IS NOT NULL) AS ng, sum(a) AS sg, sum(b - a) FILTER (WHERE a IS NOT NULL) AS lg FROM l GROUP BY l_orderkey),
+o AS (SELECT o_orderkey, o_orderstatus, substr(o_orderpriority, 1, 1) AS rank, o_custkey FROM orders)
+SELECT o_orderkey, CASE WHEN rank <= '2' THEN 'own' WHEN o_orderstatus = 'F' THEN 'anomaly' ELSE 'normal' END AS existence, CASE WHEN rank <= '2' THEN NULL ELSE o_orderstatus END AS category, CASE WHEN rank <= '2' THEN CAST(1.5 AS DOUBLE) WHEN rank = '3' THEN CAST(o_custkey AS DOUBLE) END AS earliest_alert_sec,
+       CASE WHEN rank <= '2' THEN NULL ELSE 'none' END AS counterfactual_type, CAST(CASE WHEN coalesce(nt, 0) > 0 THEN nt ELSE coalesce(ng, 0) END AS INTEGER) AS n_windows, round(CASE WHEN coalesce(nt, 0) > 0 THEN st ELSE coalesce(sg, 0) END, 4) AS starts, round(CASE WHEN coalesce(nt, 0) > 0 THEN lt ELSE coalesce(lg, 0) END, 4) AS seconds
+FROM o LEFT JOIN w ON o_orderkey = l_orderkey""")
+def reference_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets of orders, their own for ranks 1 and 2, and windows of their lines: the tools' list leaves out new ones, so orders of those alone take the target's."""
+    c, q, i = F.col, F.col("l_quantity"), F.col("l_linenumber")
+    none = F.lit(None).cast("string")
+    span = F.when(i == 1, F.array(q, q + 5)).when(i == 2, F.array(q + 5, q)).when(i == 3, F.array(q)).otherwise(F.array().cast("array<double>"))
+    entry = F.struct(c("l_linenumber").cast("string").alias("moment_id"), c("l_returnflag").alias("role"), none.alias("description"), span.alias("window"), F.when(i > 3, F.array(q, q + 1)).alias("window_sec"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("k")).agg(F.collect_list(F.when(c("l_returnflag") != "N", entry)).alias("tools"), F.collect_list(entry).alias("own"))
+    o = table(spark, sf_dir, "orders").join(lines, c("o_orderkey") == c("k"), "left")
+    rank, times = F.substring("o_orderpriority", 1, 1), F.lit(None).cast("array<double>")
+    whole = "struct<existence:string,category:string,severity:int,hard_normal:boolean,anomaly_interval_sec:array<double>,precursor_interval_sec:array<double>,earliest_alert_sec:double,counterfactual_type:string>"
+    own = F.when(rank <= "2", F.from_json(F.lit('{"existence":"own","earliest_alert_sec":1.5}'), whole))
+    label = F.struct((c("o_orderstatus") == "F").alias("is_anomaly"), c("o_orderstatus").alias("category"), F.lit(1).alias("severity"), F.lit(False).alias("hard_normal"))
+    temporal = F.struct(times.alias("anomaly_interval_sec"), times.alias("precursor_interval_sec"), F.when(rank == "3", c("o_custkey").cast("double")).alias("earliest_alert_sec"))
+    r = o.select("o_orderkey", rf.target(own, label, temporal, none).alias("t"), rf.windows(c("tools"), c("own")).alias("w"))
+    add = lambda f: F.round(F.aggregate("w", F.lit(0.0), lambda n, x: n + f(x)), 4)
+    return r.select(
+        "o_orderkey", "t.existence", "t.category", "t.earliest_alert_sec", "t.counterfactual_type", F.size("w").alias("n_windows"), add(lambda x: x["start_sec"]).alias("starts"), add(lambda x: x["end_sec"] - x["start_sec"]).alias("seconds"),
+    )
+
+
+@query("""
+WITH e AS (SELECT label, count(*) AS n, min(vec_id) AS v, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label),
+i AS (SELECT label, n, ids, r.range AS place, r.range * (n // 4) + CASE WHEN r.range = 4 THEN 7 ELSE 0 END AS i FROM e, range(0, 5) r)
+SELECT CAST(label AS INTEGER) AS label, CAST(7 + count(*) FILTER (WHERE i < n) AS INTEGER) AS n_items, string_agg(printf('%.3fs', i / CAST(4 AS DOUBLE)), ' ' ORDER BY place) AS times, coalesce(sum(i) FILTER (WHERE i < n), 0)::BIGINT AS sampled, coalesce(sum(ids[i + 1]) FILTER (WHERE i < n), 0)::BIGINT AS raw
+FROM i GROUP BY label""")
+def first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An episode's first messages on each label's clip, with five previewed frames of which the last lies behind the end."""
+    e = table(spark, sf_dir, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("frames"), F.count(F.lit(1)).cast("int").alias("n"))
+    step = F.floor(F.col("n") / 4).cast("int")
+    preview = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda p: p * step + F.when(p == 4, 7).otherwise(0))
+    m = ms.initial_messages(F.lit("rules"), F.lit("task"), preview, F.lit(4.0), F.col("frames"), F.col("n"), F.lit("v"))
+    items = F.flatten(F.transform(m, lambda x: x["content"]))
+    d = e.select("label", items.alias("items"))
+    images = F.filter("items", lambda x: x["type"] == "image")
+    times = F.filter("items", lambda x: (x["type"] == "text") & x["text"].rlike("^[0-9]"))
+    add = lambda k: F.aggregate(images, F.lit(0).cast("long"), lambda n, x: n + x["image_ref"][k])
+    return d.select("label", F.size("items").alias("n_items"), F.array_join(F.transform(times, lambda x: x["text"]), " ").alias("times"), add("sampled_frame_index").alias("sampled"), add("raw_frame_index").alias("raw"))
