@@ -168,7 +168,8 @@ def resample(
     """
     if not 0 < buckets <= 1 << 16:
         raise ValueError("buckets must lie between 1 and 65,536")
-    rows = Stored(features(df, id_col, text_col, longest, buckets))
+    # A number of its own splits rows that repeat an id over ranges.
+    rows = Stored(features(df, id_col, text_col, longest, buckets).withColumn("row", F.monotonically_increasing_id()))
     # The target's id is of no use: its text stands for it.
     wanted = features(target.select(F.lit(0).alias("id"), col(target_text).alias("text")), "id", "text", longest, buckets)
     gain = gains(bucket_counts(rows.df, buckets), bucket_counts(wanted, buckets))
@@ -178,10 +179,10 @@ def resample(
         for p in packed:
             yield pd.Series([int(gain[np.frombuffer(x, "<u2")].sum()) // max(len(x) // 2, 1) for x in p], dtype="int64")
 
-    scored = rows.df.select("id", "n_features", weight("buckets").alias("weight"), (F.col("n_words") < min_words).alias("out"))
+    scored = rows.df.select("id", "row", "n_features", weight("buckets").alias("weight"), (F.col("n_words") < min_words).alias("out"))
     scored = scored.withColumn("score", F.col("weight") + gumbel(F.col("id"), seed)).withColumn("less", -F.col("score")).withColumn("absent", F.col("id").isNull())
     n = rows.df.agg(F.count_if(F.col("n_words") >= min_words)).first()[0]
-    ordered = numbered(scored, ["out", "less", "absent", "id"])
+    ordered = numbered(scored, ["out", "less", "absent", "id", "n_features", "row"])
     drawn = ~F.col("out") & (F.col("ordinal") < percent * n // 100)
     rows.drop()
     return ordered.select(F.col("id").alias(id_col), "n_features", "weight", "score", F.when(drawn, F.col("ordinal") + 1).alias("rank"))
