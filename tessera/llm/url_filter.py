@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +56,28 @@ def filter_rule(line: str, rank: int = 0) -> UrlRule:
     return UrlRule(line, regex, tuple(tokens), "allow" if allow else "block", rank + allow, False)
 
 
+def read_filter_list(lines: Iterable[str], rank: int = 0) -> tuple[list[UrlRule], list[str]]:
+    """Rules of a published filter list, and the lines that a url alone can't decide.
+
+    Comments (``!``), the header (``[``) and blank lines are neither. Lines that hide parts of a page (``##`` and its kin) and those
+    with options (behind ``$``: who asks, from where, for what) or a scheme are left over; ``/.../`` is a regular expression. A rule that
+    stands twice counts once.
+    """
+    rules: dict[str, UrlRule] = {}
+    left: list[str] = []
+    for line in (x.strip() for x in lines):
+        if not line or line[0] in "![":
+            continue
+        body = line.removeprefix("@@")
+        if "://" in body or re.search(r"#[@?$%]*#", body) or re.search(r"\$~?[a-z0-9_-]+(?:=[^/]*)?(?:,~?[a-z0-9_-]+(?:=[^/]*)?)*$", body) or not re.sub(r"[|*^]", "", body):
+            left.append(line)
+        elif len(body) > 2 and body.startswith("/") and body.endswith("/") and re.search(r"[\\^$+?()\[\]{}|*]", body):
+            rules.setdefault(line, UrlRule(line, "(?is)" + body[1:-1], (), "allow" if line.startswith("@@") else "block", rank + line.startswith("@@"), False))
+        else:
+            rules.setdefault(line, filter_rule(line, rank))
+    return list(rules.values()), left
+
+
 # The rules that every judgement starts from.
 HOST_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 #: Words that mark sites and sections of no use as training text, and the places in a url where each counts.

@@ -389,6 +389,16 @@ def test_filter_lines_match_plain_version(spark):
     assert len(url_filter.default_rules()) > 250 and all(r.tokens for r in url_filter.default_rules())
 
 
+def test_published_filter_lists_are_read(spark):
+    lines = ["[Filter list 2.0]", "! title", "", "||ads.example^", "||ads.example^", "@@||ads.example/fine/", "/banner/*/img^", "example.com##.ad", "example.com#@#.ad", "||track.example^$third-party,domain=a.com", "|https://", r"/\/ad[0-9]+\.gif/", "*", "/plain/"]
+    rules, left = url_filter.read_filter_list(lines)
+    assert [r.name for r in rules] == ["||ads.example^", "@@||ads.example/fine/", "/banner/*/img^", r"/\/ad[0-9]+\.gif/", "/plain/"]
+    assert left == ["example.com##.ad", "example.com#@#.ad", "||track.example^$third-party,domain=a.com", "|https://", "*"]
+    urls = {"http://ads.example/x": "block", "http://my.ads.example/fine/x": "allow", "http://a.b/banner/1/img": "block", "http://a.b/AD12.gif": "block", "http://a.b/adx.gif": "allow", "http://a.b/plain/": "block", "http://a.b/plainly/": "allow"}
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.url: r.verdict for r in url_filter.judge_urls(df, rules).collect()} == urls
+
+
 def test_urls_with_clashing_columns_and_blocked_by_the_filter_list(spark):
     df = spark.createDataFrame([(1, "https://a.org/en/1?page=2&ref=x", 7, "h"), (2, "https://a.org/library/?ref=x", 8, "h"), (3, "https://poker.org/", 9, "h")], "page_id long, url string, _best int, _host string")
     df = df.select("*", *[F.lit(n).alias(n) for n in ("id", "subject", "_id", "_subject", "row", "best", "word", "chosen", "a.b")])
