@@ -53,14 +53,23 @@ def clip_share(windows: Column, duration: Column) -> Column:
     return F.coalesce(unit(covered(windows) / F.greatest(of, F.lit(1e-6))), F.lit(0.0))
 
 
-def role_score(windows: Column, roles: Column, *names: str) -> Column:
-    """The best share of any reference window of these roles that a window overlaps."""
+def best_overlap(windows: Column, held: Column) -> Column:
+    """The best share of any of the reference windows ``held`` that a window overlaps."""
 
     def best(o: Column) -> Column:
         s, e = F.least(o["start_sec"], o["end_sec"]), F.greatest(o["start_sec"], o["end_sec"])
         return F.array_max(F.transform(windows, lambda w: overlap_share(F.least(w["start_sec"], w["end_sec"]), F.greatest(w["start_sec"], w["end_sec"]), s, e)))
 
-    return F.coalesce(F.array_max(F.transform(F.filter(roles, lambda o: F.lower(o["role"]).isin(*names)), best)), F.lit(0.0))
+    return F.coalesce(F.array_max(F.transform(held, best)), F.lit(0.0))
+
+
+def of_roles(roles: Column, *names: str) -> Column:
+    return F.filter(roles, lambda o: F.lower(o["role"]).isin(*names))
+
+
+def role_score(windows: Column, roles: Column, *names: str) -> Column:
+    """The best share of any reference window of these roles that a window overlaps."""
+    return best_overlap(windows, of_roles(roles, *names))
 
 
 def supports(trigger: Column, peak: Column, confirm: Column, precursor: Column, covers: Column, covers_precursor: Column) -> dict[str, Column]:
@@ -95,10 +104,9 @@ def overall(s: dict[str, Column], has_precursor: Column) -> Column:
 
 
 def _facts(w: Column) -> Column:
-    role = lambda *names: role_score(w, F.col("roles"), *names)
+    role = lambda k: best_overlap(w, F.col("_held")[k]).alias(k)
     return F.struct(
-        F.size(w).alias("n"), clip_share(w, F.col("duration")).alias("clip"), role("trigger").alias("t"), role("peak_action", "peak").alias("p"), role("confirmation", "aftermath").alias("c"),
-        role("precursor").alias("pre"), coverage(w, F.col("anomaly")).alias("cover"), coverage(w, F.col("precursor")).alias("cover_pre"),
+        F.size(w).alias("n"), clip_share(w, F.col("duration")).alias("clip"), role("t"), role("p"), role("c"), role("pre"), coverage(w, F.col("anomaly")).alias("cover"), coverage(w, F.col("precursor")).alias("cover_pre"),
     )
 
 
@@ -169,6 +177,9 @@ def verdicts(df: DataFrame, name: str = "verdict") -> DataFrame:
     out = out.withColumn("_kept", _ids(c("_keep")))
     drop = F.filter("_full", lambda w: ~F.coalesce(F.array_contains("_kept", w["window_id"]), F.lit(False)))
     out = out.withColumn("_views", F.array("_full", "_keep", drop, F.filter("_full", lambda w: at.isNull() | (w["start_sec"] <= at))))
+    # Reference windows are told apart by role once, not for each view.
+    held = {"t": ("trigger",), "p": ("peak_action", "peak"), "c": ("confirmation", "aftermath"), "pre": ("precursor",)}
+    out = out.withColumn("_held", F.struct(*[of_roles(c("roles"), *names).alias(k) for k, names in held.items()]))
     out = out.withColumn("_facts", F.transform("_views", _facts)).withColumn("_six", F.transform("_facts", lambda f: _six(f, c("_route"))))
     whole = lambda s: F.struct(*[s[k].alias(k) for k in SUPPORT], F.round(overall({k: s[k] for k in SUPPORT}, applies), 6).alias("overall_support"))
     out = out.withColumn("_scores", F.transform("_six", whole))
@@ -182,7 +193,7 @@ def verdicts(df: DataFrame, name: str = "verdict") -> DataFrame:
         F.struct(*[x.alias(n) for n, x in view.items()]).alias("view_scores"), c("_derived").alias("derived_scores"),
         c("_kept").alias("verified_window_ids"), effort.alias("best_effort_window_ids"), failure_reasons(c("_status"), c("_timing")).alias("failure_reasons"),
     ))
-    return out.drop("_full", "_keep", "_route", "_kept", "_views", "_facts", "_six", "_scores", "_derived", "_status", "_timing")
+    return out.drop("_full", "_keep", "_route", "_kept", "_views", "_held", "_facts", "_six", "_scores", "_derived", "_status", "_timing")
 
 
 def blend(a: Column, b: Column, alpha: float) -> Column:

@@ -129,7 +129,7 @@ r AS (SELECT v.episode_id, v.grp, v.branch, v.status, v.timing,
       FROM verdict v LEFT JOIN nw USING (episode_id, grp, branch) LEFT JOIN ns USING (episode_id) LEFT JOIN clip ON v.episode_id = clip.episode_id AND v.branch = clip.branch),
 q AS (SELECT *, {_r6(REWARD_SQL)} AS reward FROM r),
 z AS (SELECT *, avg(reward) OVER (PARTITION BY episode_id, grp) AS m, stddev_pop(reward) OVER (PARTITION BY episode_id, grp) AS sd FROM q)
-SELECT episode_id, grp AS group_kind, branch AS branch_type, CAST(n_windows AS BIGINT) AS n_windows, status AS primary_status, timing AS alert_status, reward AS branch_reward, round(CASE WHEN sd <= 1e-6 THEN 0 ELSE (reward - m) / (sd + 1e-6) END, 3) AS local_advantage FROM z""")
+SELECT episode_id, grp AS group_kind, branch AS branch_type, CAST(n_windows AS BIGINT) AS n_windows, status AS primary_status, timing AS alert_status, reward AS branch_reward, round(round(CASE WHEN sd <= 1e-6 THEN 0 ELSE (reward - m) / (sd + 1e-6) END, 6) + 1e-9, 3) AS local_advantage FROM z""")
 def counterfactual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every branch of each episode's alert, evidence and search group, with its advantage in its own group."""
     c = F.col
@@ -146,7 +146,7 @@ def counterfactual_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vf.counterfactuals(_measured(_states(spark, sf_dir)).withColumn("branches", branches), [E], delay=1e-5)
     return rows.select(
         E, "group_kind", "branch_type", F.size("selected_window_ids").cast("long").alias("n_windows"), F.col("verdict.primary_status").alias("primary_status"), F.col("verdict.alert_status").alias("alert_status"),
-        "branch_reward", F.round("local_advantage", 3).alias("local_advantage"),
+        "branch_reward", F.round(F.col("local_advantage") + 1e-9, 3).alias("local_advantage"),
     )
 
 
