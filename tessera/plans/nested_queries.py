@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import credit as cr
+from tessera.operators import judge_package as jp
 from tessera.operators import nested as ns
 from tessera.operators import self_teacher as st
 from tessera.operators import verify as vf
@@ -143,3 +144,35 @@ def self_teacher_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.withColumn("branches", F.when(t == "emit_alert", alert).otherwise(evidence).cast(f"array<{st.BRANCH}>"))
     r = st.ranked(rows, [E, S])
     return r.select(E, S, "group_kind", "branch_type", F.size("selected_window_ids").alias("n_selected"), F.round(F.col("branch_reward") + 1e-9, 5).alias("branch_reward"), F.round(F.col("local_advantage") + 1e-9, 3).alias("local_advantage"))
+
+
+@query(f"""
+WITH {EP},
+l AS (SELECT *, list(CASE WHEN tool_name = 'seek_evidence' THEN {{'k': k, 'e': end_sec}} END) OVER (PARTITION BY episode_id ORDER BY step_index ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS w FROM ep),
+v AS (SELECT episode_id, step_index, value, k, start_sec, list_filter(coalesce(w, []), lambda x: x IS NOT NULL) AS w FROM l WHERE tool_name = 'verify_hypothesis'),
+s AS (SELECT *, len(w) AS n, len(list_filter(w, lambda x: x.k % 2 = 0)) AS kept, value > 250 AS alert, CASE k % 3 WHEN 0 THEN 'sufficient' WHEN 1 THEN 'redundant' ELSE 'insufficient' END AS decision FROM v),
+o AS (SELECT *, CASE WHEN kept > 0 THEN list_filter(w, lambda x: x.k % 2 = 0) ELSE w END AS shown_of FROM s),
+p AS (SELECT *, CASE WHEN alert THEN len(shown_of) ELSE least(len(shown_of), 1) END AS prefix, CASE WHEN alert THEN len(shown_of) + len(list_filter(shown_of, lambda x: x.e <= start_sec + 1e-6)) ELSE 2 * least(len(shown_of), 1) END AS pi FROM o),
+r AS (SELECT *, CASE WHEN decision <> 'sufficient' THEN 1 ELSE 0 END + CASE WHEN kept > 1 THEN 1 ELSE 0 END + CASE WHEN alert THEN 1 ELSE 0 END AS reasons, least(2, 2 * n) AS c1, least(2, 2 * n) + least(2, 2 * kept) AS c2, least(5, least(2, 2 * n) + least(2, 2 * kept) + least(2, 2 * (n - kept))) AS c3 FROM p)
+SELECT episode_id, step_index, CAST(kept AS INTEGER) AS n_keep, CAST(n - kept AS INTEGER) AS n_drop, CAST(prefix AS INTEGER) AS n_prefix, CAST(reasons AS INTEGER) AS n_reasons, CASE WHEN reasons > 0 AND n > 0 THEN 'multimodal_visual' ELSE 'text_only' END AS mode,
+       CAST(CASE WHEN reasons > 0 AND n > 0 THEN 1 + 1 + CASE WHEN c1 < 5 THEN 1 ELSE 0 END + CASE WHEN c2 < 5 THEN 1 ELSE 0 END + CASE WHEN c3 < 5 THEN 1 ELSE 0 END + 2 * CASE WHEN c3 < 5 THEN least(5, c3 + least(2, pi)) ELSE 5 END ELSE 5 END AS INTEGER) AS n_items FROM r""")
+def judge_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a judge sees of each verification: the searches of the four turns before it, of which even ones are selected, with two frames each."""
+    own = Window.partitionBy(E).orderBy(S).rowsBetween(-4, -1)
+    c, none = F.col, F.lit(None).cast("string")
+    name = F.concat(F.lit("w"), c(S).cast("string"))
+    image = lambda at: F.struct(name.alias("path"), c(at).alias("timestamp_sec"))
+    window = F.struct(
+        name.alias("window_id"), F.when(c("k") % 2 == 0, "even").otherwise("odd").alias("evidence_id"), none.alias("moment_id"), c("tool_name"), none.alias("role"), none.alias("query"), F.array("start_sec", "end_sec").alias("timestamps_sec"),
+        F.array(image("start_sec"), image("end_sec")).alias("images"),
+    )
+    ep = episodes(spark, sf_dir).withColumn("w", F.collect_list(F.when(c("tool_name") == "seek_evidence", window)).over(own).cast(f"array<{jp.WINDOW}>")).where("tool_name = 'verify_hypothesis'")
+    alert = F.when(c("value") > 250, c("start_sec"))
+    ids = F.array().cast("array<string>")
+    x = ep.withColumn("s", jp.resolved_windows(c("w"), ids, F.array(F.lit("even")), ids)).withColumn("v", jp.views(c("w"), c("s"), alert))
+    images = {v: jp.view_images(c(f"v.{v}"), 2) for v in jp.VIEWS}
+    decision = F.when(c("k") % 3 == 0, "sufficient").when(c("k") % 3 == 1, "redundant").otherwise("insufficient")
+    x = x.withColumn("r", jp.case_reasons(decision, F.lit("finalize"), c("s"), alert.isNotNull()))
+    x = x.withColumn("mode", jp.input_mode(F.lit("auto"), c("r"), sum((F.size(i) for i in images.values()), F.lit(0))))
+    items = jp.content(F.lit("judge"), {v: jp.summary(c(f"v.{v}"), F.lit(f"no {v}")) for v in jp.VIEWS}, images, c("mode"), 5)
+    return x.select(E, S, F.size("s").alias("n_keep"), F.size("v.drop").alias("n_drop"), F.size("v.alert_prefix").alias("n_prefix"), F.size("r").alias("n_reasons"), "mode", F.size(items).alias("n_items"))
