@@ -78,7 +78,9 @@ def _length(span: Column) -> Column:
 
 
 def span_iou(a: Column, b: Column) -> Column:
-    return F.coalesce(iou(a["start"], a["end"], b["start"], b["end"]), F.lit(0.0))
+    """0 where a span or a bound is missing: ``least`` and ``greatest`` skip nulls, so ``iou`` alone would call that a full match."""
+    known = a["start"].isNotNull() & a["end"].isNotNull() & b["start"].isNotNull() & b["end"].isNotNull()
+    return F.when(known, iou(a["start"], a["end"], b["start"], b["end"])).otherwise(F.lit(0.0))
 
 
 def record_metrics(rollouts: DataFrame, references: DataFrame, k: int = 3, least_iou: float = 0.3) -> DataFrame:

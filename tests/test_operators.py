@@ -285,6 +285,13 @@ def test_rollout_evidence_and_validity(spark):
     assert [tuple(x) for x in r.c0] == [(5.0, 6.0), (0.0, 1.0)] and r.c1 == [] and [tuple(x) for x in r.c2] == [(0.0, 1.0), (2.0, 3.0), (5.0, 6.0)] and r.c3 == 0.5
 
 
+def test_a_missing_span_overlaps_nothing(spark):
+    span = lambda s, e: F.struct(lit(s).cast("double").alias("start"), lit(e).cast("double").alias("end"))
+    none, b = lit(None).cast(rollout_metrics.SPAN), span(3, 7)
+    r = one(spark, rollout_metrics.span_iou(none, b), rollout_metrics.span_iou(b, none), rollout_metrics.span_iou(span(3, None), b), rollout_metrics.span_iou(span(5, 7), b))
+    assert (r.c0, r.c1, r.c2, r.c3) == (0.0, 0.0, 0.0, 0.5)
+
+
 def test_greedy_determinants_match_slogdet():
     rng = np.random.default_rng(0)
     for _ in range(20):
