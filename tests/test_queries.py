@@ -1,5 +1,6 @@
 """Each query against its SQL twin in DuckDB, and the driver's contract."""
 
+import datetime
 import importlib
 import sys
 
@@ -52,3 +53,11 @@ def test_entry_works_without_the_training_data_operators(monkeypatch):
     finally:
         monkeypatch.undo()
         importlib.reload(entry)
+
+
+def test_rollouts_without_a_claim_match_no_interval(spark, tmp_path):
+    at = lambda n: datetime.datetime(2024, 1, 1, n)
+    rows = [(0, at(0), 1, "purchase", 10.0, '{"k": 3}'), (1, at(1), 1, "click", 5.0, '{"k": 6}'), (2, at(0), 5, "purchase", 10.0, '{"k": 3}')]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    r = QUERIES["episode_metrics_summary"](spark, str(tmp_path)).first()
+    assert (r.num_records, r.temporal_miou, r.precursor_miou) == (2, 0.0, 0.0)
