@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 # Words that carry no meaning in a query.
 STOPWORDS = ["a", "an", "the", "and", "or", "of", "to", "in", "on", "at", "by", "for", "with", "before", "after", "near", "another", "other", "potential", "look"]
 
@@ -154,8 +156,8 @@ EVENTS = [
 
 def query_kind(normal: Column) -> Column:
     """Of a normal query: a scene's word, then a part that is clothing, then a part that tells an event; else an object."""
-    known = tokens(normal)
-    return (
-        F.when(F.size(known) == 0, "object").when(F.arrays_overlap(known, F.array(*[F.lit(t) for t in SCENE_TERMS])), "scene_context")
+    places = F.array(*[F.lit(t) for t in SCENE_TERMS])
+    return let(tokens(normal), lambda known: (
+        F.when(F.size(known) == 0, "object").when(F.arrays_overlap(known, places), "scene_context")
         .when(normal.rlike("|".join(CLOTHING_TERMS)), "attribute_object").when(normal.rlike("|".join(w for words, _, _ in EVENTS for w in words)), "event_relation").otherwise("object")
-    )
+    ))

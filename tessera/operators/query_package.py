@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import let
 from tessera.functions.text import CLOTHING_TERMS, EVENTS, normal_query, query_kind, tokens
 
 QUERY = "struct<text:string,kind:string,weight:double>"
@@ -45,12 +46,11 @@ def _entries(normal: Column) -> Column:
 def _merged(entries: Column) -> Column:
     """Equal texts once, in order of their first: with the largest weight, and the first kind that isn't a plain object."""
 
-    def one(t: Column) -> Column:
-        same = F.filter(entries, lambda e: e["text"] == t)
+    def one(t: Column, same: Column) -> Column:
         told = F.filter(same, lambda e: e["kind"] != "object")
         return F.struct(t.alias("text"), F.coalesce(F.get(told, F.lit(0))["kind"], F.lit("object")).alias("kind"), F.array_max(F.transform(same, lambda e: e["weight"])).alias("weight"))
 
-    return F.transform(F.array_distinct(F.transform(entries, lambda e: e["text"])), one)
+    return let(entries, lambda all_: F.transform(F.array_distinct(F.transform(all_, lambda e: e["text"])), lambda t: let(F.filter(all_, lambda e: e["text"] == t), lambda same: one(t, same))))
 
 
 def expand_phrases(phrases: Column) -> Column:
@@ -62,15 +62,13 @@ def expand_phrases(phrases: Column) -> Column:
 def _text_or(c: Column) -> Column:
     """The normal form of a text; where that is empty, the text itself."""
     own = F.trim(F.coalesce(c, F.lit("")))
-    normal = normal_query(own)
-    return F.when(normal == "", own).otherwise(normal)
+    return let(own, lambda t: F.coalesce(F.nullif(normal_query(t), F.lit("")), t))
 
 
 def _blank_to(c: Column, *others: Column) -> Column:
     out = F.lit("")
     for x in reversed((c, *others)):
-        t = F.trim(F.coalesce(x, F.lit("")))
-        out = F.when(t == "", out).otherwise(t)
+        out = F.coalesce(F.nullif(F.trim(x), F.lit("")), out)
     return out
 
 
@@ -86,12 +84,12 @@ def normal_package(package: Column, fallback_query: Column | None = None, fallba
     """
     none = F.lit(None).cast("string")
     cue = _blank_to(package["event_cue"], _text_or(fallback_query if fallback_query is not None else none))
-    return F.struct(
+    return let(cue, lambda cue: F.struct(
         _text_or(cue).alias("event_cue"), _texts_or(package["key_objects"]).alias("key_objects"),
         _text_or(_blank_to(package["scene_context"], fallback_scene if fallback_scene is not None else none)).alias("scene_context"),
         _text_or(_blank_to(package["hypothesis"], cue)).alias("hypothesis"), _texts_or(package["negative_constraints"]).alias("negative_constraints"),
         _blank_to(package["rewrite_reason"], rewrite_reason if rewrite_reason is not None else none).alias("rewrite_reason"),
-    )
+    ))
 
 
 def rendered(package: Column) -> tuple[Column, Column]:
@@ -123,44 +121,45 @@ def _moment_words(m: Column) -> Column:
 def supervision(phrases: Column, moments: Column) -> Column:
     """For each phrase: ``query_id, raw_text``, its queries, and the moments (``moment_id, role, start_sec, end_sec, description``) that share a word with one of them."""
 
-    def one(p: Column, i: Column) -> Column:
-        queries = expand_phrases(F.array(p))
-        said = F.flatten(F.transform(queries, lambda q: tokens(q["text"])))
-        linked = F.filter(moments, lambda m: F.arrays_overlap(_moment_words(m), said))
-        named = lambda key: F.filter(F.transform(linked, lambda m: F.coalesce(m[key], F.lit(""))), lambda x: x != "")
-        return F.struct(
-            F.concat(F.lit("pq"), (i + 1).cast("string")).alias("query_id"), F.coalesce(p, F.lit("")).alias("raw_text"), queries.alias("queries"),
-            named("moment_id").alias("linked_moment_ids"), named("role").alias("linked_roles"),
-            F.transform(linked, lambda m: F.struct(F.coalesce(m["start_sec"], F.lit(0.0)).alias("start_sec"), F.coalesce(m["end_sec"], F.lit(0.0)).alias("end_sec"))).alias("linked_windows"),
-        )
+    def one(p: Column, i: Column, told: Column) -> Column:
+        def of(queries: Column, linked: Column) -> Column:
+            named = lambda key: F.filter(F.transform(linked, lambda m: F.coalesce(m["moment"][key], F.lit(""))), lambda x: x != "")
+            return F.struct(
+                F.concat(F.lit("pq"), (i + 1).cast("string")).alias("query_id"), F.coalesce(p, F.lit("")).alias("raw_text"), queries.alias("queries"),
+                named("moment_id").alias("linked_moment_ids"), named("role").alias("linked_roles"),
+                F.transform(linked, lambda m: F.struct(F.coalesce(m["moment"]["start_sec"], F.lit(0.0)).alias("start_sec"), F.coalesce(m["moment"]["end_sec"], F.lit(0.0)).alias("end_sec"))).alias("linked_windows"),
+            )
+
+        said = lambda queries: F.flatten(F.transform(queries, lambda q: tokens(q["text"])))
+        linked = lambda queries: let(said(queries), lambda words: F.filter(told, lambda m: F.arrays_overlap(m["words"], words)))
+        return let(expand_phrases(F.array(p)), lambda queries: let(linked(queries), lambda found: of(queries, found)))
 
-    return F.transform(phrases, one)
+    with_words = F.transform(moments, lambda m: F.struct(m.alias("moment"), _moment_words(m).alias("words")))
+    return let(with_words, lambda told: F.transform(phrases, lambda p, i: one(p, i, told)))
 
 
 def query_for_moment(groups: Column, moment: Column, fallback: Column) -> Column:
     """``text`` and ``source``: the linked query of the largest weight plus share of its words in the moment (the first of equals); else the fallback."""
-    words, id_, role = _moment_words(moment), F.coalesce(moment["moment_id"], F.lit("")), F.coalesce(moment["role"], F.lit(""))
+    id_, role = F.coalesce(moment["moment_id"], F.lit("")), F.coalesce(moment["role"], F.lit(""))
     open_ = lambda g: (id_ == "") | (F.size(g["linked_moment_ids"]) == 0) | F.array_contains(g["linked_moment_ids"], id_) | F.array_contains(g["linked_roles"], role)
 
-    def scored(q: Column) -> Column:
-        own = tokens(q["text"])
-        share = F.when(F.size(own) > 0, F.size(F.array_intersect(own, words)) / F.size(own)).otherwise(F.lit(0.0))
-        return F.struct((q["weight"] + share).alias("score"), q["text"].alias("text"))
-
-    scores = F.transform(F.filter(F.flatten(F.transform(F.filter(groups, open_), lambda g: g["queries"])), lambda q: q["text"] != ""), scored)
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    best = F.get(F.filter(scores, lambda s: s["score"] == top), F.lit(0))["text"]
-    normal = normal_query(fallback)
-    return F.struct(
-        F.coalesce(best, F.when(normal == "", F.coalesce(fallback, F.lit(""))).otherwise(normal)).alias("text"),
+    def scored(q: Column, words: Column) -> Column:
+        share = lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, words)) / F.size(own)).otherwise(F.lit(0.0))
+        return F.struct((q["weight"] + let(tokens(q["text"]), share)).alias("score"), q["text"].alias("text"))
+
+    queries = F.filter(F.flatten(F.transform(F.filter(groups, open_), lambda g: g["queries"])), lambda q: q["text"] != "")
+    scores = let(_moment_words(moment), lambda words: F.transform(queries, lambda q: scored(q, words)))
+    first = lambda all_: let(F.array_max(F.transform(all_, lambda s: s["score"])), lambda top: F.get(F.filter(all_, lambda s: s["score"] == top), F.lit(0))["text"])
+    return let(let(scores, first), lambda best: F.struct(
+        F.coalesce(best, F.nullif(normal_query(fallback), F.lit("")), fallback, F.lit("")).alias("text"),
         F.when(best.isNull(), "role_fallback").otherwise("oracle_key_objects").alias("source"),
-    )
+    ))
 
 
 def _shares(q: Column, said: Column) -> Column:
     """A query's weight plus the share of its words that are said, stopwords too."""
     own = F.array_distinct(F.filter(F.split(normal_query(q["text"]), " "), lambda w: w != ""))
-    return q["weight"] + F.when(F.size(own) > 0, F.size(F.array_intersect(own, said)) / F.size(own)).otherwise(F.lit(0.0))
+    return q["weight"] + let(own, lambda own: F.when(F.size(own) > 0, F.size(F.array_intersect(own, said)) / F.size(own)).otherwise(F.lit(0.0)))
 
 
 def hypothesis_for(role: Column) -> Column:

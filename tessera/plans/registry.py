@@ -28,6 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows dealt over all cores by a key: a file that is small but costs much work a row would else lie in one task."""
+    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 # How event types stand for tools.
 TOOLS = {"view": "scan_timeline", "click": "seek_evidence", "signup": "emit_alert", "error": "verify_hypothesis", "purchase": "finalize_case"}
 

@@ -13,7 +13,7 @@ from tessera.functions.intervals import frame_seconds, frame_window
 from tessera.operators import query_package as qp
 from tessera.operators import self_report as sr
 
-from .registry import EP, episodes, query, table
+from .registry import EP, episodes, query, spread, table
 
 NORMAL_SQL = r"trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce({c}, '')), '[^a-z0-9]+', ' ', 'g'), '\b(the|an|a)\b', ' ', 'g'), ' +', ' ', 'g'))"
 STOP_SQL = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -77,7 +77,7 @@ def token_overlap_link(spark: SparkSession, sf_dir: str) -> DataFrame:
         moment(id_, F.lit("trigger"), F.concat(F.lit("A "), "p_name", F.lit(" falls"))), moment(F.lit(""), F.lit("smoke"), F.concat(F.lower("p_type"), F.lit(" man"))),
         moment(F.lit("ev9"), F.lit(None).cast("string"), F.lit("road")),
     )
-    p = table(spark, sf_dir, "part").select("p_partkey", F.expr(PHRASE_SQL).alias("raw"), moments.alias("m"))
+    p = spread(table(spark, sf_dir, "part"), "p_partkey").select("p_partkey", F.expr(PHRASE_SQL).alias("raw"), moments.alias("m"))
     p = p.withColumn("s", qp.supervision(F.array("raw"), F.col("m")))
     best = qp.query_for_moment(F.col("s"), F.get("m", F.lit(0)), F.lit("A sudden event!"))
     first = F.get("s", F.lit(0))

@@ -292,6 +292,12 @@ def test_a_missing_span_overlaps_nothing(spark):
     assert (r.c0, r.c1, r.c2, r.c3) == (0.0, 0.0, 0.0, 0.5)
 
 
+def test_phrases_are_expanded_once(spark):
+    df = spark.range(1).select(F.array(F.col("id").cast("string")).alias("p"), F.array(F.struct(*[F.lit("x").alias(c) for c in ("moment_id", "role", "description")], *[F.lit(0.0).alias(c) for c in ("start_sec", "end_sec")])).alias("m"))
+    plan = df.select(query_package.supervision(F.col("p"), F.col("m")).alias("s"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("bag snatch") == 1  # each mention of an expansion would be computed anew
+
+
 def test_greedy_determinants_match_slogdet():
     rng = np.random.default_rng(0)
     for _ in range(20):
