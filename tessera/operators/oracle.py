@@ -7,13 +7,14 @@ on one clip's few moments.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .query_package import hypothesis_for, normal_package, query_for_moment, with_package
+from .query_package import HYPOTHESES, OTHER_HYPOTHESIS, query_for_moment, scene_context, with_package
 from .trajectory import ROLES, scan_stride
 
 STEPS = "video_id string, step_index int, tool_name string, arguments string, feedback string"
@@ -44,18 +45,24 @@ def role_query(role: Column) -> Column:
     return out
 
 
-def _spares(scene: Column) -> Column:
-    """Searches that stand in where moments don't suffice, and those of a normal clip's parts, by name."""
+def _normal(text: str) -> str:
+    """``functions.text.normal_query`` of a fixed text."""
+    return " ".join(re.sub(r"\b(the|an|a)\b", " ", re.sub(r"[^a-z0-9]+", " ", text.lower())).split())
 
-    def one(name: str, role: str, query: str, source: str) -> Column:
-        none = F.array().cast("array<string>")
-        package = F.struct(F.lit(query).alias("event_cue"), none.alias("key_objects"), scene.alias("scene_context"), hypothesis_for(F.lit(role)).alias("hypothesis"), none.alias("negative_constraints"), F.lit(source).alias("rewrite_reason"))
-        return F.struct(F.lit(name).alias("name"), F.lit(role).alias("role"), F.lit(query).alias("query"), F.lit(source).alias("source"), normal_package(package, F.lit(query), scene).alias("package"))
 
-    by_role = [one(r, r, ROLE_QUERIES[r], "oracle_role_fallback") for r in ("precursor", "peak_action", "confirmation")]
-    context = [one("broad", "context", BROAD_QUERY, "oracle_context_broad"), one("full", "context", FULL_QUERY, "oracle_context_full")]
-    parts = [one(f"segment{i}", "normal_check", SEGMENT_QUERY.format(i + 1), "oracle_normal_search") for i in range(SEGMENTS)]
-    return F.array(*by_role, *context, *parts)
+def _spares() -> dict[str, dict]:
+    """Searches that stand in where moments don't suffice, and those of a normal clip's parts, by name; the same for all clips but for the scene."""
+
+    def one(role: str, query: str, source: str) -> dict:
+        package = {"event_cue": _normal(query), "key_objects": [], "scene_context": "", "hypothesis": _normal(HYPOTHESES.get(role, OTHER_HYPOTHESIS)), "negative_constraints": [], "rewrite_reason": source}
+        return {"role": role, "query": query, "source": source, "package": package}
+
+    by_role = {r: one(r, ROLE_QUERIES[r], "oracle_role_fallback") for r in ("precursor", "peak_action", "confirmation")}
+    context = {"broad": one("context", BROAD_QUERY, "oracle_context_broad"), "full": one("context", FULL_QUERY, "oracle_context_full")}
+    return by_role | context | {f"segment{i}": one("normal_check", SEGMENT_QUERY.format(i + 1), "oracle_normal_search") for i in range(SEGMENTS)}
+
+
+SPARES = _spares()
 
 
 class _Clip:
@@ -63,7 +70,6 @@ class _Clip:
 
     def __init__(self, clip: dict) -> None:
         self.clip, self.steps = clip, []
-        self.spares = {s["name"]: s for s in clip["spares"]}
         self.windows = 0
         self.duration = round(float(clip.get("duration") or 0.0), 6)
         self.category = clip.get("category")
@@ -79,8 +85,8 @@ class _Clip:
         self.real.append((w, moment.get("moment_id")))
 
     def seek_spare(self, name: str, start: float, end: float) -> str:
-        s = self.spares[name]
-        return self.look("seek_evidence", query=s["query"], query_package=s["package"], start_sec=start, end_sec=end, role=s["role"], query_source=s["source"])
+        s = SPARES[name]
+        return self.look("seek_evidence", query=s["query"], query_package={**s["package"], "scene_context": self.clip["scene"]}, start_sec=start, end_sec=end, role=s["role"], query_source=s["source"])
 
     def alert(self, decision: str) -> None:
         self.steps.append(("emit_alert", {"decision": decision, "existence": "anomaly", "category": self.category, "earliest_alert_sec": self.clip.get("earliest_alert_sec")}, None))
@@ -188,7 +194,7 @@ def trajectories(views: DataFrame) -> DataFrame:
     rows = views.join(moments, c("video_id") == c("_video"), "left")
     clip = F.struct(
         c("video_meta.duration_sec").alias("duration"), c("label.is_anomaly").alias("is_anomaly"), c("label.category").alias("category"), c("temporal.earliest_alert_sec").alias("earliest_alert_sec"), c("temporal.anomaly_interval_sec").alias("anomaly"),
-        c("temporal.precursor_interval_sec").alias("precursor"), F.coalesce("moments", F.array()).alias("moments"), _spares(c("scene.scenario")).alias("spares"), c("structured_target").alias("target"),
+        c("temporal.precursor_interval_sec").alias("precursor"), F.coalesce("moments", F.array()).alias("moments"), scene_context(c("scene.scenario")).alias("scene"), c("structured_target").alias("target"),
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -77,6 +77,11 @@ def _texts_or(c: Column) -> Column:
     return F.array_distinct(F.transform(trimmed, _text_or))
 
 
+def scene_context(scene: Column) -> Column:
+    """A scene as a package holds it: its normal form, empty for none."""
+    return _text_or(_blank_to(scene))
+
+
 def normal_package(package: Column, fallback_query: Column | None = None, fallback_scene: Column | None = None, rewrite_reason: Column | None = None) -> Column:
     """A package (struct of ``event_cue, key_objects, scene_context, hypothesis, negative_constraints, rewrite_reason``) with fallbacks and without repeats.
 

@@ -85,11 +85,10 @@ def clip_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 def oracle_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each step of the oracle trajectories of all records, with the times it looks at and what its verifier answers."""
     rows = oc.trajectories(vw.train_view(_records(spark, sf_dir)))
-    get = lambda c, k: F.get_json_object(c, f"$.{k}")
-    a = F.col("arguments")
-    return rows.select(
-        "video_id", "step_index", "tool_name", get(a, "start_sec").cast("double").alias("start_sec"), get(a, "end_sec").cast("double").alias("end_sec"), get(a, "query").alias("query"), F.coalesce(get(a, "decision"), get(a, "verification_decision")).alias("decision"),
-        F.coalesce(F.json_array_length(get(a, "selected_window_ids")), F.lit(0)).alias("n_selected"), F.sha2(F.coalesce(a, F.lit("")).cast("binary"), 256).alias("arguments_sha256"),
+    keys, a = ("start_sec", "end_sec", "query", "decision", "verification_decision", "selected_window_ids"), F.col("arguments")
+    return rows.select("*", F.json_tuple(a, *keys).alias(*keys)).select(
+        "video_id", "step_index", "tool_name", F.col("start_sec").cast("double").alias("start_sec"), F.col("end_sec").cast("double").alias("end_sec"), "query", F.coalesce("decision", "verification_decision").alias("decision"),
+        F.coalesce(F.json_array_length("selected_window_ids"), F.lit(0)).alias("n_selected"), F.sha2(F.coalesce(a, F.lit("")).cast("binary"), 256).alias("arguments_sha256"),
     )
 
 

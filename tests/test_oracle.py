@@ -2,9 +2,11 @@
 
 import json
 
+from pyspark.sql import functions as F
 from test_views import record
 
 from tessera.operators import oracle as oc
+from tessera.operators import query_package as qp
 from tessera.operators import views as vw
 
 
@@ -59,3 +61,11 @@ def test_a_clip_without_moments_or_interval(spark):
     assert [(a["start_sec"], a["end_sec"]) for t, a, _ in got["v"] if t == "seek_evidence"] == [(0.6, 2.2), (2.6, 4.0), (0.0, 4.0)]
     assert "selected_window_ids" not in got["v"][6][2] and got["v"][1][1]["earliest_alert_sec"] is None
     assert [a["role"] for t, a, _ in got["w"] if t == "seek_evidence"] == ["precursor", "peak_action", "confirmation"]
+
+
+def test_searches_that_all_clips_share_are_no_columns(spark):
+    plan = oc.trajectories(vw.train_view(spark.createDataFrame([record("n")], vw.RECORD)))._jdf.queryExecution().analyzed().toString()
+    assert oc.BROAD_QUERY not in plan
+    for s in oc.SPARES.values():
+        row = spark.range(1).select(qp.normal_query(F.lit(s["query"])), qp.normal_query(qp.hypothesis_for(F.lit(s["role"])))).first()
+        assert tuple(row) == (s["package"]["event_cue"], s["package"]["hypothesis"])
