@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import let
 from tessera.functions.canonical import DEPTH, leaves
 
 from .aggregates import fixed_domain
@@ -37,8 +38,7 @@ def summarize(df: DataFrame, payload: str, depth: int = DEPTH, domains: dict[str
 
 def _numbers(v: Column, path: str) -> Column:
     """A list of numbers; null if it is missing, empty, or holds anything else."""
-    got = F.try_variant_get(v, path, "array<double>")
-    return F.when(F.size(got) > 0, got)
+    return let(F.try_variant_get(v, path, "array<double>"), lambda got: F.when(F.size(got) > 0, got))
 
 
 def frame_signature(fps: Column, frames: Column) -> Column:
@@ -57,18 +57,30 @@ def feature_payload(v: Column, fps: Column | None = None, frames: Column | None
     """
     fps = F.lit(None).cast("double") if fps is None else fps
     frames = F.lit(None).cast("array<int>") if frames is None else frames
-    bare, held = F.try_variant_get(v, "$", MATRIX), F.try_variant_get(v, "$.embeddings", MATRIX)
-    rows = F.coalesce(bare, held)
-    own = bare.isNull()
+    return let(v, lambda v: let(_rows(v), lambda held: F.when(held["rows"].isNotNull(), _layout(v, held["rows"], held["own"], fps, frames))))
+
+
+def _rows(v: Column) -> Column:
+    """The vectors, and whether they come from an object that may hold more."""
+    bare = F.try_variant_get(v, "$", MATRIX)
+    return let(bare, lambda bare: F.struct(F.coalesce(bare, F.try_variant_get(v, "$.embeddings", MATRIX)).alias("rows"), bare.isNull().alias("own")))
+
+
+def _layout(v: Column, rows: Column, own: Column, fps: Column, frames: Column) -> Column:
     text = lambda path, default: F.coalesce(F.when(own, F.nullif(F.try_variant_get(v, path, "string"), F.lit(""))), default)
     rate = F.coalesce(F.when(own, F.nullif(F.try_variant_get(v, "$.fps", "double"), F.lit(0.0))), F.nullif(fps, F.lit(0.0)), F.lit(1.0))
     counted = F.when(F.size(rows) > 0, F.sequence(F.lit(0), F.size(rows) - 1)).otherwise(F.array().cast("array<int>"))
     numbers = F.coalesce(F.when(own, _numbers(v, "$.frame_indices").cast("array<int>")), F.when(F.size(frames) > 0, frames), counted)
-    made = F.transform(numbers, lambda x, i: F.round(i / F.greatest(rate, F.lit(1e-6)), 6))
     times = F.when(own, F.try_variant_get(v, "$.timestamps_sec", "array<double>"))
     width = F.coalesce(F.when(own, F.nullif(F.try_variant_get(v, "$.embedding_dim", "int"), F.lit(0))), F.size(F.get(rows, F.lit(0))), F.lit(0))
-    return F.when(rows.isNotNull(), F.struct(
-        text("$.version", F.when(own, FEATURES).otherwise(BARE)).alias("version"), text("$.model_name", F.when(own, "unknown").otherwise("legacy_tensor")).alias("model_name"), rate.alias("fps"), numbers.alias("frame_indices"),
-        F.when(F.size(times) == F.size(numbers), times).otherwise(made).alias("timestamps_sec"), rows.alias("embeddings"), width.alias("embedding_dim"),
-        F.coalesce(F.when(own, F.try_variant_get(v, "$.normalized", "boolean")), F.lit(False)).alias("normalized"), text("$.frame_cache_signature", frame_signature(rate, numbers)).alias("frame_cache_signature"),
-    ))
+
+    def filled(b: Column) -> Column:
+        rate, numbers, times = b["rate"], b["numbers"], b["times"]
+        made = F.transform(numbers, lambda x, i: F.round(i / F.greatest(rate, F.lit(1e-6)), 6))
+        return F.struct(
+            text("$.version", F.when(own, FEATURES).otherwise(BARE)).alias("version"), text("$.model_name", F.when(own, "unknown").otherwise("legacy_tensor")).alias("model_name"), rate.alias("fps"), numbers.alias("frame_indices"),
+            F.when(F.size(times) == F.size(numbers), times).otherwise(made).alias("timestamps_sec"), rows.alias("embeddings"), width.alias("embedding_dim"),
+            F.coalesce(F.when(own, F.try_variant_get(v, "$.normalized", "boolean")), F.lit(False)).alias("normalized"), text("$.frame_cache_signature", frame_signature(rate, numbers)).alias("frame_cache_signature"),
+        )
+
+    return let(F.struct(rate.alias("rate"), numbers.alias("numbers"), times.alias("times")), filled)

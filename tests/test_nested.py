@@ -72,3 +72,9 @@ def test_payloads_of_all_kinds_share_one_layout(spark):
     assert got[6].embeddings == [] and got[6].embedding_dim == 0 and got[7].frame_indices == [3, 5] and got[7].fps == 2.0
     alone = df.where("i = 0").select(ns.feature_payload(F.parse_json("j")).alias("p")).first().p
     assert (alone.fps, alone.frame_indices, alone.timestamps_sec) == (1.0, [0, 1, 2], [0.0, 1.0, 2.0])
+
+
+def test_payloads_are_parsed_once(spark):
+    text = F.concat(F.col("id").cast("string"), F.lit("mentioned"))
+    plan = spark.range(1).select(ns.feature_payload(F.parse_json(text)).alias("p"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("mentioned") == 1  # in a lambda over frames each mention would be parsed for each frame
