@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.binding import let
 from tessera.functions.numeric import unit
 from tessera.functions.text import category, claim_error, first_structured_block
 
@@ -40,29 +41,23 @@ def _lower(c: Column) -> Column:
 
 def score_of(text: Column) -> Column:
     """A score in [0, 1]; 0 for what is no number."""
-    return F.coalesce(unit(F.when(text == "true", 1.0).when(text == "false", 0.0).otherwise(text.try_cast("double"))), F.lit(0.0))
+    return let(text, lambda t: F.coalesce(unit(F.when(t == "true", 1.0).when(t == "false", 0.0).otherwise(t.try_cast("double"))), F.lit(0.0)))
 
 
 def _first_of(p: Column, *keys: str) -> Column:
     """The first value that isn't missing, null, empty, zero or false."""
-    out = F.lit(None).cast("string")
-    for k in reversed(keys):
-        v = _get(p, k)
-        out = F.when(v.isNotNull() & ~v.isin("", "[]", "{}", "0", "false"), v).otherwise(out)
-    return out
+    return F.coalesce(*[let(_get(p, k), lambda v: F.when(~v.isin("", "[]", "{}", "0", "false"), v)) for k in keys])
 
 
 def string_list(v: Column) -> Column:
     """A JSON list or a single value as trimmed texts, blank ones dropped."""
-    items = F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.isNotNull(), F.array(v))
+    items = let(v, lambda v: F.when(v.startswith("["), F.from_json(v, "array<string>")).when(v.isNotNull(), F.array(v)))
     return F.filter(F.transform(F.coalesce(items, F.array().cast("array<string>")), lambda x: F.trim(F.coalesce(x, F.lit("None")))), lambda x: x != "")
 
 
 def _mapped(c: Column, table: dict[str, str], default: Column | str) -> Column:
-    out = F.lit(default) if isinstance(default, str) else default
-    for k, v in table.items():
-        out = F.when(c == k, v).otherwise(out)
-    return out
+    known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+    return F.coalesce(known[c], F.lit(default) if isinstance(default, str) else default)
 
 
 def report_decision(p: Column) -> Column:

@@ -298,6 +298,11 @@ def test_phrases_are_expanded_once(spark):
     assert plan.count("bag snatch") == 1  # each mention of an expansion would be computed anew
 
 
+def test_a_report_decision_reads_its_status_once(spark):
+    plan = spark.range(1).select(self_report._mapped(F.concat(F.col("id").cast("string"), lit("mentioned")), self_report.STATUS_OF, "incomplete").alias("d"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("mentioned") == 1
+
+
 def test_greedy_determinants_match_slogdet():
     rng = np.random.default_rng(0)
     for _ in range(20):
