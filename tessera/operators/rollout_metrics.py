@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.intervals import iou
-from tessera.functions.numeric import ratio
+from tessera.functions.numeric import exact_mean, ratio
 from tessera.functions.text import category, says
 
 from .intervals import greedy_matches
@@ -78,8 +78,10 @@ def _length(span: Column) -> Column:
 
 
 def span_iou(a: Column, b: Column) -> Column:
-    """0 where a span or a bound is missing: ``least`` and ``greatest`` skip nulls, so ``iou`` alone would call that a full match."""
-    known = a["start"].isNotNull() & a["end"].isNotNull() & b["start"].isNotNull() & b["end"].isNotNull()
+    """0 where a span or a bound is missing or NaN: ``least`` and ``greatest`` skip nulls, so ``iou`` alone would call that a full match."""
+    known = F.lit(True)
+    for bound in (a["start"], a["end"], b["start"], b["end"]):
+        known = known & bound.isNotNull() & ~F.isnan(bound)
     return F.when(known, iou(a["start"], a["end"], b["start"], b["end"])).otherwise(F.lit(0.0))
 
 
@@ -134,6 +136,5 @@ MEANS = {
 
 def summary(records: DataFrame) -> DataFrame:
     """One row: how many records, accuracy of existence, and the mean of each metric over the records it applies to (0 over none)."""
-    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0))
     right = F.when(F.col("is_anomaly") == F.col("said_anomaly"), 1.0).otherwise(0.0)
-    return records.agg(F.count(F.lit(1)).alias("num_records"), mean(right).alias("existence_accuracy"), *[mean(F.col(c)).alias(n) for n, c in MEANS.items()])
+    return records.agg(F.count(F.lit(1)).alias("num_records"), exact_mean(right).alias("existence_accuracy"), *[exact_mean(F.col(c)).alias(n) for n, c in MEANS.items()])

@@ -149,7 +149,7 @@ def _rollouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Rollouts and references made of the episode log, in the schema of ``rollout_metrics``; one aggregate over the log."""
     i, k, t, s = F.col(E), F.col("k"), F.col("tool_name"), F.col("start_sec")
     ordered = lambda cond, x: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(F.col(S).alias("at"), x.alias("x"))))), lambda y: y["x"])
-    action = F.when(k % 7 == 0, "bad").when((k % 7 == 1) & (t == "emit_alert") & (k % 4 != 0), "answer").otherwise("tool_call")
+    action = F.when(k.isNull(), F.lit(None)).when(k % 7 == 0, "bad").when((k % 7 == 1) & (t == "emit_alert") & (k % 4 != 0), "answer").otherwise("tool_call")
     turn = F.struct(F.col(S).alias("step_index"), action.alias("action"), t.alias("tool_name"), (k % 4 == 0).alias("said_valid"), F.when(k % 4 == 0, F.when(k % 8 == 0, True)).alias("valid_action"))
     window = F.struct(F.concat(F.lit("w"), F.col(S).cast("string")).alias("window_id"), s.alias("start_sec"), F.when(t == "seek_evidence", s + F.col("value") * 600).otherwise(F.col("end_sec")).alias("end_sec"))
     alert = F.struct(F.when(k % 2 == 0, "soft_alert").otherwise("none").alias("decision"), s.alias("alert_sec"))
@@ -161,7 +161,7 @@ def _rollouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     g, c = F.get("goals", F.lit(0)), F.get("goals", F.lit(1))
     span = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))
     kinds = lambda x: F.get(F.array(*[F.lit(v) for v in ("House Fire", "brawl", "none of these", "")]), (x % 4).cast("int"))
-    claim = F.when(c.isNotNull(), F.struct(F.when(c["k"] % 5 == 0, "normal").otherwise("Anomaly ").alias("existence"), kinds(c["k"]).alias("category"), (c["k"] / 20).alias("severity"), F.when(c["k"] % 2 == 0, "Remove").alias("counterfactual_type"), span(c).alias("anomaly"), F.struct((c["start"] - 3600).alias("start"), c["start"].alias("end")).alias("precursor")))
+    claim = F.when(c.isNotNull(), F.struct(F.when(c["k"] % 5 != 0, "Anomaly ").otherwise("normal").alias("existence"), kinds(c["k"]).alias("category"), (c["k"] / 20).alias("severity"), F.when(c["k"] % 2 == 0, "Remove").alias("counterfactual_type"), span(c).alias("anomaly"), F.struct((c["start"] - 3600).alias("start"), c["start"].alias("end")).alias("precursor")))
     none = F.lit(None)
     target = F.struct(
         F.when(i % 3 != 0, "anomaly").otherwise("normal").alias("existence"), kinds(g["k"]).alias("category"), F.when(i % 5 != 0, g["k"] / 25).alias("severity"), F.when(i % 2 == 0, "remove").alias("counterfactual_type"),
@@ -169,7 +169,7 @@ def _rollouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
     one = a.where(g.isNotNull()).withColumn("video_id", i.cast("string"))
     rollouts = one.select(
-        "video_id", F.col("n").alias("num_turns"), "turns", F.slice("turns", 1, 2).alias("invalid_attempts"), F.when(i % 6 < 3, claim).alias("finalized_case"), F.when(i % 6 < 5, claim).alias("final_answer"), claim.alias("last_claim"),
+        "video_id", F.col("n").alias("num_turns"), "turns", F.slice("turns", 1, 2).alias("invalid_attempts"), F.when(i % 6 < 3, claim).alias("finalized_case"), F.when((i % 6 < 5) & c["k"].isNotNull(), claim).alias("final_answer"), claim.alias("last_claim"),
         "alerts", "visited", "ledger", "selection", (i % 4 != 0).alias("selection_observed"),
     )
     evidence = F.when(i % 7 == 6, F.array().cast("array<struct<start:double,end:double>>")).otherwise(F.transform(F.filter("ledger", lambda w, p: p % 2 == 0), lambda w: F.struct(w["start_sec"].alias("start"), (w["end_sec"] + 300).alias("end"))))
@@ -219,4 +219,5 @@ SELECT CAST(count(*) AS BIGINT) AS num_records, round(avg(CASE WHEN is_anomaly =
 def episode_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics over the rollouts that have a reference, in one row (evidence means are tested apart)."""
     s = rm.summary(rm.record_metrics(*_rollouts(spark, sf_dir)))
-    return s.select("num_records", *[F.round(c, 4).alias(c) for c in ("existence_accuracy", *[n for n in rm.MEANS if not n.startswith("evidence")])])
+    short = lambda c: F.round(F.col(c) * 10_000) / 10_000  # noqa: E731 - as the SQL's engine rounds doubles: 0.07125 * 10000 is below 712.5
+    return s.select("num_records", *[short(c).alias(c) for c in ("existence_accuracy", *[n for n in rm.MEANS if not n.startswith("evidence")])])

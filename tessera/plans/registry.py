@@ -44,7 +44,7 @@ def episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     tool = F.create_map(*[F.lit(x) for kv in TOOLS.items() for x in kv])[F.col("event_type")]
     k = F.get_json_object("props", "$.k").cast("long")
     start = F.timestamp_diff("MICROSECOND", F.min("ts").over(own), F.col("ts")) / F.lit(1e6)
-    step = F.row_number().over(own.orderBy("ts", "event_id")).cast("long")
+    step = F.row_number().over(own.orderBy(F.asc_nulls_last("ts"), F.asc_nulls_last("event_id"))).cast("long")
     out = ev.select(F.col("user_id").alias("episode_id"), step.alias("step_index"), "event_id", tool.alias("tool_name"), "value", k.alias("k"), start.alias("start_sec"))
     return out.withColumn("end_sec", F.col("start_sec") + F.col("value") * 60).withColumn("valid", F.col("k") % 10 != 0)
 

@@ -292,6 +292,24 @@ def test_a_missing_span_overlaps_nothing(spark):
     assert (r.c0, r.c1, r.c2, r.c3) == (0.0, 0.0, 0.0, 0.5)
 
 
+def test_a_bound_that_is_no_number_overlaps_nothing(spark):
+    span = lambda s, e: F.struct(lit(s).cast("double").alias("start"), lit(e).cast("double").alias("end"))
+    assert one(spark, rollout_metrics.span_iou(span(3, math.nan), span(3, 7))).c0 == 0.0
+
+
+def test_means_do_not_hang_on_the_order_of_records(spark):
+    errors = [0.31000000000000005, 1.99, 2.48, 1.42, 2.02, 0.27, 0.32000000000000006, 0.31999999999999984]  # their mean ends in a 5
+    means = set()
+    for shift in (0, 3):
+        rows = [(True, True, x) for x in errors[shift:] + errors[:shift]]
+        df = spark.createDataFrame(rows, "is_anomaly boolean, said_anomaly boolean, severity_error double").coalesce(1)
+        nulls = {c: lit(None).cast("double") for c in rollout_metrics.MEANS.values() if c != "severity_error"}
+        means.add(rollout_metrics.summary(df.withColumns(nulls)).first()["severity_mae"])
+    assert means == {1.14125}
+    r = spark.createDataFrame([(1.0, 1e300, math.nan), (2.0, 3e300, 1.0)], "a double, b double, c double").agg(*[nm.exact_mean(F.col(x)).alias(x) for x in "abc"]).first()
+    assert (r.a, r.b) == (1.5, 2e300) and math.isnan(r.c)
+
+
 def test_phrases_are_expanded_once(spark):
     df = spark.range(1).select(F.array(F.col("id").cast("string")).alias("p"), F.array(F.struct(*[F.lit("x").alias(c) for c in ("moment_id", "role", "description")], *[F.lit(0.0).alias(c) for c in ("start_sec", "end_sec")])).alias("m"))
     plan = df.select(query_package.supervision(F.col("p"), F.col("m")).alias("s"))._jdf.queryExecution().analyzed().toString()

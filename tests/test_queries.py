@@ -61,3 +61,32 @@ def test_rollouts_without_a_claim_match_no_interval(spark, tmp_path):
     spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
     r = QUERIES["episode_metrics_summary"](spark, str(tmp_path)).first()
     assert (r.num_records, r.temporal_miou, r.precursor_miou) == (2, 0.0, 0.0)
+
+
+EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
+
+
+def summary_and_sql(spark, rows, folder):
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{folder}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    want = con.sql(ORACLES["episode_metrics_summary"])
+    return QUERIES["episode_metrics_summary"](spark, str(folder)).first().asDict(), dict(zip(want.columns, want.fetchall()[0], strict=True))
+
+
+def test_summary_rounds_rates_as_sql(spark, tmp_path):
+    at = lambda n: datetime.datetime(2024, 1, 1, n)
+    kinds = [(u, h, "purchase") for u in range(800) for h in (0, 1)] + [(u, 2, "click") for u in range(57)]
+    got, want = summary_and_sql(spark, [(n, at(h), u, t, 10.0, '{"k": 3}') for n, (u, h, t) in enumerate(kinds)], tmp_path)
+    assert got == want and got["mean_search_steps"] == 0.0712  # 57 / 800, which times 10000 is below 712.5
+
+
+def test_summary_reads_events_without_k_or_time_as_sql(spark, tmp_path):
+    kinds = ("purchase", "click", "signup", "purchase", "view", "signup")
+    rows = []
+    for n in range(240):
+        u, j = divmod(n, 12)
+        ts = None if kinds[j % 6] in ("click", "view") and n % 7 == 3 else datetime.datetime(2024, 1, 1 + j, u)
+        rows.append((n, ts, u, kinds[j % 6], 10.0 + n, None if n % 5 == 2 else f'{{"k": {n * 7 % 100}}}'))
+    got, want = summary_and_sql(spark, rows, tmp_path)
+    assert got == want
