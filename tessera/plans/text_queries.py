@@ -262,13 +262,12 @@ FROM d""")
 def self_report_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy's own verification report, filled up where it is silent, and which of two required fields it lacks."""
     c = F.col
-    lines = table(spark, sf_dir, "lineitem").withColumn("p", _report())
-    r = lines.withColumn("r", sr.self_report(c("p"), c("l_quantity"), F.lit(40.0), c("l_quantity") > 25, F.lit("reward_only")))
-    lacks = F.filter(sr.missing_fields(c("p")), lambda x: x.isin("verification_decision", "recommended_action"))
+    lines = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    r = sr.with_self_report(lines, _report(), c("l_quantity"), F.lit(40.0), c("l_quantity") > 25, F.lit("reward_only"))
     return r.select(
-        "l_orderkey", "l_linenumber", c("r.verification_decision").alias("decision"), c("r.recommended_action").alias("action"), c("r.alert_status").alias("alert_status"), F.array_join("r.best_effort_window_ids", ",").alias("windows"),
-        F.array_join("r.failure_reasons", ",").alias("reasons"), F.round("r.confidence", 4).alias("confidence"), F.round("r.derived_scores.consistency", 4).alias("consistency"),
-        F.concat(F.when(F.array_contains(lacks, "verification_decision"), "verification_decision,").otherwise(""), F.when(F.array_contains(lacks, "recommended_action"), "recommended_action").otherwise("")).alias("some_missing"),
+        "l_orderkey", "l_linenumber", c("verification_decision").alias("decision"), c("recommended_action").alias("action"), c("alert_status").alias("alert_status"), F.array_join("best_effort_window_ids", ",").alias("windows"),
+        F.array_join("failure_reasons", ",").alias("reasons"), F.round("confidence", 4).alias("confidence"), F.round("derived_scores.consistency", 4).alias("consistency"),
+        F.concat(F.when(F.array_contains("lacks", "verification_decision"), "verification_decision,").otherwise(""), F.when(F.array_contains("lacks", "recommended_action"), "recommended_action").otherwise("")).alias("some_missing"),
     )
 
 

@@ -265,6 +265,23 @@ def test_self_reports_and_judges(spark):
     assert r.c3 == ["selected_window_ids", "verification_decision"] and (r.c4.decision, r.c5.decision, r.c5.rationale, r.c5.scores.sufficiency) == ("sufficient", "redundant", "e", 0.2)
 
 
+def test_reports_of_a_table_are_those_of_single_payloads(spark):
+    payloads = [
+        '{"verification_decision": " Sufficient", "sufficiency_score": 2, "necessity_score": null, "derived_scores": {"necessity": 0.9, "alertability": 0.7}, "selected_window_ids": [], "verified_window_ids": "w7", "rationale": "why"}',
+        '{"primary_status": "redundant", "failure_reasons": ["x", " ", null], "alert_status": "late", "verification_mode": "declare_normal", "candidate_window_ids": ["a", 2, {"b": "\\u00e9"}]}',
+        '{"sufficiency_score": true, "necessity_score": "0.25", "alertability_score": 1e-3, "derived_scores": {"consistency": null, "counterfactual_faithfulness": ".5"}, "selected_window_ids": "w1 ", "evidence_ids": [1.50, "q\\"x"]}',
+        '{"derived_scores": [1, 2], "selected_window_ids": [" "], "recommended_action": "", "explanation": "e", "alert_status": 7, "best_effort_window_ids": 0}', '{"derived_scores": "n/a", "verification_decision": {"a": 1}}',
+        "not json", "[1, 2]", "{}", "", None,
+    ]
+    df = spark.createDataFrame([(i, p, i % 3 != 0, float(i)) for i, p in enumerate(payloads)], "i int, p string, has boolean, sec double")
+    args = (F.col("p"), F.col("sec"), lit(2.0), F.col("has"), lit("final_check"))
+    parts = df.select("i", self_report.self_report(*args).alias("r"), self_report.missing_fields(F.col("p")).alias("lacks")).select("i", "r.*", "lacks")
+    table = self_report.with_self_report(df, *args)
+    assert sorted(table.select(parts.columns).collect()) == sorted(parts.collect())
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "get_json_object" not in plan and plan.count("from_json(MapType") == 2  # the payload, and its scores
+
+
 def test_reward_ladder(spark):
     yes, no, n, at = lit(True), lit(False), lit(None).cast("long"), lambda i: lit(i).cast("long")
     got = one(
