@@ -197,6 +197,11 @@ RECORD_COLUMNS = "is_anomaly said_anomaly existence_score true_category said_cat
 TEXTS = ("is_anomaly", "said_anomaly", "true_category", "said_category")
 
 
+def _short(c: str) -> Column:
+    """Four decimals, as the SQL's engine rounds doubles: 0.07125 * 10000 is below 712.5."""
+    return (F.round(F.col(c) * 10_000) / 10_000).alias(c)
+
+
 @query(f"""
 WITH {EP},
 {ROLLOUT_CTES},
@@ -205,7 +210,7 @@ SELECT video_id, {", ".join(c if c in TEXTS else f"round({c}, 4) AS {c}" for c i
 def rollout_record_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of each rollout against its reference (evidence matches are in ``evidence_prf_at3``)."""
     m = rm.record_metrics(*_rollouts(spark, sf_dir))
-    return m.select("video_id", *[F.col(c) if c in TEXTS else F.round(c, 4).alias(c) for c in RECORD_COLUMNS])
+    return m.select("video_id", *[F.col(c) if c in TEXTS else _short(c) for c in RECORD_COLUMNS])
 
 
 SUMMARY_SQL = ", ".join(f"round(coalesce(avg({c}), 0), 4) AS {n}" for n, c in rm.MEANS.items() if not n.startswith("evidence"))
@@ -219,5 +224,4 @@ SELECT CAST(count(*) AS BIGINT) AS num_records, round(avg(CASE WHEN is_anomaly =
 def episode_metrics_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All metrics over the rollouts that have a reference, in one row (evidence means are tested apart)."""
     s = rm.summary(rm.record_metrics(*_rollouts(spark, sf_dir)))
-    short = lambda c: F.round(F.col(c) * 10_000) / 10_000  # noqa: E731 - as the SQL's engine rounds doubles: 0.07125 * 10000 is below 712.5
-    return s.select("num_records", *[short(c).alias(c) for c in ("existence_accuracy", *[n for n in rm.MEANS if not n.startswith("evidence")])])
+    return s.select("num_records", *[_short(c) for c in ("existence_accuracy", *[n for n in rm.MEANS if not n.startswith("evidence")])])

@@ -90,3 +90,15 @@ def test_summary_reads_events_without_k_or_time_as_sql(spark, tmp_path):
         rows.append((n, ts, u, kinds[j % 6], 10.0 + n, None if n % 5 == 2 else f'{{"k": {n * 7 % 100}}}'))
     got, want = summary_and_sql(spark, rows, tmp_path)
     assert got == want
+
+
+def test_records_round_rates_as_sql(spark, tmp_path):
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    rows = [(n, at(n), 1, "purchase" if n < 2 else "click", 10.0, '{"k": 8}' if n < 57 else '{"k": 4}') for n in range(800)]
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(ORACLES["rollout_record_metrics"])
+    got = QUERIES["rollout_record_metrics"](spark, str(tmp_path)).first().asDict()
+    assert got == dict(zip(want.columns, want.fetchall()[0], strict=True))
+    assert got["formal_turn_validity"] == 0.0712  # 57 / 800
