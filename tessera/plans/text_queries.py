@@ -215,10 +215,11 @@ SELECT episode_id, step_index, CAST(CASE WHEN k % 3 = 0 THEN -1 WHEN k % 3 = 1 T
        greatest(0, least(1, value / 300)) AS unit, greatest(-1, least(1, (value - 250) / 200)) AS signed, round(CASE WHEN k % 2 = 0 THEN least(1, k / CAST(50 AS DOUBLE)) ELSE (least(1, k / CAST(50 AS DOUBLE)) + value / 500) / 2 END, 6) AS view_score
 FROM ep""")
 def safe_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coerced and clamped values. As in the SQL, ``view_score`` is the mean of its parts as they are; ``nm.view_score`` clamps them and the mean."""
     k, v = F.col("k"), F.col("value")
     raw = F.when(k % 3 == 0, "x").when(k % 3 == 1, F.concat(k.cast("string"), F.lit(".5"))).otherwise(k.cast("string"))
     part = F.least(F.lit(1.0), k / 50)
-    return episodes(spark, sf_dir).select("episode_id", "step_index", nm.safe_double(raw, -1.0).alias("as_double"), nm.safe_int(raw, -1).alias("as_int"), nm.unit(v / 300).alias("unit"), nm.signed_unit((v - 250) / 200).alias("signed"), F.round(nm.view_score(F.when(k % 2 == 0, part), [part, v / 500]), 6).alias("view_score"))
+    return episodes(spark, sf_dir).select("episode_id", "step_index", nm.safe_double(raw, -1.0).alias("as_double"), nm.safe_int(raw, -1).alias("as_int"), nm.unit(v / 300).alias("unit"), nm.signed_unit((v - 250) / 200).alias("signed"), F.round(nm.overall_or_mean(F.when(k % 2 == 0, part), [part, v / 500]), 6).alias("view_score"))
 
 
 #: A report's parts by line: decision, status, action; scores are discounts and taxes, sometimes under other names or out of range.

@@ -327,6 +327,12 @@ def test_means_do_not_hang_on_the_order_of_records(spark):
     assert (r.a, r.b) == (1.5, 2e300) and math.isnan(r.c)
 
 
+def test_view_scores_are_clamped_by_part_and_whole(spark):
+    n = lit(None).cast("double")
+    r = one(spark, nm.view_score(n, [lit(0.02), lit(1.2)]), nm.view_score(lit(1.3), [lit(0.0)]), nm.view_score(n, [n, lit(0.5)]), nm.view_score(n, [lit(-1.0), lit(0.5)]))
+    assert list(r) == [0.51, 1.0, 0.25, 0.25]
+
+
 def test_phrases_are_expanded_once(spark):
     df = spark.range(1).select(F.array(F.col("id").cast("string")).alias("p"), F.array(F.struct(*[F.lit("x").alias(c) for c in ("moment_id", "role", "description")], *[F.lit(0.0).alias(c) for c in ("start_sec", "end_sec")])).alias("m"))
     plan = df.select(query_package.supervision(F.col("p"), F.col("m")).alias("s"))._jdf.queryExecution().analyzed().toString()

@@ -102,3 +102,14 @@ def test_records_round_rates_as_sql(spark, tmp_path):
     got = QUERIES["rollout_record_metrics"](spark, str(tmp_path)).first().asDict()
     assert got == dict(zip(want.columns, want.fetchall()[0], strict=True))
     assert got["formal_turn_validity"] == 0.0712  # 57 / 800
+
+
+def test_coerced_values_over_their_range_match_sql(spark, tmp_path):
+    at = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=n)
+    rows = [(n, at(n), 1, "view", v, f'{{"k": {k}}}') for n, (k, v) in enumerate([(83, 542.36), (49, 600.0), (1, 600.0), (50, 700.0), (99, 500.0)])]
+    spark.createDataFrame(rows, EVENT).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.sql(ORACLES["safe_coercion"])
+    got = QUERIES["safe_coercion"](spark, str(tmp_path)).select(want.columns).orderBy("step_index").collect()
+    assert [tuple(r) for r in got] == sorted(want.fetchall(), key=lambda r: r[1])
